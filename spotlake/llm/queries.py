@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import sharding, substring
 from .common import read
 
-ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op8_substring": substring.ORACLE}
 
 
 def tokenizer(name: str) -> str:
@@ -53,6 +53,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_digests(read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_tokens
 
