@@ -57,6 +57,12 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_digests(read(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import search
+
+    return search(read(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_tokens
 
