@@ -28,6 +28,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_tree import main_text
+
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
