@@ -133,8 +133,57 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` (all columns) with the smallest doc_id of their component."""
-    found = near_duplicates(docs, words, radius)
-    stays = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+#: Of the similarity fingerprints: seeds, radius, distinct words from which on words are the features, and
+#: bytes of a word that counts.
+SEEDS, NEAR, ENOUGH, LEAST = (42, 4242), 4, 40, 4
+
+
+def similarity_fingerprints(text: str | None) -> list[int]:
+    """SimHash of the set of a text's longer words, once for each seed.
+
+    A near copy (0.8 or more of five-word shingles in common) changes a few words in a hundred, hence few
+    bits here, where a fingerprint of shingles would have ten bits or more changed. Texts of few words take
+    five-word shingles instead, by which only texts that are almost the same are near.
+    """
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    units = {x for x in w if len(x) >= LEAST}
+    if len(units) < ENOUGH:
+        units = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    out = []
+    for seed in SEEDS:
+        raw = np.fromiter((xxhash.xxh64_intdigest(u, seed) for u in units), "<u8", len(units))
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(raw), _STEP):
+            ones += np.unpackbits(raw[i : i + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(raw), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id: near copies by either similarity fingerprint."""
+    tune(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            got = np.array([similarity_fingerprints(t) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, i]) for i in range(len(SEEDS)))], ["doc_id", "fp0", "fp1"])
+
+    own = cut(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp0 long, fp1 long"))
+    edges, reps = None, own
+    for i in range(len(SEEDS)):
+        points = cut(own.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("doc_id").alias("first")))
+        near = links(points.select("fp"), NEAR)
+        ends = near.join(points.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(points.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = ends if edges is None else edges.union(ends)
+        reps = reps.join(points.select(F.col("fp").alias(f"fp{i}"), F.col("first").alias(f"r{i}")), f"fp{i}")
+    reps = cut(reps.select("doc_id", "r0", "r1"))
+    edges = edges.union(reps.where("r0 <> r1").select(F.col("r0").alias("a"), F.col("r1").alias("b")).distinct())
+    found = components(edges)
+    both = reps.join(found.select(F.col("node").alias("r0"), "component"), "r0", "left")
+    return both.select("doc_id", F.coalesce("component", "r0").alias("component_id"))
+
+
+def keep_first_similar(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) with the smallest doc_id among their near copies; null ids stay."""
+    goes = similar_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    return docs.join(goes, F.col("doc_id") == F.col("__id"), "left_anti")
