@@ -1 +1,324 @@
-"""Queries of the analysis operators."""
+"""Queries of the analysis operators: drift, kinetics, spatial statistics, regions and pixels."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..functions import simulate
+from ..operators import aggregate as A
+from ..operators import drift as D
+from ..operators import graph as G
+from ..operators import joins as J
+from ..operators import regions as R
+from ..operators import render as P
+from ..operators import spatial as X
+from ..operators import traces as T
+from .catalog import EV, PT, events, lines, points, query, r6
+
+
+@query(
+    "drift_apply",
+    f"""{EV}, c AS (SELECT frame, avg(value) AS d FROM ev GROUP BY 1) SELECT event_id, round(value - d, 6) AS value FROM ev JOIN c ON ev.frame = c.frame""",
+)
+def _(spark, sf):
+    e = events(spark, sf)
+    curve = e.groupBy("frame").agg(F.avg("value").alias("d_value"))
+    return D.apply_drift(e, curve, ("value",)).select("event_id", r6("value", "value"))
+
+
+@query(
+    "curve_interpolation",
+    f"""{EV}, k AS (SELECT floor(t / 86400) * 86400 AS t, avg(value) AS v FROM ev GROUP BY 1),
+        p AS (SELECT event_id, ev.t, (SELECT max(k.t) FROM k WHERE k.t <= ev.t) AS a, (SELECT min(k.t) FROM k WHERE k.t > ev.t) AS b FROM ev)
+        SELECT event_id, round(CASE WHEN b IS NULL THEN ka.v WHEN a IS NULL THEN kb.v ELSE ka.v + (kb.v - ka.v) * (p.t - a) / (b - a) END, 5) AS at_v FROM p LEFT JOIN k ka ON ka.t = a LEFT JOIN k kb ON kb.t = b""",
+)
+def _(spark, sf):
+    e = events(spark, sf)
+    knots = e.groupBy((F.floor(F.col("t") / 86400) * 86400).cast("double").alias("t")).agg(F.avg("value").alias("v"))
+    return J.interpolated(e, knots, "t", ["v"]).select("event_id", F.round("at_v", 5).alias("at_v"))
+
+
+@query("transform_affine", f"{PT} SELECT row_id, round(1.1 * x_nm - 0.2 * y_nm + 5, 6) AS x_nm, round(0.2 * x_nm + 0.9 * y_nm - 3, 6) AS y_nm FROM pt")
+def _(spark, sf):
+    t = D.Transformation("affine", [[1.1, -0.2, 5], [0.2, 0.9, -3]])
+    return t.apply(points(spark, sf)).select("row_id", r6("x_nm", "x_nm"), r6("y_nm", "y_nm"))
+
+
+@query("transform_projective", f"{PT} SELECT row_id, round((x_nm + 2) / (0.0001 * x_nm + 1), 6) AS x_nm, round((y_nm - 1) / (0.0001 * x_nm + 1), 6) AS y_nm FROM pt")
+def _(spark, sf):
+    t = D.Transformation("projective", [[1, 0, 2], [0, 1, -1], [0.0001, 0, 1]])
+    return t.apply(points(spark, sf)).select("row_id", r6("x_nm", "x_nm"), r6("y_nm", "y_nm"))
+
+
+@query("transform_fit", "SELECT round(1.1, 6) AS a, round(-0.2, 6) AS b, round(5.0, 6) AS c")
+def _(spark, sf):
+    p = points(spark, sf)
+    moved = D.Transformation("affine", [[1.1, -0.2, 5], [0.2, 0.9, -3]]).apply(p).select("row_id", F.col("x_nm").alias("u"), F.col("y_nm").alias("v"))
+    c = D.fit_affine(p.join(moved, "row_id"), ("x_nm", "y_nm"), ("u", "v")).c
+    return spark.createDataFrame([tuple(round(float(v), 6) + 0.0 for v in c[0])], "a double, b double, c double")
+
+
+@query("fiducial_curve", f"{EV}, m AS (SELECT user_id, avg(value) AS m FROM ev GROUP BY 1) SELECT frame, round(avg(value - m), 2) AS d_value FROM ev JOIN m ON ev.user_id = m.user_id GROUP BY frame")
+def _(spark, sf):
+    return D.fiducial_curve(events(spark, sf), "user_id", axes=("value",)).select("frame", F.round("d_value", 2).alias("d_value"))
+
+
+@query("layer_shift")
+def _(spark, sf):
+    p = points(spark, sf)
+    moved = p.withColumns({"x_nm": F.col("x_nm") + 40, "y_nm": F.col("y_nm") - 20})
+    return spark.createDataFrame([tuple(map(float, D.layer_shift(p, moved, 10, -640, -640, 128, 128, 200)))], "dx double, dy double")
+
+
+@query("redundant_drift")
+def _(spark, sf):
+    p = simulate.blinking(spark, 60, 400, 30, seed=3).withColumn("x_nm", F.col("x_nm") + F.col("frame") * 0.5)
+    d = D.redundant_drift(p, 5, 40, 0, 0, 256, 256, 600)
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(d)], "window int, dx double, dy double")
+
+
+@query("astigmatic_z")
+def _(spark, sf):
+    li = lines(spark, sf).select("l_orderkey", "l_linenumber", (150 + F.col("l_quantity")).alias("sigma_x_nm"), (200 - F.col("l_quantity")).alias("sigma_y_nm"))
+    return D.z_from_widths(li, (1e-4, 0.1, 150.0), (1e-4, -0.1, 150.0), (-400, 400)).select("l_orderkey", "l_linenumber", F.round("z_nm", 3).alias("z_nm"))
+
+
+@query(
+    "assign_colours",
+    "WITH p AS (SELECT l_orderkey, l_linenumber, exp(-((l_discount - 0.02) ** 2) / (2 * 0.01 ** 2)) / 0.01 AS a, exp(-((l_discount - 0.07) ** 2) / (2 * 0.02 ** 2)) / 0.02 AS b FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN greatest(a, b) / (a + b) < 0.9 THEN -1 WHEN a >= b THEN 0 ELSE 1 END AS channel FROM p",
+)
+def _(spark, sf):
+    return D.assign_colours(lines(spark, sf), F.col("l_discount"), [0.02, 0.07], [0.01, 0.02]).select("l_orderkey", "l_linenumber", "channel")
+
+
+@query(
+    "blinking",
+    f"""{EV}, g AS (SELECT user_id, frame, event_id, CASE WHEN frame - lag(frame) OVER (PARTITION BY user_id ORDER BY frame, event_id) > 61 THEN 1 ELSE 0 END AS n FROM ev), b AS (SELECT user_id, frame, sum(n) OVER (PARTITION BY user_id ORDER BY frame, event_id ROWS UNBOUNDED PRECEDING) AS blink FROM g)
+        SELECT user_id, CAST(blink AS BIGINT) AS blink, min(frame) AS first, max(frame) AS last, max(frame) - min(frame) + 1 AS "on", count(*) AS n FROM b GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return T.blinks_of(events(spark, sf), "user_id", 60, row="event_id").select("user_id", F.col("blink").cast("long").alias("blink"), "first", "last", "on", "n")
+
+
+@query("kinetics")
+def _(spark, sf):
+    b = T.blinks_of(events(spark, sf), "user_id", 60, row="event_id")
+    return T.sites_from_kinetics(T.kinetics(b, "user_id", 100_000), 1e-3)
+
+
+@query(
+    "trace_statistics",
+    f"""{EV}, d AS (SELECT *, value - lag(value) OVER w AS dv, frame - lag(frame) OVER w AS df FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+        SELECT user_id, count(*) AS n, round(max(t) - min(t), 3) AS duration, round(coalesce(sum(sqrt(dv * dv + df * df)), 0), 4) AS path FROM d GROUP BY 1""",
+)
+def _(spark, sf):
+    s = T.trace_statistics(events(spark, sf), "user_id", "t", "value", "frame", "event_id")
+    return s.select("user_id", "n", F.round("duration", 3).alias("duration"), F.round("path", 4).alias("path"))
+
+
+@query("msd")
+def _(spark, sf):
+    return T.msd(simulate.tracks(spark, 200, 20, 0.5, 0.02).withColumnRenamed("track_id_true", "track_id"), 4, 0.02)
+
+
+@query("jump_states")
+def _(spark, sf):
+    t = simulate.tracks(spark, 200, 20, 0.5, 0.02).union(simulate.tracks(spark, 200, 20, 0.02, 0.02, seed=9).withColumn("track_id_true", F.col("track_id_true") + 1000))
+    return spark.createDataFrame(T.jump_states(t.withColumnRenamed("track_id_true", "track_id"), 2, 0.02), "fraction double, d_um2_s double")
+
+
+@query("steps_table")
+def _(spark, sf):
+    return T.steps_table(events(spark, sf), "user_id", "t", "value")
+
+
+@query("allan_deviation")
+def _(spark, sf):
+    return T.allan(events(spark, sf), "user_id", "t", "value", [1, 2, 4, 8]).select("span", r6("deviation", "deviation"), "n")
+
+
+@query("hidden_states")
+def _(spark, sf):
+    m, d, move = T.hidden_states(events(spark, sf).where("user_id < 50"), "user_id", "t", "value", 2, 3)
+    return spark.createDataFrame([(i, float(m[i]), float(d[i]), float(move[i, i])) for i in range(2)], "state int, mean double, deviation double, stay double")
+
+
+@query("exponential_scale", "SELECT round(avg(l_extendedprice), 4) AS mean, true AS solved FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 200000")
+def _(spark, sf):
+    li = lines(spark, sf)
+    tau = A.exponential_scale(li, "l_extendedprice", 0, 200_000)
+    mean = li.where("l_extendedprice BETWEEN 0 AND 200000").agg(F.avg("l_extendedprice").alias("m")).first()["m"]
+    solved = math.isinf(tau) or abs(tau - 200_000 / math.expm1(200_000 / tau) - mean) < 1e-4 * mean
+    return spark.createDataFrame([(round(mean, 4), bool(solved))], "mean double, solved boolean")
+
+
+@query("precision_scale", "SELECT round(count(*) / sum(1 / (l_quantity * l_quantity)), 6) AS a FROM lineitem")
+def _(spark, sf):
+    return spark.createDataFrame([(round(A.precision_scale(lines(spark, sf), "l_quantity"), 6),)], "a double")
+
+
+@query("dwell_models", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS mean, round(avg(l_quantity) ** 2 / var_samp(l_quantity), 6) AS shape FROM lineitem")
+def _(spark, sf):
+    d = T.dwell_models(lines(spark, sf), "l_quantity")
+    return spark.createDataFrame([(d["n"], round(d["mean"], 6), round(d["shape"], 6))], "n long, mean double, shape double")
+
+
+@query(
+    "pair_correlation",
+    f"""{PT}, d AS (SELECT CAST(floor(sqrt((a.x_nm - b.x_nm) ** 2 + (a.y_nm - b.y_nm) ** 2) / 10) AS BIGINT) AS bin FROM pt a JOIN pt b ON a.row_id <> b.row_id AND (a.x_nm - b.x_nm) ** 2 + (a.y_nm - b.y_nm) ** 2 < 10000), h AS (SELECT bin, count(*) AS n FROM d GROUP BY 1), c AS (SELECT count(*) AS k FROM pt)
+        SELECT b.i AS bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / (k * ((k - 1) / 1000000.0) * pi() * 100 * (2 * b.i + 1)), 6) AS g FROM (SELECT unnest(range(10)) AS i) b LEFT JOIN h ON h.bin = b.i, c""",
+)
+def _(spark, sf):
+    p = points(spark, sf)
+    return X.pair_correlation(p, p, 100, 10, 1e6, same=True).select("bin", "n", r6("g", "g"))
+
+
+@query("null_envelope")
+def _(spark, sf):
+    return X.envelope(points(spark, sf).where("row_id < 400"), (-300, -300, 300, 300), 40, 10, 5)
+
+
+@query("nearest_precision")
+def _(spark, sf):
+    b = simulate.blinking(spark, 300, 300, 4, on=4.0, seed=5)
+    return spark.createDataFrame([(X.nearest_precision(b, 60.0),)], "sigma double")
+
+
+@query("ring_correlation")
+def _(spark, sf):
+    b = simulate.blinking(spark, 200, 200, 8, size_nm=3000, seed=2).withColumn("half", F.col("frame") % 2)
+    c = X.ring_correlation(b, "half", 20, 0, 0, 150)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(c)], "ring int, correlation double")
+
+
+def _found(spark, sf):
+    p = points(spark, sf).withColumn("frame", F.col("row_id") % 20)
+    return p.withColumns({"x_nm": F.col("x_nm") + 3, "y_nm": F.col("y_nm") - 2}).where("row_id % 7 <> 0"), p
+
+
+@query("match_truth")
+def _(spark, sf):
+    f, t = _found(spark, sf)
+    return X.matched(f, t, 15.0)
+
+
+@query("match_greedy")
+def _(spark, sf):
+    f, t = _found(spark, sf)
+    return X.matched(f, t, 15.0, "greedy")
+
+
+@query("detection_scores")
+def _(spark, sf):
+    f, t = _found(spark, sf)
+    return X.detection(f, t, X.matched(f, t, 15.0))
+
+
+@query("position_errors")
+def _(spark, sf):
+    f, t = _found(spark, sf)
+    return X.errors(X.matched(f, t, 15.0), f, t).select("axis", r6("bias", "bias"), r6("rmse", "rmse"), r6("slope", "slope"))
+
+
+@query("circle_fit")
+def _(spark, sf):
+    return X.circles(points(spark, sf), "label").select("label", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "radius")], "n")
+
+
+@query("line_profile", f"{PT}, u AS (SELECT ((x_nm + 100) * 200 + (y_nm + 50) * 100) / sqrt(50000) AS a, ((y_nm + 50) * 200 - (x_nm + 100) * 100) / sqrt(50000) AS c FROM pt) SELECT CAST(floor(c / 5) AS INTEGER) AS bin, count(*) AS n FROM u WHERE a BETWEEN 0 AND sqrt(50000) AND abs(c) <= 40 GROUP BY 1")
+def _(spark, sf):
+    return X.line_profile(points(spark, sf), (-100, -50), (100, 50), 80, 5)
+
+
+@query("mixtures")
+def _(spark, sf):
+    return X.mixtures(points(spark, sf).where("row_id < 2000"), "label")
+
+
+@query("cluster_centres", f"{EV}, g AS (SELECT user_id, frame, value, CASE WHEN frame - lag(frame) OVER (PARTITION BY user_id ORDER BY frame, event_id) > 60 THEN 1 ELSE 0 END AS n FROM ev) SELECT user_id, count(*) AS n_locs, CAST(sum(n) + 1 AS BIGINT) AS n_events, round(avg(frame), 4) AS frame_mean, round(avg(value), 6) AS value FROM g GROUP BY 1")
+def _(spark, sf):
+    c = X.centres(events(spark, sf), "user_id", 60, xy=("value", "t"), row="event_id")
+    return c.select("user_id", "n_locs", "n_events", F.round("frame_mean", 4).alias("frame_mean"), r6("value", "value"))
+
+
+@query("frame_analysis")
+def _(spark, sf):
+    p = points(spark, sf).withColumns({"cluster_id": F.col("label").cast("long"), "frame": F.col("row_id") % 100})
+    return G.frame_analysis(p, 0, 99).select("row_id", "cluster_id", "n_in_cluster")
+
+
+def _regions(spark, sf):
+    p = points(spark, sf)
+    c = p.where("row_id < 40").select(F.col("row_id").alias("region_id"), F.col("x_nm").alias("cx"), F.col("y_nm").alias("cy"), F.lit(30.0).alias("radius"))
+    return p, c, J.members(p, c, 60)
+
+
+@query("regions_run", f"{PT}, c AS (SELECT row_id AS region_id, x_nm AS cx, y_nm AS cy FROM pt WHERE row_id < 40) SELECT region_id, round(avg(x_nm), 6) AS x, count(*) AS n FROM pt JOIN c ON (x_nm - cx) ** 2 + (y_nm - cy) ** 2 <= 900 GROUP BY 1")
+def _(spark, sf):
+    p, _, m = _regions(spark, sf)
+    return R.run_regions(p.select("row_id", "x_nm"), m, lambda d: {"x": d["x_nm"].mean()}, ["x"]).select("region_id", r6("x", "x"), "n")
+
+
+@query("region_maths", f"{PT}, c AS (SELECT row_id AS region_id, x_nm AS cx, y_nm AS cy FROM pt WHERE row_id < 40), a AS (SELECT region_id, count(*) AS n, max(x_nm) - min(x_nm) AS w FROM pt JOIN c ON (x_nm - cx) ** 2 + (y_nm - cy) ** 2 <= 900 GROUP BY 1) SELECT region_id, round(n / (w + 1), 6) AS density FROM a")
+def _(spark, sf):
+    p, _, m = _regions(spark, sf)
+    t = R.aggregate_regions(p, m, n=F.count(F.lit(1)), w=F.max("x_nm") - F.min("x_nm"))
+    return R.region_maths(t, {"density": "n / (w + 1)"}).select("region_id", r6("density", "density"))
+
+
+@query("average_regions", f"{PT}, c AS (SELECT row_id AS region_id, x_nm AS cx, y_nm AS cy FROM pt WHERE row_id < 40) SELECT region_id, row_id, round(x_nm - cx, 6) AS x_nm, round(y_nm - cy, 6) AS y_nm FROM pt JOIN c ON (x_nm - cx) ** 2 + (y_nm - cy) ** 2 <= 900")
+def _(spark, sf):
+    p, c, m = _regions(spark, sf)
+    a = R.average_regions(p.withColumn("frame", F.lit(0)), m, c)
+    return a.select("region_id", "row_id", r6("x_nm", "x_nm"), r6("y_nm", "y_nm"))
+
+
+@query("corners")
+def _(spark, sf):
+    p, c, m = _regions(spark, sf)
+    a = R.average_regions(p.withColumn("frame", F.lit(0)), m, c)
+    return R.corners(a, "region_id", inner=5, outer=30)
+
+
+@query("gaussian_splat")
+def _(spark, sf):
+    p = points(spark, sf).withColumn("s", 8.0 + F.col("label"))
+    return P.gaussian_splat(p, -400, -400, 10, 80, 80, "s").select("row", "col", F.round("value", 6).alias("value"))
+
+
+@query("movie_steps", f"{EV}, b AS (SELECT min(frame) AS a FROM ev) SELECT event_id, CAST(s AS INTEGER) AS step FROM ev, b, (SELECT unnest(range(11)) AS s) q WHERE frame - a >= s * 100 AND frame - a < s * 100 + 250")
+def _(spark, sf):
+    e = events(spark, sf)
+    a = e.agg(F.min("frame").alias("a")).first()["a"] or 0
+    return P.movie_steps(e.withColumn("f", F.col("frame") - a), "f", 0, 1000, 100, 250).select("event_id", "step")
+
+
+@query("track_segments", f"{EV} SELECT user_id, frame AS x0, value AS y0, lead(frame) OVER w AS x1, lead(value) OVER w AS y1 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY frame, event_id) QUALIFY lead(frame) OVER w IS NOT NULL")
+def _(spark, sf):
+    e = events(spark, sf).withColumns({"x_nm": F.col("frame"), "y_nm": F.col("value")})
+    return P.segments(e, "user_id", "frame", "event_id")
+
+
+@query("simulate_blinking")
+def _(spark, sf):
+    return simulate.blinking(spark, 100, 200)
+
+
+@query("simulate_binding")
+def _(spark, sf):
+    return simulate.binding(spark, 50, 5000, 10, 60)
+
+
+@query("intervals_to_frames", "SELECT l_orderkey, l_linenumber, f AS frame, round(l_extendedprice * (least(l_quantity / 10 + 1.5, f + 1) - greatest(l_quantity / 10, f)) / 1.5, 4) AS photons_frame FROM (SELECT *, unnest(range(CAST(floor(l_quantity / 10) AS BIGINT), CAST(ceil(l_quantity / 10 + 1.5) AS BIGINT))) AS f FROM lineitem)")
+def _(spark, sf):
+    li = lines(spark, sf).select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10).alias("a"), (F.col("l_quantity") / 10 + 1.5).alias("b"), "l_extendedprice")
+    return simulate.to_frames(li, "a", "b", "l_extendedprice").select("l_orderkey", "l_linenumber", "frame", F.round("photons_frame", 4).alias("photons_frame"))
+
+
+@query("find_peaks")
+def _(spark, sf):
+    image = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.pmod(F.xxhash64(i, F.col("n")), F.lit(1000)) / 1000.0 + F.when((i == 100) | (i == 200), 50.0).otherwise(0.0))
+    f = spark.range(5).select(F.col("id").alias("frame"), F.col("id").alias("n")).select("frame", image.alias("image"))
+    return P.peaks(f, 1.0, 1.0, 16, 16)

@@ -1,0 +1 @@
+"""Readers and writers by format, dataset discovery, tags and sidecar metadata."""
