@@ -61,6 +61,13 @@ def between(c: Column | str, lo: float | None, hi: float | None) -> Column:
     return reduce(lambda x, y: x & y, parts, F.lit(True))
 
 
+def within(c: Column | str, lo: float | None, hi: float | None) -> Column:
+    """As ``between`` for a filter: plain comparisons, which reach the scan; NULL where the value is missing."""
+    x = col(c)
+    parts = ([x >= lo] if lo is not None else []) + ([x <= hi] if hi is not None else [])
+    return reduce(lambda a, b: a & b, [*parts, ~F.isnan(x)] if parts else [F.lit(True)])
+
+
 def logarithm(c: Column, base: float | None = None) -> Column:
     d = double(c)
     made = F.log(d) if base is None else {2: F.log2, 10: F.log10}[base](d)

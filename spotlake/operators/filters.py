@@ -22,8 +22,8 @@ class Filters:
 
     def set(self, name: str, lo: float | None = None, hi: float | None = None, invert: bool = False) -> Filters:
         """Inclusive range of a column; ``invert`` is the exact complement, NaN included."""
-        inside = N.between(name, lo, hi)
-        self.parts[name], self.bounds[name] = ~inside if invert else inside, (lo, hi, invert)
+        self.parts[name] = ~N.between(name, lo, hi) if invert else N.within(name, lo, hi)
+        self.bounds[name] = (lo, hi, invert)
         return self
 
     def set_mask(self, name: str, flag: Column) -> Filters:
