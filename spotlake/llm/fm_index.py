@@ -36,13 +36,14 @@ class WaveletMatrix:
 class FMIndex:
     """Fragments (lists of word numbers from 1) end to end, each closed by 0.
 
-    Suffixes are ordered by their first 32 symbols at least, which is enough for patterns up to ``depth``.
+    Suffixes are ordered by more than their first ``depth`` symbols (at least 2), which is enough for such patterns.
     """
 
     def __init__(self, text: np.ndarray, depth: int):
         n, self.depth = len(text), depth
         rank, span = text.astype(np.int64), 1
-        at16 = None
+        part = 1 << ((depth - 1).bit_length() - 1)  # the largest power of two below the depth
+        of_part = rank if part == 1 else None
         while True:
             nxt = np.zeros(n, np.int64)
             nxt[: n - span] = rank[span:] + 1 if span < n else 0
@@ -52,15 +53,15 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
             span *= 2
-            if span == 16:
-                at16 = rank
+            if span == part:
+                of_part = rank
             if span > depth:
                 break
         self.order = order
         # Where neighbours in suffix order differ within depth - 1 and within depth symbols.
-        pad = np.concatenate([at16, np.full(depth, -1, np.int64)])
-        same = at16[order[1:]] == at16[order[:-1]]
-        less, full = (same & (pad[order[1:] + d - 16] == pad[order[:-1] + d - 16]) for d in (depth - 1, depth))
+        pad = np.concatenate([of_part, np.full(depth, -1, np.int64)])
+        same = of_part[order[1:]] == of_part[order[:-1]]
+        less, full = (same & (pad[order[1:] + d - part] == pad[order[:-1] + d - part]) for d in (depth - 1, depth))
         ends = np.concatenate([~less, [True]])
         self.low = np.maximum.accumulate(np.where(np.concatenate([[True], ~less]), np.arange(n), 0))
         self.high = np.minimum.accumulate(np.where(ends, np.arange(1, n + 1), n)[::-1])[::-1]
