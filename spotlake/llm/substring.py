@@ -10,9 +10,9 @@ Each shard builds an FM-index of its fragments and streams them through it: back
 matrix gives each window's interval; the window goes if the interval's first occurrence, by (doc_id, start),
 is earlier than its own.
 
-An anchor with more than ``HOT`` fragments has them cut to single windows, sent by the window's own hash and
-only once a task (of the windows that one task has seen, all but the first are known to repeat), so that
-a passage of very many documents neither gathers in one shard nor grows with them.
+A task sends equal fragments once: of those that it has seen, all but the first are known to repeat. An
+anchor with more than ``HOT`` fragments has them cut to single windows, sent by the window's own hash, so
+that a passage of very many documents neither gathers in one shard nor grows with them.
 
 Defined results: a null text has no words; a null doc_id comes after all others; rows of one doc_id with
 different texts are ordered by a hash of the text; rows of one doc_id and text are one document and get the
@@ -34,8 +34,8 @@ from .common import cut, partitions, tune
 from .fm_index import FMIndex
 
 WINDOW, GRAM, HOT = 20, 5, 400
-#: Windows in a fragment at most, and fragments for which there is one shard.
-RUN, SHARD = 64, 30_000
+#: Windows in a fragment at most, fragments for which there is one shard, and contents that a task holds.
+RUN, SHARD, HELD = 64, 30_000, 60_000
 _POWERS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(GRAM)]
 
 
@@ -104,7 +104,23 @@ def _fragments(rows: DataFrame, shards: int, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 6, schema, strict=True)], names)
 
     def run(batches):
-        first: dict[bytes, tuple] = {}  # of hot windows of this task
+        first: dict[bytes, tuple] = {}  # by content: the first place in this task, windows, words, shard
+
+        def drain():
+            rest = [(shard, d, t, w, n, piece) for (d, t, w), n, piece, shard in first.values()]
+            first.clear()
+            for i in range(0, len(rest), 5000):
+                yield batch(rest[i : i + 5000])
+
+        def later(own, n, piece, shard):
+            """The place of these words that is now known to repeat another, if one is."""
+            key = xxhash.xxh3_128_digest(piece)
+            held = first.get(key)
+            if held is None or own < held[0]:
+                first[key] = (own, n, piece, shard)
+                return held and held[0]
+            return own if own > held[0] else None
+
         for b in batches:
             out = []
             for d, t, text, found in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("__d", "__t", "text", "found")), strict=True):
@@ -112,24 +128,29 @@ def _fragments(rows: DataFrame, shards: int, window: int) -> DataFrame:
                     continue
                 words = words_of(text)
                 for f in found:
+                    w, n = f["w"], f["n"]
                     if not f["hot"]:
-                        out.append((f["anchor"] % shards, d, t, f["w"], f["n"], b" ".join(words[f["w"] : f["w"] + f["n"] + window - 1])))
+                        if gone := later((d, t, w), n, b" ".join(words[w : w + n + window - 1]), f["anchor"] % shards):
+                            out.append((-1, *gone, n, b""))
                         continue
-                    for w in range(f["w"], f["w"] + f["n"]):
-                        piece = b" ".join(words[w : w + window])
-                        key, own = xxhash.xxh3_128_digest(piece), (d, t, w)
-                        held = first.get(key)
-                        if held is None:
-                            first[key] = own + (piece,)
-                        elif own < held[:3]:
-                            first[key] = own + (piece,)
-                            out.append((-1, *held[:3], 1, b""))
-                        elif own > held[:3]:
-                            out.append((-1, *own, 1, b""))
+                    run_of = 0  # windows in a row that repeat
+                    for at in range(w, w + n):
+                        piece = b" ".join(words[at : at + window])
+                        gone = later((d, t, at), 1, piece, xxhash.xxh3_64_intdigest(piece) % shards)
+                        if gone == (d, t, at):
+                            run_of += 1
+                            continue
+                        if gone:
+                            out.append((-1, *gone, 1, b""))
+                        if run_of:
+                            out.append((-1, d, t, at - run_of, run_of, b""))
+                        run_of = 0
+                    if run_of:
+                        out.append((-1, d, t, w + n - run_of, run_of, b""))
             yield batch(out)
-        rest = [*first.items()]
-        for i in range(0, len(rest), 5000):
-            yield batch([(int.from_bytes(k[:4], "little") % shards, d, t, w, 1, piece) for k, (d, t, w, piece) in rest[i : i + 5000]])
+            if len(first) > HELD:
+                yield from drain()
+        yield from drain()
 
     return rows.mapInArrow(run, "shard int, __d long, __t int, w int, n int, words binary")
 
