@@ -11,6 +11,7 @@ from ..operators import aggregate as A
 from ..operators import drift as D
 from ..operators import graph as G
 from ..operators import joins as J
+from ..operators import matching as M
 from ..operators import regions as R
 from ..operators import render as P
 from ..operators import spatial as X
@@ -322,3 +323,74 @@ def _(spark, sf):
     image = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.pmod(F.xxhash64(i, F.col("n")), F.lit(1000)) / 1000.0 + F.when((i == 100) | (i == 200), 50.0).otherwise(0.0))
     f = spark.range(5).select(F.col("id").alias("frame"), F.col("id").alias("n")).select("frame", image.alias("image"))
     return P.peaks(f, 1.0, 1.0, 16, 16)
+
+
+def _spans(spark, sf):
+    e = events(spark, sf)
+    kinds = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
+    s = e.groupBy("user_id", "event_type").agg(F.min("t").alias("start"), F.max("t").alias("end")).withColumnRenamed("user_id", "id")
+    return tuple(s.where(F.col("event_type") == k).select("id", "start", "end", (F.col("id") % 7).alias("file")) for k in (kinds["a"], kinds["b"]))
+
+
+@query("pair_intervals")
+def _(spark, sf):
+    a, b = _spans(spark, sf)
+    return M.pair_intervals(a, b, 7 * 86400, 3600, ("file",))
+
+
+@query(
+    "pair_offsets",
+    f"""{EV}, a AS (SELECT user_id, t, min(value) AS x FROM ev WHERE event_type = (SELECT min(event_type) FROM ev) GROUP BY 1, 2), b AS (SELECT event_id, user_id, t, value AS x FROM ev WHERE event_type = (SELECT max(event_type) FROM ev)),
+        p AS (SELECT b.event_id, b.user_id, b.x - a.x AS d, abs(a.t - b.t) AS dt, row_number() OVER (PARTITION BY b.event_id ORDER BY abs(a.t - b.t), a.t) AS k FROM b JOIN a ON a.user_id = b.user_id)
+        SELECT user_id, round(median(d), 6) AS dx, count(*) AS n FROM p WHERE k = 1 AND dt <= 86400 GROUP BY 1""",
+)
+def _(spark, sf):
+    e = events(spark, sf)
+    kinds = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
+    a = e.where(F.col("event_type") == kinds["a"]).groupBy("user_id", "t").agg(F.min("value").alias("x_nm")).withColumn("y_nm", F.lit(0.0))
+    b = e.where(F.col("event_type") == kinds["b"]).select("event_id", "user_id", "t", F.col("value").alias("x_nm"), F.lit(0.0).alias("y_nm"))
+    return M.pair_offsets(a, b, 86400, "user_id", row="event_id").select("user_id", r6("dx", "dx"), "n")
+
+
+@query("remove_double_regions")
+def _(spark, sf):
+    p, c, m = _regions(spark, sf)
+    n = c.join(m.groupBy("region_id").count().withColumnRenamed("count", "n"), "region_id").withColumn("filenumber", F.lit(0))
+    return M.remove_double_regions(n, 80).select("region_id", "n")
+
+
+@query("overlapping_circles")
+def _(spark, sf):
+    p = points(spark, sf).withColumn("radius", 5.0 + F.col("label")).withColumn("score", F.col("row_id") % 17)
+    return M.overlapping_circles(p, 15.0).select("row_id")
+
+
+@query(
+    "close_groups",
+    f"""WITH RECURSIVE {PT[5:]}, e AS (SELECT a.row_id AS a, b.row_id AS b FROM pt a JOIN pt b ON a.label = b.label AND (a.x_nm - b.x_nm) ** 2 + (a.y_nm - b.y_nm) ** 2 < 25), w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT a AS row_id, min(b) AS component FROM w GROUP BY 1""",
+)
+def _(spark, sf):
+    return M.close_groups(points(spark, sf), 5, ("label",))
+
+
+@query("find_beads")
+def _(spark, sf):
+    b = spark.range(5 * 100).select(F.col("id").alias("row_id"), (F.col("id") % 100).alias("frame"), F.floor(F.col("id") / 100).alias("k")).select("row_id", "frame", (F.col("k") * 5000.0 + F.col("frame") * 0.3).alias("x_nm"), (F.col("k") * 100.0).alias("y_nm"), F.lit(5000.0).alias("photons"))
+    return M.find_beads(b, 100, 1000, 0.8, 50)
+
+
+@query("mean_shift")
+def _(spark, sf):
+    p = points(spark, sf)
+    return M.mean_shift(p, p.where("row_id < 30"), 60, 4).select("row_id", *[F.round(c, 4).alias(c) for c in ("x_nm", "y_nm")], "n")
+
+
+@query("equalised")
+def _(spark, sf):
+    return M.equalised(lines(spark, sf).select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100).alias("x_pix")), "x_pix")
+
+
+@query("paired_channels")
+def _(spark, sf):
+    f, t = _found(spark, sf)
+    return M.paired_channels(f, t, D.Transformation("affine", [[1, 0, -3], [0, 1, 2]]), 5)
