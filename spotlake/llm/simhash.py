@@ -6,9 +6,10 @@ within that Manhattan distance. The points are joined in grids: the segments are
 two points in reach agree in at least 3 blocks, hence share a cell of the grid of those blocks. Within a
 cell, pairs beyond the Manhattan bound are dropped, and the others verified on the bits.
 
-Cells of more than ``CELL`` fingerprints aren't paired: there each fingerprint is put to itself and
-its neighbours one bit away (for a larger radius: as many bits as half of it), and those who meet are linked
-with the smallest, which finds exactly the same classes with a bounded number of rows for each fingerprint.
+Cells of more than ``CELL`` fingerprints aren't paired as rows. Up to ``HUGE``, parts of the cell meet two at a
+time in a task, which gives a spanning forest of their links. Beyond, each fingerprint is put to itself and its
+neighbours up to half the radius away, and those who meet are linked with the smallest. Either way finds
+exactly the same classes, with rows in proportion to the fingerprints.
 
 Equal fingerprints are one point from the start. Links go by classes: (smaller point, point) rows of which
 none between different classes is lost, then connected components.
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import cut, tune
 from .components import components
 
-SEED, CELL = 42, 48
+#: Seed of the hashes; fingerprints of a cell up to which it is joined with itself; up to which its parts (of
+#: about PART) are; beyond, neighbours are named one by one.
+SEED, CELL, HUGE, PART = 42, 48, 30_000, 2000
 LOW = 0x5555555555555555
 #: Hashes whose bits are counted at once.
 _STEP = 1 << 16
@@ -104,19 +107,45 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(i).alias("grid"), e.bitwiseAND(F.lit(signed(m))).alias("cell")) for i, m in enumerate(grids(radius))])
     put = points.select("fp", F.explode(cells).alias("at")).select("fp", "at.grid", "at.cell")
     sizes = put.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    put = cut(put.join(sizes, ["grid", "cell"]))
+    put = cut(put.join(sizes.hint("merge"), ["grid", "cell"]))
     cold = put.where(F.col("n") <= CELL)
     x, y = cold.select("grid", "cell", F.col("fp").alias("a")), cold.select("grid", "cell", F.col("fp").alias("b"))
-    pairs = x.join(y, ["grid", "cell"]).where(F.col("a") < F.col("b"))
+    pairs = x.join(y.hint("merge"), ["grid", "cell"]).where(F.col("a") < F.col("b"))
     pairs = pairs.where(manhattan(popcounts(F.col("a")), popcounts(F.col("b"))) <= radius).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    hot = put.where(F.col("n") > CELL).select("fp").distinct()
+    hot = put.where(F.col("n") > HUGE).select("fp").distinct()
     one_bit = F.array(*[F.lit(signed(1 << i)) for i in range(64)])
     hot = hot.withColumn("m", F.col("fp"))
     for _ in range(radius // 2):
         hot = hot.select("fp", F.explode(F.array_append(F.transform(one_bit, lambda f: f.bitwiseXOR(F.col("m"))), F.col("m"))).alias("m")).distinct()
     least = hot.groupBy("m").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = hot.join(least, "m").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return pairs.select("a", "b").union(met).distinct()
+    met = hot.join(least.hint("merge"), "m").where("fp <> a").select("a", F.col("fp").alias("b"))
+    return pairs.select("a", "b").union(_warm_links(put.where((F.col("n") > CELL) & (F.col("n") <= HUGE)), radius)).union(met).distinct()
+
+
+def _warm_links(put: DataFrame, radius: int) -> DataFrame:
+    """Links within cells of some size: pairs of parts of a cell meet, each giving a spanning forest at most."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    put = put.withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    put = put.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    put = put.select("grid", "cell", "fp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def forest(table):
+        fp = np.unique(table.column("fp").to_numpy()).view(np.uint64)
+        rest, a, b = fp.copy(), [], []
+        while len(rest):
+            todo, rest = [rest[0]], rest[1:]
+            while todo and len(rest):
+                x = todo.pop()
+                near = np.bitwise_count(rest ^ x) <= radius
+                if near.any():
+                    found = rest[near]
+                    a.append(np.full(len(found), x)), b.append(found)
+                    todo += [*found]
+                    rest = rest[~near]
+        a, b = (np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return put.groupBy("grid", "cell", "lo", "hi").applyInArrow(forest, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -173,9 +202,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
     for i in range(len(SEEDS)):
         points = cut(own.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("doc_id").alias("first")))
         near = links(points.select("fp"), NEAR)
-        ends = near.join(points.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(points.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        ends = near.join(points.select(F.col("fp").alias("a"), F.col("first").alias("x")).hint("merge"), "a").join(points.select(F.col("fp").alias("b"), F.col("first").alias("y")).hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         edges = ends if edges is None else edges.union(ends)
-        reps = reps.join(points.select(F.col("fp").alias(f"fp{i}"), F.col("first").alias(f"r{i}")), f"fp{i}")
+        reps = reps.join(points.select(F.col("fp").alias(f"fp{i}"), F.col("first").alias(f"r{i}")).hint("merge"), f"fp{i}")
     reps = cut(reps.select("doc_id", "r0", "r1"))
     edges = edges.union(reps.where("r0 <> r1").select(F.col("r0").alias("a"), F.col("r1").alias("b")).distinct())
     found = components(edges)
