@@ -75,7 +75,8 @@ def anchors(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
         begins, size = begins[owner] + k * RUN, np.minimum(RUN, size[owner] - k * RUN)
     anchor, ordered = least[begins], np.sort(g)
     again = np.isin(anchor, ordered[1:][ordered[1:] == ordered[:-1]])
-    return anchor.view(np.int64), begins.astype(np.int32), size.astype(np.int32), 1 + again.astype(np.int32)
+    # 48 bits tell anchors apart; a chance meeting only sends a fragment that needn't be.
+    return (anchor >> np.uint64(16)).view(np.int64), begins.astype(np.int32), size.astype(np.int32), 1 + again.astype(np.int32)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
