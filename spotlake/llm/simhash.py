@@ -162,54 +162,114 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Of the similarity fingerprints: seeds, radius, distinct words from which on words are the features, and
-#: bytes of a word that counts.
-SEEDS, NEAR, ENOUGH, LEAST = (42, 4242), 4, 40, 4
+#: Of near copies: words of a shingle, least share of shingles in common as a fraction, bands of least hashes and
+#: hashes of a band; texts of a part when a large bucket is verified part by part.
+WORDS, SHARE, BANDS, ROWS, TEXTS = 5, (4, 5), 20, 5, 500
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def similarity_fingerprints(text: str | None) -> list[int]:
-    """SimHash of the set of a text's longer words, once for each seed.
-
-    A near copy (0.8 or more of five-word shingles in common) changes a few words in a hundred, hence few
-    bits here, where a fingerprint of shingles would have ten bits or more changed. Texts of few words take
-    five-word shingles instead, by which only texts that are almost the same are near.
-    """
+def shingles(text: str | None) -> np.ndarray:
+    """The set of a text's five-word shingles, as sorted XXH64 values; a shorter text is one shingle."""
     w = (text or "").encode("utf-8", "replace").lower().split()
-    units = {x for x in w if len(x) >= LEAST}
-    if len(units) < ENOUGH:
-        units = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-    out = []
-    for seed in SEEDS:
-        raw = np.fromiter((xxhash.xxh64_intdigest(u, seed) for u in units), "<u8", len(units))
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(raw), _STEP):
-            ones += np.unpackbits(raw[i : i + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(raw), bitorder="little").view("<u8")[0]))
-    return out
-
-
-def similar_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row with a doc_id: near copies by either similarity fingerprint."""
+    n = max(1, len(w) - WORDS + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + WORDS]), SEED) for i in range(n)), np.uint64, n))
+
+
+def buckets(text: str | None) -> np.ndarray:
+    """A number for each band of least hashes; texts with a share s in common agree in one with 1 - (1 - s^ROWS)^BANDS."""
+    values = shingles(text)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(values), 2048):
+        least = np.minimum(least, ((values[i : i + 2048, None] ^ _MIX[0]) * _MIX[1]).min(0))
+    return (least * _MIX[2]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
+
+
+def alike(both, one, other):
+    """Whether sets of sizes ``one`` and ``other`` with ``both`` in common have the share or more; exact."""
+    return SHARE[1] * both >= SHARE[0] * (one + other - both)
+
+
+def forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links that join the same sets as all pairs that are alike."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(n), size)[np.argsort(codes, kind="stable")]
+    at = np.r_[0, np.cumsum(np.bincount(codes))]
+    rest, a, b = np.ones(n, bool), [], []
+    for first in range(n):
+        todo = [first] if rest[first] else []
+        rest[first] = False
+        while todo and rest.any():
+            x = todo.pop()
+            held = [holders[at[c] : at[c + 1]] for c in codes[ends[x] - size[x] : ends[x]]]
+            found = np.flatnonzero(rest & alike(np.bincount(np.concatenate(held), minlength=n), size[x], size))
+            rest[found] = False
+            a.append(np.full(len(found), x)), b.append(found)
+            todo += found.tolist()
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+
+
+def _text_key(text: Column | str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def similar_links(docs: DataFrame) -> DataFrame:
+    """(a, b): links of texts (by their keys), each of two that have 0.8 or more of their five-word shingles in common.
+
+    Candidates are texts that meet in a bucket of MinHash bands (two with 0.8 in common meet with a probability of
+    0.9996, of whatever length); every link is then verified on the sets of shingles. Buckets of up to ``CELL`` texts
+    are paired; in larger ones parts meet two at a time in a task, which gives a spanning forest of the links there.
+    """
     tune(docs.sparkSession)
+    texts = docs.select(_text_key("text").alias("h"), "text")
 
     def run(batches):
         for b in batches:
-            got = np.array([similarity_fingerprints(t) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, i]) for i in range(len(SEEDS)))], ["doc_id", "fp0", "fp1"])
-
-    own = cut(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp0 long, fp1 long"))
-    edges, reps = None, own
-    for i in range(len(SEEDS)):
-        points = cut(own.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("doc_id").alias("first")))
-        near = links(points.select("fp"), NEAR)
-        ends = near.join(points.select(F.col("fp").alias("a"), F.col("first").alias("x")).hint("merge"), "a").join(points.select(F.col("fp").alias("b"), F.col("first").alias("y")).hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = ends if edges is None else edges.union(ends)
-        reps = reps.join(points.select(F.col("fp").alias(f"fp{i}"), F.col("first").alias(f"r{i}")).hint("merge"), f"fp{i}")
-    reps = cut(reps.select("doc_id", "r0", "r1"))
-    edges = edges.union(reps.where("r0 <> r1").select(F.col("r0").alias("a"), F.col("r1").alias("b")).distinct())
-    found = components(edges)
-    both = reps.join(found.select(F.col("node").alias("r0"), "component"), "r0", "left")
-    return both.select("doc_id", F.coalesce("component", "r0").alias("component_id"))
+            got = np.array([buckets(t) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, BANDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * BANDS, pa.int32()), pa.array(got.ravel()))], ["h", "at"])
+
+    put = cut(texts.mapInArrow(run, "h long, at array<long>").dropDuplicates(["h"]))
+    put = put.select("h", F.posexplode("at").alias("band", "bucket"))
+    sizes = put.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    put = cut(put.join(sizes.hint("merge"), ["band", "bucket"]))
+    cold = put.where(F.col("n") <= CELL)
+    x, y = (cold.select("band", "bucket", F.col("h").alias(c)) for c in "ab")
+    pairs = cut(x.join(y.hint("merge"), ["band", "bucket"]).where("a < b").select("a", "b").distinct())
+    texts = cut(texts.dropDuplicates(["h"]).join(put.select("h").distinct().hint("merge"), "h", "left_semi"))
+    both = pairs.join(texts.toDF("a", "ta").hint("merge"), "a").join(texts.toDF("b", "tb").hint("merge"), "b")
+
+    def verified(batches):
+        for t in batches:
+            keep = []
+            for one, other in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
+                one, other = shingles(one), shingles(other)
+                keep.append(bool(alike(len(np.intersect1d(one, other, True)), len(one), len(other))))
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    hot = put.where(F.col("n") > CELL).join(texts.hint("merge"), "h")
+    parts = F.ceil(F.col("n") / TEXTS).cast("int")
+    hot = hot.withColumn("own", F.pmod(F.xxhash64("h"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    hot = hot.select("band", "bucket", "h", "text", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def joined(table):
+        h = table.column("h").to_numpy()
+        a, b = (h[i] for i in forest([shingles(t) for t in table.column("text").to_pylist()]))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    found = both.select("a", "b", "ta", "tb").mapInArrow(verified, "a long, b long")
+    return found.union(hot.groupBy("band", "bucket", "lo", "hi").applyInArrow(joined, "a long, b long")).distinct()
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id: near copies, linked by verified pairs."""
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select("doc_id", _text_key("text").alias("h"))
+    points = own.groupBy("h").agg(F.min("doc_id").alias("first"))
+    linked = components(similar_links(docs))
+    classes = points.join(linked.withColumnRenamed("node", "h"), "h", "left").select("h", "first", F.coalesce("component", "h").alias("c"))
+    heads = classes.groupBy("c").agg(F.min("first").alias("component_id"))
+    return own.join(classes.join(heads, "c").select("h", "component_id"), "h").select("doc_id", "component_id")
 
 
 def keep_first_similar(docs: DataFrame) -> DataFrame:

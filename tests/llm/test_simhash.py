@@ -89,3 +89,44 @@ def test_near_copies_go_and_others_stay(spark):
     kept = sh.keep_first_similar(df.drop("__id"))
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [*range(20), 22, 23, 24]
     assert kept.columns == ["doc_id", "text", "source"] and kept.where("doc_id is null").count() == 1
+
+
+def share(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def kept_ids(spark, texts):
+    return {r["doc_id"] for r in sh.keep_first_similar(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).select("doc_id").collect()}
+
+
+def test_near_copies_of_short_texts_go(spark):
+    rng = np.random.default_rng(3)
+    words = ["v%04d" % i for i in range(3000)]
+    texts = [" ".join(rng.choice(words, n)) for n in [*range(50, 70)] * 3]
+    near = [" ".join([*(w := t.split())[: len(w) // 2], "changed", *w[len(w) // 2 + 1 :]]) for t in texts]
+    assert all(share(a, b) >= 0.8 for a, b in zip(texts, near, strict=True))
+    thirty = [" ".join(f"{c}{i} of" for i in range(34)) for c in ("alpha", "beta", "gamma")]
+    assert len(kept_ids(spark, [*texts, *thirty, *near, *(f"{t} end" for t in thirty)])) == len(texts) + len(thirty)
+
+
+@pytest.mark.parametrize("cell, part", [(48, 500), (1, 500), (1, 7)])
+def test_components_are_those_of_verified_pairs(spark, monkeypatch, cell, part):
+    monkeypatch.setattr(sh, "CELL", cell), monkeypatch.setattr(sh, "TEXTS", part)
+    rng = np.random.default_rng(4)
+    words = ["u%04d" % i for i in range(2000)]
+    texts = []
+    for _ in range(8):
+        base = [*rng.choice(words, 150)]
+        for changed in (0, 1, 2, 2, 3, 5, 9):
+            w = [*base]
+            for i in rng.choice(150, changed, replace=False):
+                w[i] = "other"
+            texts.append(" ".join(w))
+        texts.append(" ".join(rng.permutation(base)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if share(texts[i], texts[j]) >= 0.8]
+    root = [*range(len(texts))]
+    for _ in root:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    assert kept_ids(spark, texts) == {i for i, r in enumerate(root) if i == r}
