@@ -32,6 +32,7 @@ GAMMA, LEAST, SALTS = 0.9, 0.6, 64
 #: Elements of HTML by how they are read.
 BLOCK = {*"address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()}
 RAW = {*"script style noscript template iframe object svg math textarea select button canvas audio video title".split()}
+MARKUP = {*"noscript template object svg math select button canvas audio video".split()}
 ASIDE = {*"head nav footer aside form menu dialog search".split()}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 NAMED = re.compile(
@@ -40,6 +41,10 @@ NAMED = re.compile(
 )
 ROLES = {*"navigation banner contentinfo complementary search dialog alert menu menubar form".split()}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""", re.S)
+#: What ends an element that is skipped: its end tag, wherever it stands; in those that hold markup, not in a comment.
+_END = {t: re.compile(("" if t in MARKUP else "(?!)") + rf"<!--.*?(?:-->|\Z)|(</{t}(?=[\s/>])[^>]*>)", re.I | re.S) for t in RAW}
+#: The beginning of a tag that the page ends in.
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
@@ -63,7 +68,7 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, str]]:
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, path, named
     text: list[str] = []
-    page, at, skip = page or "", 0, ""
+    page, at = page or "", 0
 
     def flush():
         if text:
@@ -80,12 +85,8 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, str]]:
             if stack[i][0] in within:
                 return
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         end, tag, attrs = m.group(1), m.group(2), m.group(3)
-        if skip:
-            if end and tag and tag.lower() == skip:
-                skip, at = "", m.end()
-            continue
         if m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
@@ -96,7 +97,7 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, str]]:
             if tag in ("svg", "math", "textarea", "select", "button") or tag not in BLOCK:
                 text.append(" ")
             if not end and not attrs.endswith("/"):
-                skip = tag
+                at = next((e.end() for e in _END[tag].finditer(page, at) if e.group(1)), len(page))
             continue
         if tag == "br":
             text.append(" ")
@@ -115,8 +116,8 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, str]]:
         name = tag + "".join(f".{_DIGITS.sub('#', found[k].strip())}" for k in ("class", "id") if found.get(k))
         above = stack[-1] if stack else ("", "", False)
         stack.append((tag, f"{above[1]}>{name}" if above[1] else name, above[2] or named_aside(tag, found, stack)))
-    if not skip and at < len(page):
-        text.append(page[at:].split("<")[0] if "<" in page[at:] and not page[at:].rstrip().endswith(">") else page[at:])
+    if at < len(page):
+        text.append(page[at:] if page[at:].rstrip().endswith(">") else _UNFINISHED.split(page[at:], maxsplit=1)[0])
     flush()
     return out
 

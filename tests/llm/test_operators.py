@@ -242,6 +242,22 @@ def test_pages(spark):
     assert len(got) == 34 and site_tree.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<script>for(i=0;i<n;i++){go()}</script><article>Main</article>", ["Main"]),
+        ("<p>a<SCRIPT>if(a<b){x=1}</Script >b<style>p<q{}</style>c", ["a b c"]),
+        ("<p>x<script>s='</scripts>'</script>y<svg><!-- </svg> --><a/></svg>z", ["x y z"]),
+        ("<script>only", []),
+        ("<p>if x < 5 then more", ["if x < 5 then more"]),
+        ("<p>1 < 2 and <b class=", ["1 < 2 and"]),
+        ("<p>so </", ["so"]),
+    ],
+)
+def test_text_after_raw_elements_and_at_the_end_stays(page, want):
+    assert [b[1] for b in site_tree.blocks(page)] == want
+
+
 @pytest.mark.parametrize("name", ["op1_sharding", "op8_substring"])
 def test_query_against_sql(spark, sf, name):
     import duckdb
