@@ -142,7 +142,7 @@ def _(spark, sf):
 
 @query("hidden_states")
 def _(spark, sf):
-    m, d, move = T.hidden_states(events(spark, sf).where("user_id < 50"), "user_id", "t", "value", 2, 3)
+    m, d, move = T.hidden_states(events(spark, sf), "user_id", "t", "value", 2)
     return spark.createDataFrame([(i, float(m[i]), float(d[i]), float(move[i, i])) for i in range(2)], "state int, mean double, deviation double, stay double")
 
 
@@ -178,7 +178,7 @@ def _(spark, sf):
 
 @query("null_envelope")
 def _(spark, sf):
-    return X.envelope(points(spark, sf).where("row_id < 400"), (-300, -300, 300, 300), 40, 10, 5)
+    return X.envelope(points(spark, sf), (-300, -300, 300, 300), 40, 10, 5)
 
 
 @query("nearest_precision")
@@ -235,7 +235,7 @@ def _(spark, sf):
 
 @query("mixtures")
 def _(spark, sf):
-    return X.mixtures(points(spark, sf).where("row_id < 2000"), "label")
+    return X.mixtures(points(spark, sf), "label")
 
 
 @query("cluster_centres", f"{EV}, g AS (SELECT user_id, frame, value, CASE WHEN frame - lag(frame) OVER (PARTITION BY user_id ORDER BY frame, event_id) > 60 THEN 1 ELSE 0 END AS n FROM ev) SELECT user_id, count(*) AS n_locs, CAST(sum(n) + 1 AS BIGINT) AS n_events, round(avg(frame), 4) AS frame_mean, round(avg(value), 6) AS value FROM g GROUP BY 1")
@@ -382,7 +382,7 @@ def _(spark, sf):
 @query("mean_shift")
 def _(spark, sf):
     p = points(spark, sf)
-    return M.mean_shift(p, p.where("row_id < 30"), 60, 4).select("row_id", *[F.round(c, 4).alias(c) for c in ("x_nm", "y_nm")], "n")
+    return M.mean_shift(p, p, 60, 4).select("row_id", *[F.round(c, 4).alias(c) for c in ("x_nm", "y_nm")], "n")
 
 
 @query("equalised")
