@@ -262,17 +262,23 @@ def similar_links(docs: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row with a doc_id: near copies, linked by verified pairs."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = docs.select("doc_id", _text_key("text").alias("h"))
-    points = own.groupBy("h").agg(F.min("doc_id").alias("first"))
-    linked = components(similar_links(docs))
-    classes = points.join(linked.withColumnRenamed("node", "h"), "h", "left").select("h", "first", F.coalesce("component", "h").alias("c"))
-    heads = classes.groupBy("c").agg(F.min("first").alias("component_id"))
-    return own.join(classes.join(heads, "c").select("h", "component_id"), "h").select("doc_id", "component_id")
+    """(h, component) of every text that has a near copy, by the texts' keys."""
+    return components(similar_links(docs)).withColumnRenamed("node", "h")
 
 
 def keep_first_similar(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) with the smallest doc_id among their near copies; null ids stay."""
-    goes = similar_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(goes, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One row of ``docs`` (all columns) of each group of near copies: that of the smallest doc_id.
+
+    Rows are told apart by doc_id and text: of a repeated id, the text of the smaller key stays, and of repeated
+    rows the smallest by its JSON. Rows with a null doc_id form groups of their own, of which one row stays.
+    """
+    rows = docs.select("doc_id", _text_key("text").alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    points = rows.groupBy("h", F.isnull("doc_id").alias("none")).agg(F.min(F.struct("doc_id", "n")).alias("x"))
+    classes = points.join(similar_components(docs).hint("merge"), "h", "left")
+    heads = classes.groupBy(F.coalesce("component", "h").alias("c"), "none").agg(F.min(F.struct("x.doc_id", "h", "x.n")).alias("x"))
+    stays = cut(heads.select(F.col("x.doc_id").alias("__id"), F.col("x.h").alias("__h"), F.col("x.n").alias("__n")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_key("text") == F.col("__h"))
+    once = docs.join(stays.where("__n = 1").hint("merge"), same, "left_semi")
+    row = F.struct(*docs.columns)
+    again = docs.join(stays.where("__n > 1").hint("merge"), same).groupBy("__id", "__h").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.union(again.select("row.*"))

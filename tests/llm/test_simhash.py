@@ -130,3 +130,12 @@ def test_components_are_those_of_verified_pairs(spark, monkeypatch, cell, part):
         for i, j in pairs:
             root[i] = root[j] = min(root[i], root[j])
     assert kept_ids(spark, texts) == {i for i, r in enumerate(root) if i == r}
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i:02}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "x"), (2, f"{a} end", "x"), (2, b, "x"), (3, c, "y"), (3, c, "x"), (None, a, "x"), (None, f"{a} end", "x"), (None, None, "x")]
+    kept = sh.keep_first_similar(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    named = sorted((r["doc_id"], r["text"], r["source"]) for r in kept if r["doc_id"] is not None)
+    assert named == [(1, a, "x"), (2, b, "x"), (3, c, "x")]
+    assert sorted((r["text"] or "")[:3] for r in kept if r["doc_id"] is None) == ["", "a00"]
