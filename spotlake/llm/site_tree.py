@@ -16,7 +16,7 @@ A branch whose mean of both is below ``LEAST`` is removed from the host's pages.
 
 Trees are never held whole: they are counts by (host, path, content), summed up before they are shuffled, so a
 host with a third of all pages is not gathered anywhere. A page is parsed twice rather than written: for the tree,
-and for its blocks, which meet the page's own removed paths by the page's key.
+and for its blocks, which are compressed and meet the page's own removed paths by the page's key.
 
 Defined results: null or empty html, or nothing left, gives an empty string; pages with a null url have a tree of
 their own; repeated rows are pages of their own and get equal results; an empty table gives an empty result;
@@ -32,6 +32,7 @@ import re
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,7 +199,8 @@ def importance(tree: DataFrame) -> DataFrame:
     times = leaf.groupBy(*keys, "times").agg(F.count(F.lit(1)).alias("n"))
     times = times.groupBy(*keys).agg(F.sum("n").alias("on"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     times = times.select(*keys, (1 - F.exp(F.col("nlogn") / F.col("on") - F.log("on"))).alias("varied"))
-    by = contents.join(times, keys).join(pages, "host")
+    # One row a path: written, as it is read several times below.
+    by = cut(contents.join(times, keys).join(pages, "host"))
     log_m = F.log(F.greatest("m", F.lit(2)))
     by = by.withColumn("content", F.greatest(F.lit(0.0), 1 - F.col("logs") / (F.col("l") * log_m))).withColumn("info", F.greatest(F.lit(0.0), F.col("chars") - F.col("lost") / log_m))
     by = by.join(by.groupBy("host").agg(F.sum("info").alias("whole")), "host")
@@ -229,17 +231,25 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = keyed(pages)
     gone = removed(cut(trees(rows)))
 
-    def run(batches):
+    def packed(batches):
+        small = zstandard.ZstdCompressor(3)
         for b in batches:
             found = [blocks(h) for h in b.column(4).to_pylist()]
-            at = [[path_number(p, d) for p, _, d in f] for f in found]
-            cols = [*b.columns[:4], pa.array([[t for _, t, _ in f] for f in found], pa.list_(pa.string())), pa.array(at, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "page_id", "url", "texts", "at"])
+            texts = [small.compress("\n".join(t for _, t, _ in f).encode("utf-8", "replace")) for f in found]
+            at = pa.array([[path_number(p, d) for p, _, d in f] for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(texts, pa.binary()), at], ["k1", "k2", "page_id", "url", "texts", "at"])
+
+    def kept(batches):
+        whole = zstandard.ZstdDecompressor()
+        for b in batches:
+            at, gone = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("at", "gone"))
+            out = []
+            for t, a, g in zip(b.column(b.schema.get_field_index("texts")).to_pylist(), at, gone, strict=True):
+                g = set(g or ())
+                out.append("\n".join(x for x, n in zip(whole.decompress(t).decode().split("\n"), a, strict=False) if n not in g))
+            cols = [b.column(b.schema.get_field_index(c)) for c in ("page_id", "url")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    found = rows.select("k1", "k2", "page_id", "url", "html").mapInArrow(run, f"k1 long, k2 long, page_id {kind}, url string, texts array<string>, at array<long>")
-    both = found.join(gone, ["k1", "k2"], "left")
-    none = F.array().cast("array<long>")
-    kept = F.filter("texts", lambda _, i: ~F.array_contains(F.coalesce("gone", none), F.get("at", i)))
-    text = F.array_join(kept, "\n")
-    return both.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    found = rows.select("k1", "k2", "page_id", "url", "html").mapInArrow(packed, f"k1 long, k2 long, page_id {kind}, url string, texts binary, at array<long>")
+    return found.join(gone, ["k1", "k2"], "left").mapInArrow(kept, f"page_id {kind}, url string, text string, n_chars long")
