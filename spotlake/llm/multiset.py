@@ -2,12 +2,13 @@
 
 A text is the multiset of its paragraphs: its lines, and within a line its sentences, trimmed. Each is
 hashed to two wide vectors that are added up: ``WIDE`` lanes of uniform numbers modulo 2**32, by which equal
-multisets are told, and ``SIGNS`` lanes of +1 or -1 modulo 2**16, whose differences estimate how much two
+multisets are told, and ``SIGNS`` lanes of +1 or -1 modulo 2**32, whose differences estimate how much two
 multisets share. Sums don't depend on order, and a paragraph is inserted or deleted by adding or
 subtracting its vectors (``Fingerprint.added``, ``removed``).
 
 The likeness of two fingerprints is 2 <a, b> / (|a|^2 + |b|^2) as their sign lanes estimate it, between 0
-and 1; it is 1 for equal fingerprints. With 128 lanes its standard error is below 0.09.
+and 1; it is 1 for equal fingerprints. With 128 lanes its standard error is below 0.09. Sums of signs hold up to
+2**31 paragraphs, whatever their length.
 
 Defined results: a null text is as an empty one (no paragraphs; two such are alike). The next document goes
 by descending doc_id, null ids last, rows of one id by a hash of their text; after the last row comes the
@@ -20,6 +21,7 @@ import base64
 import hashlib
 import re
 from bisect import bisect_right
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import partitions, tune
 
 WIDE, SIGNS = 16, 128
+#: Paragraphs that are hashed at once; rows and characters that are held until they are.
+STEP, ROWS, CHARS = 8192, 500, 1 << 20
 _PARAGRAPH = re.compile(r"[^\n.!?|]*[^\n.!?|\s][^\n.!?|]*[.!?|]*")
 _STEP = np.arange(1, WIDE // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,21 +51,21 @@ def vectors(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     z ^= z >> np.uint64(27)
     z *= np.uint64(0x94D049BB133111EB)
     z ^= z >> np.uint64(31)
-    return z.view(np.uint32), np.unpackbits(raw, axis=1).astype(np.int16) * 2 - 1
+    return z.view(np.uint32), np.unpackbits(raw, axis=1).astype(np.int8) * 2 - 1
 
 
 class Fingerprint:
     """Sum of a multiset's vectors."""
 
     def __init__(self, wide: np.ndarray, signs: np.ndarray):
-        self.wide, self.signs = wide.astype(np.uint32), signs.astype(np.int16)
+        self.wide, self.signs = wide.astype(np.uint32), signs.astype(np.int32)
 
     @classmethod
     def of(cls, units: list[str]) -> Fingerprint:
         if not units:
-            return cls(np.zeros(WIDE, np.uint32), np.zeros(SIGNS, np.int16))
+            return cls(np.zeros(WIDE, np.uint32), np.zeros(SIGNS, np.int32))
         w, s = vectors(units)
-        return cls(w.sum(0, dtype=np.uint32), s.sum(0, dtype=np.int16))
+        return cls(w.sum(0, dtype=np.uint32), s.sum(0, dtype=np.int32))
 
     def added(self, units: list[str]) -> Fingerprint:
         other = Fingerprint.of(units)
@@ -72,12 +76,12 @@ class Fingerprint:
         return Fingerprint(self.wide - other.wide, self.signs - other.signs)
 
     def text(self) -> str:
-        return base64.b64encode(self.wide.astype("<u4").tobytes() + self.signs.astype("<i2").tobytes()).decode()
+        return base64.b64encode(self.wide.astype("<u4").tobytes() + self.signs.astype("<i4").tobytes()).decode()
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         raw = base64.b64decode(text)
-        return cls(np.frombuffer(raw[: 4 * WIDE], "<u4"), np.frombuffer(raw[4 * WIDE :], "<i2"))
+        return cls(np.frombuffer(raw[: 4 * WIDE], "<u4"), np.frombuffer(raw[4 * WIDE :], "<i4"))
 
 
 def likeness(wide_a, signs_a, wide_b, signs_b) -> np.ndarray:
@@ -89,20 +93,16 @@ def likeness(wide_a, signs_a, wide_b, signs_b) -> np.ndarray:
 
 
 def sums(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Wide and sign sums of each list of paragraphs."""
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    wide, signs = np.zeros((len(lists), WIDE), np.uint32), np.zeros((len(lists), SIGNS), np.int16)
-    some = np.flatnonzero(size)
-    step = 20_000  # lists are taken until they have so many paragraphs
-    at = 0
-    while at < len(some):
-        to = max(at + 1, int(np.searchsorted(np.cumsum(size[some[at:]]), step, "right")) + at)
-        part = some[at:to]
-        flat = [u for i in part for u in lists[i]]
-        begins = np.cumsum(size[part]) - size[part]
-        w, s = vectors(flat)
-        wide[part], signs[part] = np.add.reduceat(w, begins, axis=0, dtype=np.uint32), np.add.reduceat(s, begins, axis=0, dtype=np.int16)
-        at = to
+    """Wide and sign sums of each list of paragraphs, so many paragraphs at a time."""
+    wide, signs = np.zeros((len(lists), WIDE), np.uint32), np.zeros((len(lists), SIGNS), np.int32)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = chain.from_iterable(lists)
+    for i in range(0, len(owner), STEP):
+        own = owner[i : i + STEP]
+        w, s = vectors([*islice(flat, STEP)])
+        begins = np.flatnonzero(np.diff(own, prepend=-1))
+        wide[own[begins]] += np.add.reduceat(w, begins, axis=0, dtype=np.uint32)
+        signs[own[begins]] += np.add.reduceat(s, begins, axis=0, dtype=np.int32)
     return wide, signs
 
 
@@ -123,27 +123,31 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness with each other and the next."""
     spark = docs.sparkSession
     tune(spark)
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("k"))
+    nk = F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long")).alias("nk")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), nk).withColumn("th", F.xxhash64("text"))
     parts = 2 * partitions(docs)
-    bounds = sorted(set(int(x) for x in base.select(F.col("k").cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)))
+    # Ranges of (nk, th), so that rows with one id (or none) are dealt too: the least key of each, one row a range.
+    ranges = base.select("nk", "th").repartitionByRange(parts, "nk", "th").groupBy(F.spark_partition_id()).agg(F.min(F.struct("nk", "th")).alias("x"))
+    bounds = sorted({(r["x"]["nk"], r["x"]["th"]) for r in ranges.collect()})[1:]
     root = max(1, int(len(bounds) ** 0.5))
     fine = [bounds[i : i + root] for i in range(0, len(bounds), root)] or [[]]
-    below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("k")))
-    coarse = F.array(*[F.lit(x[0]) for x in fine[1:]]).cast("array<long>")
-    rows = F.array(*[F.array(*map(F.lit, x)).cast("array<long>") for x in fine])
-    base = base.withColumn("g", below(coarse)).withColumn("part", F.col("g") * root + below(F.element_at(rows, F.col("g") + 1))).drop("g")
-    base = base.withColumn("th", F.xxhash64("text"))
+    pair = lambda x: F.struct(F.lit(x[0]).cast("long").alias("nk"), F.lit(x[1]).cast("long").alias("th"))
+    kind = "array<struct<nk:bigint,th:bigint>>"
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.struct("nk", "th")))
+    rows = F.array(*[F.array(*map(pair, x)).cast(kind) for x in fine])
+    base = base.withColumn("g", below(F.array(*[pair(x[0]) for x in fine[1:]]).cast(kind)))
+    base = base.withColumn("part", F.col("g") * root + below(F.element_at(rows, F.col("g") + 1))).drop("g")
 
     # The first row of each part follows the last row of the part above it: one row a part is copied there.
-    heads = base.select("part", F.bitwise_not("k").alias("nk"), "th").groupBy("part").agg(F.min(F.struct("nk", "th")).alias("h")).collect()
-    order = sorted(((r["part"], r["h"]["nk"], r["h"]["th"]) for r in heads), reverse=True)
+    heads = base.select("part", "nk", "th").groupBy("part").agg(F.min(F.struct("nk", "th")).alias("h")).collect()
+    order = sorted((r["part"], r["h"]["nk"], r["h"]["th"]) for r in heads)
     guests = [(nk, th, order[i - 1][0]) for i, (_, nk, th) in enumerate(order)]  # the first row of all goes to the last part
+    # One row a part, so within the bound of the parts' number.
     guests = spark.createDataFrame(guests, "gk long, gh long, target int") if guests else spark.createDataFrame([], "gk long, gh long, target int")
-    base = base.withColumn("nk", F.bitwise_not("k")).drop("k")
-    both = base.join(F.broadcast(guests), (F.col("nk") == F.col("gk")) & (F.col("th") == F.col("gh")), "left")  # one row a part
+    both = base.join(F.broadcast(guests), (F.col("nk") == F.col("gk")) & (F.col("th") == F.col("gh")), "left")
     places = F.when(F.col("target").isNull(), F.array(F.struct("part", F.lit(0).alias("guest")))).otherwise(F.array(F.struct("part", F.lit(0).alias("guest")), F.struct(F.col("target").alias("part"), F.lit(1).alias("guest"))))
     both = both.select("doc_id", "text", "nk", "th", F.explode(places).alias("to")).select("doc_id", "text", "nk", "th", "to.part", "to.guest")
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "guest", "nk", "th").select("part", "guest", "doc_id", "text")
+    dealt = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "nk", "th").select("part", "guest", "doc_id", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def digest(rows, following):
@@ -158,7 +162,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
         out_w, out_s = sums([u[m[0] :] for u, m in zip(units, more, strict=True)])
         in_w, in_s = sums([m[1] for m in more])
         new_w, new_s = wide[:-1] - out_w + in_w, signs[:-1] - out_s + in_s
-        pack = lambda w, s: [base64.b64encode(a.astype("<u4").tobytes() + b.astype("<i2").tobytes()).decode() for a, b in zip(w, s, strict=True)]
+        pack = lambda w, s: [base64.b64encode(a.astype("<u4").tobytes() + b.astype("<i4").tobytes()).decode() for a, b in zip(w, s, strict=True)]
         cols = [
             pa.array([k for k, _ in rows], key_type[0]),
             pa.array([len(t) for t in texts], pa.int64()),
@@ -173,20 +177,18 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     key_type = [pa.int64()]
 
     def run(batches):
-        held, part = [], None  # rows of a part that wait for what follows
+        held, part, chars = [], None, 0  # rows of a part that wait for what follows
         for b in batches:
             key_type[0] = b.column(2).type
             for p, guest, key, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if guest:
-                    if held and part == p:
-                        yield digest(held, text)
-                        held = []
+                if guest and not (held and part == p):
                     continue
-                if len(held) >= 500:
+                if held and (guest or len(held) >= ROWS or chars >= CHARS):
                     yield digest(held, text)
-                    held = []
-                held.append((key, text))
-                part = p
+                    held, chars = [], 0
+                if not guest:
+                    held.append((key, text))
+                    part, chars = p, chars + len(text)
         assert not held, "each part ends with a guest"
 
     kind = docs.schema["doc_id"].dataType.simpleString()
