@@ -2,12 +2,12 @@
 
 Every piece is a vector of tokens, segments (1) and loss-bearing tokens, and a sequence has a limit on each.
 Sequences are filled one at a time: of the pieces that fit, the next is the one whose vector has the
-largest dot product with what the sequence has left, both in parts of the limits. If tokens are left and no
-piece fits, one is cut to fill them (``cut=True``). Long documents first give full pieces of the capacity.
+largest dot product with what the sequence has left, both in parts of the limits (the part of the segments is
+the same for every piece). If no piece fits, one that doesn't is cut to what is left (``cut=True``). Long documents first give full pieces of the capacity.
 
 Pieces are placed within the task that reads their documents, a window of documents at a time, so nothing is
-shuffled and no group is gathered. Only the last sequences of a task are not full; as sequences whose
-length is a power of two aren't padded, their tokens are dealt to such lengths.
+shuffled and no group is gathered. Sequences that end short of the capacity (the last of a task, and those that
+another limit closes) are dealt to lengths that are powers of two, as those aren't padded.
 
 Defined results: a null text is as an empty one (just the end id, one piece); each row is packed by itself,
 so repeated rows give repeated pieces; ties go to the earlier row; an empty table gives an empty result;
@@ -17,6 +17,7 @@ further columns are dropped.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -32,53 +33,96 @@ LIMITS = (4096, 256, 4096)
 WINDOW = 3000
 
 
+class Queue:
+    """Pieces that wait, by (length, loss, -item)."""
+
+    def __init__(self, pieces: list[tuple[int, int, int]]):
+        self.pieces = sorted(pieces)
+        self.length, self.loss = (np.array([p[x] for p in self.pieces], np.int64) for x in (0, 1))
+
+    def best(self, left: list[int], limits: tuple[int, int, int]) -> int | None:
+        """Where the fitting piece of the largest dot product with ``left`` is; of equal ones the longest, then the earliest."""
+        top = int(np.searchsorted(self.length, left[0], "right"))
+        if top and self.pieces[top - 1][0] == self.pieces[top - 1][1] <= left[2]:
+            return top - 1  # no shorter one, nor one with less loss, can have a larger product
+        tokens, segments, loss = (x / limit**2 for x, limit in zip(left, limits, strict=True))
+        product = np.where(self.loss[:top] <= left[2], self.length[:top] * tokens + segments + self.loss[:top] * loss, -1.0)
+        k = top - 1 - int(np.argmax(product[::-1])) if top else None
+        return k if k is not None and product[k] >= 0 else None
+
+    def cuttable(self, left: list[int]) -> int | None:
+        """Where the piece to cut is: the shortest that is too long, else the longest, which then bears too much loss."""
+        k = min(int(np.searchsorted(self.length, left[0], "right")), len(self.pieces) - 1)
+        return k if left[2] or not self.pieces[k][1] else None
+
+    def pop(self, k: int) -> int:
+        self.length, self.loss = np.delete(self.length, k), np.delete(self.loss, k)
+        return -self.pieces.pop(k)[2]
+
+    def add(self, piece: tuple[int, int, int]) -> None:
+        k = bisect_left(self.pieces, piece)
+        self.pieces.insert(k, piece)
+        self.length, self.loss = np.insert(self.length, k, piece[0]), np.insert(self.loss, k, piece[1])
+
+
+class Items:
+    """Lengths and losses of items; the loss-bearing tokens of one are taken as spread evenly over it."""
+
+    def __init__(self, lengths: np.ndarray, losses: np.ndarray):
+        self.length, self.loss = lengths.tolist(), losses.tolist()
+        self.start = [0] * len(self.length)
+
+    def bears(self, i: int, take: int) -> int:
+        """Loss of the next ``take`` tokens of an item."""
+        n, loss, s = self.length[i], self.loss[i], self.start[i]
+        return loss * (s + take) // n - loss * s // n
+
+    def takes(self, i: int, tokens: int, loss: int) -> int:
+        """The most next tokens of an item, up to ``tokens``, whose loss is at most ``loss``."""
+        n, own, s = self.length[i], self.loss[i], self.start[i]
+        return min(tokens, n - s, ((loss + own * s // n + 1) * n - 1) // own - s if own else tokens)
+
+    def rest(self, i: int) -> tuple[int, int, int]:
+        n = self.length[i] - self.start[i]
+        return n, self.bears(i, n), -i
+
+
 def place(lengths: np.ndarray, losses: np.ndarray, limits: tuple[int, int, int], cut: bool, last: bool):
     """Sequences of (item, start, length), and the items' parts left over.
 
-    Sequences that aren't full are given only if ``last``; else their pieces are left for the next window.
+    A sequence that still has room when the items end is given only if ``last``; else its pieces are left for
+    the next window. A loss is at most its length.
     """
-    cap = np.array(limits, float)
-    length, loss, start = lengths.astype(np.int64).copy(), losses.astype(np.int64).copy(), np.zeros(len(lengths), np.int64)
-    done = []
-    for i in np.flatnonzero(length >= limits[0]) if cut else []:  # full sequences of one document
-        while length[i] >= limits[0] and loss[i] * limits[0] <= limits[2] * max(length[i], 1):
-            done.append([(int(i), int(start[i]), limits[0])])
-            part = loss[i] * limits[0] // length[i]
-            start[i], length[i], loss[i] = start[i] + limits[0], length[i] - limits[0], loss[i] - part
-    alive = np.flatnonzero(length > 0)
-    if len(alive):
-        alive = alive[np.lexsort((alive, -loss[alive], -length[alive]))]
-    while len(alive):
-        left, own = np.array(limits, np.int64), []
-        free = np.ones(len(alive), bool)
-        while left[0] > 0 and left[1] > 0:
-            fit = free & (length[alive] <= left[0]) & (loss[alive] <= left[2])
-            if not fit.any():
+    if min(limits) < 1:
+        raise ValueError("limits are positive")
+    items, done, todo = Items(lengths, losses), [], []
+    for i, n in enumerate(items.length):
+        while cut and n - items.start[i] >= limits[0] and items.bears(i, limits[0]) <= limits[2]:  # full sequences of one document
+            done.append([(i, items.start[i], limits[0])])
+            items.start[i] += limits[0]
+        if n > items.start[i]:
+            todo.append(items.rest(i))
+    queue = Queue(todo)
+    while queue.pieces:
+        left, own = list(limits), []
+        while left[0] > 0 and left[1] > 0 and queue.pieces:
+            k = queue.best(left, limits)
+            take = queue.pieces[k][0] if k is not None else 0
+            if k is None and cut and (k := queue.cuttable(left)) is not None:
+                take = items.takes(-queue.pieces[k][2], left[0], left[2])
+            if not take:
                 break
-            score = length[alive] * (left[0] / cap[0] ** 2) + loss[alive] * (left[2] / cap[2] ** 2)
-            k = int(np.argmax(np.where(fit, score, -1.0)))
-            i = int(alive[k])
-            own.append((i, int(start[i]), int(length[i])))
-            free[k] = False
-            left -= (length[i], 1, loss[i])
-        rest = alive[free]
-        if cut and left[0] > 0 and left[1] > 0 and len(rest):  # the smallest that is too long is cut
-            k = int(rest[-1]) if len(rest) else -1
-            over = rest[length[rest] > left[0]]
-            k = int(over[-1]) if len(over) else k
-            take = int(min(left[0], length[k]))
-            part = int(loss[k] * take // length[k])
-            if 0 < take < length[k] and part <= left[2]:
-                own.append((k, int(start[k]), take))
-                start[k], length[k], loss[k] = start[k] + take, length[k] - take, loss[k] - part
-                left -= (take, 1, part)
-                rest = rest[np.lexsort((rest, -loss[rest], -length[rest]))]
-        full = left[0] <= 0 or left[1] <= 0
-        if not own or (not full and not len(rest) and not last):
-            back = [(i, s, n) for i, s, n in own]
-            return done, [*back, *((int(i), int(start[i]), int(length[i])) for i in rest)]
+            i = queue.pop(k)
+            left = [left[0] - take, left[1] - 1, left[2] - items.bears(i, take)]
+            own.append((i, items.start[i], take))
+            items.start[i] += take
+            if items.start[i] < items.length[i]:
+                queue.add(items.rest(i))
+        if not own:
+            raise ValueError("a piece exceeds the limits")
+        if not queue.pieces and left[0] > 0 and left[1] > 0 and not last:
+            return done, own
         done.append(own)
-        alive = rest
     return done, []
 
 
@@ -87,9 +131,9 @@ def by_powers(sequence: list[tuple[int, int, int]], room: int) -> list[list[tupl
     total = sum(n for _, _, n in sequence)
     if total in (0, room):
         return [sequence]
-    out, own, k = [], [], 0
-    goals = [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
-    left = goals[0]
+    out, own = [], []
+    goals = [1 << b for b in range(total.bit_length()) if total >> b & 1]  # the largest last
+    left = goals.pop()
     for i, s, n in sequence:
         while n:
             take = min(n, left)
@@ -97,8 +141,7 @@ def by_powers(sequence: list[tuple[int, int, int]], room: int) -> list[list[tupl
             s, n, left = s + take, n - take, left - take
             if not left:
                 out.append(own)
-                own, k = [], k + 1
-                left = goals[k] if k < len(goals) else 0
+                own, left = [], goals.pop() if goals else 0
     return out
 
 
@@ -119,7 +162,7 @@ def pack_tokens(docs: DataFrame, path: str, end_id: int = 2, limits: tuple[int,
         def emit(sequences, items):
             nonlocal made
             rows = []
-            for seq in sequences:
+            for seq in (p for s in sequences for p in by_powers(s, limits[0])):
                 at = 0
                 for i, s, n in seq:
                     key, ids, _, base = items[i]
@@ -134,9 +177,7 @@ def pack_tokens(docs: DataFrame, path: str, end_id: int = 2, limits: tuple[int,
             lengths = np.array([len(ids) // 4 - base for _, ids, _, base in items], np.int64)
             whole = np.array([len(ids) // 4 for _, ids, _, _ in items], np.int64)
             bear = np.array([n if x is None else min(max(x, 0), n) for (_, _, x, _), n in zip(items, whole, strict=True)], np.int64)
-            seqs, rest = place(lengths, bear * lengths // np.maximum(whole, 1), limits, True, last)
-            # what is left of a document continues as an item of its own; a cut piece may end before the document does
-            return seqs, rest
+            return place(lengths, bear * lengths // np.maximum(whole, 1), limits, True, last)
 
         key_type = None
         for b in batches:
@@ -152,7 +193,6 @@ def pack_tokens(docs: DataFrame, path: str, end_id: int = 2, limits: tuple[int,
                 held = keep(held, rest)
         if key_type is not None:
             seqs, rest = placed(held, True)
-            seqs = [p for s in seqs for p in (by_powers(s, limits[0]) if len(s) < limits[1] // 2 else [s])]
             yield emit(seqs, held)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
