@@ -9,14 +9,18 @@ all that a query carries to the rows. Their entries are then scored exactly.
 The budget is fitted too: for a bounded sample of queries the exact neighbours are found by brute force over
 all rows, and the budget is how many rows the traversal reads until it has met ``goal`` of them.
 
-Rows lie in blocks of about ``BLOCK`` (whole groups of first centroids; larger groups are salted), and a
-block meets the queries in batches of ``QUERIES``, so no task holds more than one block and one batch.
-Each meeting gives at most ``k`` rows a query.
-
-Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, as
-query or candidate; all others must have one length. Ties go to the smaller vec_id. Rows with a query's
-vec_id are its own and not its candidates; of repeated queries with one vec_id the rows are merged. With
-fewer candidates than ``k`` all of them are returned; an empty table gives an empty result.
+Rows lie in blocks of about ``BLOCK`` (whole groups of first centroids; larger groups are salted). A query goes
+once to every block that holds a cell which it took; a task holds one block, by cell, and streams the queries
+through it in batches, scoring of each cell only the queries that took it. So the rows scored are those of the
+budget, nothing is copied for each batch of queries, and a meeting gives at most ``k`` rows a query.
+
+On vectors without clusters the fitted budget is a fixed part of all rows, and cost then grows with queries times rows.
+
+Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, as query or
+candidate, and neither do those of another length than most (of equally frequent lengths, the larger counts). Ties
+go to the smaller vec_id. Rows with a query's vec_id are its own and not its candidates; of repeated queries with
+one vec_id the vector of the least hash asks. With fewer candidates than ``k`` all of them are returned; an empty
+table gives an empty result; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -28,15 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions, tune
 
-CENTROIDS, SAMPLE, TRIED, BLOCK, QUERIES = 64, 16_000, 60, 8192, 4096
+CENTROIDS, SAMPLE, TRIED, BLOCK = 64, 16_000, 60, 32_768
 
 
 def usable(rows: DataFrame) -> DataFrame:
+    """vec_id, v of the rows that take part."""
     e = F.col("embedding")
     whole = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    return rows.where(F.coalesce(whole, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("v"))
+    rows = rows.where(F.coalesce(whole, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("v"))
+    most = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return rows.where(F.size("v") == (most["n"] if most else 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -95,29 +102,44 @@ class MultiIndex:
         return last if taken >= budget else -np.inf
 
 
-def top(q_id, q, reach, v_id, v, c1, c2, index: MultiIndex, k: int):
-    """(query, vector, score) of the best ``k`` of these rows for each query."""
-    out = [], [], []
-    s1, s2 = index.sums(q)
-    for i in range(0, len(q), 256):
-        part = slice(i, i + 256)
-        inside = (s1[part][:, c1] + s2[part][:, c2] >= reach[part, None] - 1e-12) & (v_id[None] != q_id[part, None])
-        rough = np.where(inside, q[part] @ v.T, -np.inf)
-        n = min(k, rough.shape[1])
-        bound = np.partition(rough, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n]
-        x, y = np.nonzero(inside & (rough >= bound[:, None] - 1e-9))
-        for j in range(0, len(x), 1 << 17):  # scored one by one, so that equal vectors score alike
-            xs, ys = x[j : j + (1 << 17)], y[j : j + (1 << 17)]
-            out[0].append(xs + i), out[1].append(ys), out[2].append((q[part][xs] * v[ys]).sum(1))
-    if not out[0]:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    x, y, s = map(np.concatenate, out)
-    by = np.lexsort((v_id[y], -s, x))
-    x, y, s = x[by], y[by], s[by]
-    begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    turn = np.arange(len(x)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(x)]])))
-    best = turn < k
-    return q_id[x[best]], v_id[y[best]], s[best]
+class Block:
+    """Rows of some cells, ordered by cell."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, c1: np.ndarray, c2: np.ndarray):
+        by = np.lexsort((ids, c2, c1))
+        self.ids, self.v = ids[by], v[by]
+        c1, c2 = c1[by], c2[by]
+        self.begins = np.flatnonzero(np.concatenate([[True], (np.diff(c1) != 0) | (np.diff(c2) != 0)])) if len(by) else np.zeros(0, np.int64)
+        self.ends = np.concatenate([self.begins[1:], [len(by)]]) if len(by) else self.begins
+        self.c1, self.c2 = c1[self.begins], c2[self.begins]
+
+    def best(self, q_id: np.ndarray, q: np.ndarray, reach: np.ndarray, index: MultiIndex, k: int):
+        """(query, vector, score) of the best ``k`` rows for each query, of the cells that it took."""
+        out: tuple[list, list, list] = [], [], []
+        s1, s2 = index.sums(q)
+        for i in range(0, len(q), 64):
+            part = slice(i, i + 64)
+            took = s1[part][:, self.c1] + s2[part][:, self.c2] >= reach[part, None] - 1e-12
+            rough = np.full((len(took), len(self.ids)), -np.inf)
+            for j in np.flatnonzero(took.any(0)):
+                asks, rows = np.flatnonzero(took[:, j]), slice(self.begins[j], self.ends[j])
+                rough[asks, rows] = q[part][asks] @ self.v[rows].T
+            rough[self.ids[None] == q_id[part, None]] = -np.inf
+            n = min(k, rough.shape[1])
+            bound = np.partition(rough, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n]
+            x, y = np.nonzero((rough > -np.inf) & (rough >= bound[:, None] - 1e-9))
+            for j in range(0, len(x), 1 << 17):  # scored one by one, so that equal vectors score alike
+                xs, ys = x[j : j + (1 << 17)], y[j : j + (1 << 17)]
+                out[0].append(xs + i), out[1].append(ys), out[2].append((q[part][xs] * self.v[ys]).sum(1))
+        if not out[0]:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        x, y, s = map(np.concatenate, out)
+        by = np.lexsort((self.ids[y], -s, x))
+        x, y, s = x[by], y[by], s[by]
+        begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+        turn = np.arange(len(x)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(x)]])))
+        best = turn < k
+        return q_id[x[best]], self.ids[y[best]], s[best]
 
 
 def build(rows: DataFrame, queries: DataFrame, k: int, goal: float) -> tuple[MultiIndex, DataFrame]:
@@ -147,10 +169,10 @@ def build(rows: DataFrame, queries: DataFrame, k: int, goal: float) -> tuple[Mul
         ids, qs = trial.value
         for b in batches:
             if len(b):
-                c1, c2 = b.column(2).to_numpy(), b.column(3).to_numpy()
-                who, which, score = top(ids, qs, np.full(len(ids), -np.inf), b.column(0).to_numpy(), matrix(b.column(1)), c1, c2, shared.value, k)
-                at = dict(zip(b.column(0).to_pylist(), range(len(b)), strict=True))
-                row = [at[w] for w in which.tolist()]
+                own, c1, c2 = (b.column(i).to_numpy() for i in (0, 2, 3))
+                who, which, score = Block(own, matrix(b.column(1)), c1, c2).best(ids, qs, np.full(len(ids), -np.inf), shared.value, k)
+                by = np.argsort(own, kind="stable")
+                row = by[np.searchsorted(own[by], which)]
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(which), pa.array(score), pa.array(c1[row]), pa.array(c2[row])], ["q", "vec_id", "score", "c1", "c2"])
 
     found = put.mapInArrow(exact, "q long, vec_id long, score double, c1 int, c2 int")
@@ -170,48 +192,61 @@ def build(rows: DataFrame, queries: DataFrame, k: int, goal: float) -> tuple[Mul
 
 def search(embeddings: DataFrame, every: int = 20, k: int = 20, goal: float = 0.96) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` found nearest of each row whose vec_id ``every`` divides."""
+    tune(embeddings.sparkSession)
     rows = usable(embeddings)
     is_query = F.col("vec_id") % every == 0
     index, put = build(rows, rows.where(is_query), k, goal)
-    n, asked = int(index.counts.sum()), put.where(is_query).count()
-    groups = max(1, min(len(index.first), -(-n // BLOCK)))
-    by_group = np.array([index.counts[g::groups].sum() for g in range(groups)])
-    salts = [max(1, -(-int(c) // BLOCK)) for c in by_group]
-    batches_of = max(1, -(-asked // QUERIES))
+    groups = max(1, min(len(index.first), -(-int(index.counts.sum()) // BLOCK)))
+    salts = [max(1, -(-int(index.counts[g::groups].sum()) // BLOCK)) for g in range(groups)]
+    first = np.cumsum([0, *salts])  # the number of a group's first block
     shared = rows.sparkSession.sparkContext.broadcast(index)
-    group = F.col("c1") % groups
-    salt_count = F.element_at(F.array(*map(F.lit, salts)), (group + 1).cast("int"))
-    salt = F.pmod(F.xxhash64("vec_id", F.lit(3)), salt_count).cast("int")
-    batch = F.explode(F.sequence(F.lit(0), F.lit(batches_of - 1)))
-    vectors = put.select("vec_id", "v", "c1", "c2", group.cast("int").alias("g"), salt.alias("s"), batch.alias("b"))
+    group = (F.col("c1") % groups + 1).cast("int")
+    of = lambda xs: F.element_at(F.array(*(F.lit(int(x)) for x in xs)), group)
+    block = of(first[:-1]) + F.pmod(F.xxhash64("vec_id", F.lit(3)), of(salts))
+    none = F.lit(None).cast("double")
+    vectors = put.select(block.cast("int").alias("block"), none.alias("reach"), "vec_id", "v", "c1", "c2")
 
     def reaches(batches):
         for b in batches:
-            ids, out = b.column(0).to_pylist(), [[], [], []]
-            if len(b):
-                s1, s2 = shared.value.sums(matrix(b.column(1)))
-                for i in range(len(ids)):
-                    r = shared.value.reach(s1[i], s2[i], shared.value.budget)
-                    best = s1[i] + s2[i].max()
-                    for g in range(groups):
-                        if best[g::groups].max() >= r - 1e-12:
-                            for s in range(salts[g]):
-                                out[0].append(i), out[1].append((g, s)), out[2].append(r)
-            g = [x for x, _ in out[1]]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out[0], pa.int64())), b.column(1).take(pa.array(out[0], pa.int64())), pa.array(out[2], pa.float64()), pa.array(g, pa.int32()), pa.array([x for _, x in out[1]], pa.int32())], ["vec_id", "v", "reach", "g", "s"])
-
-    asked_rows = put.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v").mapInArrow(reaches, "vec_id long, v array<double>, reach double, g int, s int")
-    asked_rows = asked_rows.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(batches_of)).cast("int"))
-
-    def score(left, right):
-        who, which, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if len(left) and len(right):
-            q, v = (matrix(t.column("v").combine_chunks()) for t in (right, left))
-            col = lambda t, c: t.column(c).to_numpy()
-            who, which, s = top(col(right, "vec_id"), q, col(right, "reach"), col(left, "vec_id"), v, col(left, "c1"), col(left, "c2"), shared.value, k)
-        return pa.table({"query_id": pa.array(who, pa.int64()), "vec_id": pa.array(which, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    keys = ["g", "s", "b"]
-    found = vectors.groupBy(*keys).cogroup(asked_rows.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
+            out: tuple[list, list, list] = [], [], []
+            s1, s2 = shared.value.sums(matrix(b.column(1))) if len(b) else ([], [])
+            for i, (x, y) in enumerate(zip(s1, s2, strict=True)):
+                reach = shared.value.reach(x, y, shared.value.budget)
+                most = x + y.max()
+                for g in range(groups):
+                    if most[g::groups].max() >= reach - 1e-12:
+                        for n in range(first[g], first[g + 1]):
+                            out[0].append(i), out[1].append(n), out[2].append(reach)
+            at = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64()), b.column(0).take(at), b.column(1).take(at)], ["block", "reach", "vec_id", "v"])
+
+    asked = put.where(is_query).groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("v"), "v")).alias("x")).select("vec_id", "x.v").repartition(partitions(put), "vec_id")
+    asked = asked.mapInArrow(reaches, "block int, reach double, vec_id long, v array<double>")
+    asked = asked.select("*", F.lit(None).cast("int").alias("c1"), F.lit(None).cast("int").alias("c2"))
+    # Of each block its vectors come first, then the queries.
+    blocks = vectors.union(asked).repartitionById(int(first[-1]), F.col("block")).sortWithinPartitions("block", F.isnotnull("reach"))
+
+    def score(batches):
+        names = ["query_id", "vec_id", "score"]
+        held, now, ready = [], None, None
+        for b in batches:
+            number, asks = b.column(0).to_numpy(), b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(number) != 0) | (np.diff(asks) != 0)) + 1
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(b)], strict=True):
+                if i == j:
+                    continue
+                if now != number[i]:
+                    held, now, ready = [], number[i], None
+                piece = b.slice(i, j - i)
+                if not asks[i]:
+                    held.append((piece.column(2).to_numpy(), matrix(piece.column(3)), piece.column(4).to_numpy(), piece.column(5).to_numpy()))
+                    continue
+                if not held:
+                    continue
+                ready = ready or Block(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                who, which, s = ready.best(piece.column(2).to_numpy(), matrix(piece.column(3)), piece.column(1).to_numpy(), shared.value, k)
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(which, pa.int64()), pa.array(s, pa.float64())], names)
+
+    found = blocks.select("block", "reach", "vec_id", "v", "c1", "c2").mapInArrow(score, "query_id long, vec_id long, score double")
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", turn).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
