@@ -17,8 +17,6 @@ dropped. A null doc_id is not held out and not learned from.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import tune
 
 SAMPLE, BUCKETS = 20_000, 1 << 16
-#: Of the penalty on the number of languages; steps of the expectation-maximisation; words that a worker keeps.
-PENALTY, STEPS, WORDS = 2.0, 8, 600_000
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Of the penalty on the number of languages; steps of the expectation-maximisation; words that a worker keeps; words that are
+#: taken at once (a longer text goes alone).
+PENALTY, STEPS, WORDS, AT_ONCE = 2.0, 8, 250_000, 200_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -46,7 +44,8 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def letters(word: str) -> str:
-    return _NOT_LETTER.sub("", word)
+    """A word's characters of Unicode's category L."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -145,10 +144,9 @@ class Classifier:
         rows = [np.fromiter(map(self.at.__getitem__, w), np.int64, len(w)) for w in words]
         rows = [r[r > 0] for r in rows]
         own = [i for i, r in enumerate(rows) if len(r)]
-        step = 2_000_000
         while own:  # so many words at a time
             part, total = [], 0
-            while own and (not part or total + len(rows[own[0]]) <= step):
+            while own and (not part or total + len(rows[own[0]]) <= AT_ONCE):
                 part.append(own.pop(0))
                 total += len(rows[part[-1]])
             begins = np.cumsum([0, *(len(rows[i]) for i in part[:-1])])
@@ -176,7 +174,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE, learn_from: DataFrame | None
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose language can be told; those without a letter go."""
+    """The rows of ``docs`` (all columns, whatever their names) whose language can be told.
+
+    Those of a null or empty text, or without a letter, go. If no labelled document can be learned from, all that
+    have a letter stay. Repeated rows all stay; an empty table stays empty.
+    """
     names, model = fit(docs, sample)
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((names, model.astype(np.float32)))
@@ -185,7 +187,8 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches):
         machine = Classifier(*shared.value)
         for b in batches:
-            lang, _ = machine.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            keep = [x != "und" for x in machine.predict(texts)[0]] if names else [bool(letters(t or "")) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

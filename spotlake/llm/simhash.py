@@ -163,25 +163,36 @@ def hex_of(fp: Column) -> Column:
 
 
 #: Of near copies: words of a shingle, least share of shingles in common as a fraction, bands of least hashes and
-#: hashes of a band; texts of a part when a large bucket is verified part by part.
-WORDS, SHARE, BANDS, ROWS, TEXTS = 5, (4, 5), 20, 5, 500
+#: hashes of a band, texts of a part when a large bucket is verified part by part, and of all least hashes those that
+#: have to agree (in one byte) before texts are compared: at the share a pair falls short with a probability below 1e-8.
+WORDS, SHARE, BANDS, ROWS, TEXTS, AGREE = 5, (4, 5), 16, 4, 200, 32
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The set of a text's five-word shingles, as sorted XXH64 values; a shorter text is one shingle."""
+    """The set of a text's five-word shingles, as sorted 64-bit hashes of words in their order; a shorter text is one."""
     w = (text or "").encode("utf-8", "replace").lower().split()
-    n = max(1, len(w) - WORDS + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + WORDS]), SEED) for i in range(n)), np.uint64, n))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+    size = min(len(w), WORDS)
+    g = np.full(max(1, len(w) - size + 1), size, np.uint64)
+    for k in range(size):
+        g += h[k : k + len(g)] * _POWERS[k]
+    g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(g ^ (g >> np.uint64(32)))
 
 
-def buckets(text: str | None) -> np.ndarray:
-    """A number for each band of least hashes; texts with a share s in common agree in one with 1 - (1 - s^ROWS)^BANDS."""
+def signature(text: str | None) -> tuple[np.ndarray, bytes]:
+    """A number for each band of least hashes, and a byte of each.
+
+    Texts with a share s in common agree in one band or more with 1 - (1 - s^ROWS)^BANDS.
+    """
     values = shingles(text)
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for i in range(0, len(values), 2048):
         least = np.minimum(least, ((values[i : i + 2048, None] ^ _MIX[0]) * _MIX[1]).min(0))
-    return (least * _MIX[2]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
+    bands = (least * _MIX[2]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + _MIX[0, :BANDS]
+    return bands, (least >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def alike(both, one, other):
@@ -214,51 +225,89 @@ def _text_key(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of texts those that are alike: first by their sketches, then exactly."""
+
+    def agree(batches):
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(len(t), -1) for i in (2, 3))
+            yield t.select(["a", "b"]).filter(pa.array((x == y).sum(1) > AGREE, pa.bool_()))
+
+    both = pairs.join(sketches.toDF("a", "sa").hint("merge"), "a").join(sketches.toDF("b", "sb").hint("merge"), "b")
+    pairs = cut(both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = cut(texts.join(named.hint("merge"), "h", "left_semi").dropDuplicates(["h"]))
+    both = pairs.join(texts.toDF("a", "ta").hint("merge"), "a").join(texts.toDF("b", "tb").hint("merge"), "b")
+
+    def exact(batches):
+        held: dict[int, np.ndarray] = {}  # of the latest keys
+        for t in batches:
+            keep = []
+            for pair in zip(*(t.column(i).to_pylist() for i in range(4)), strict=True):
+                for h, text in zip(pair[:2], pair[2:], strict=True):
+                    if h not in held:
+                        if len(held) > 30:
+                            held.clear()
+                        held[h] = shingles(text)
+                one, other = (held[h] if h in held else shingles(x) for h, x in zip(pair[:2], pair[2:], strict=True))
+                keep.append(bool(alike(len(np.intersect1d(one, other, True)), len(one), len(other))))
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
+
+
 def similar_links(docs: DataFrame) -> DataFrame:
     """(a, b): links of texts (by their keys), each of two that have 0.8 or more of their five-word shingles in common.
 
     Candidates are texts that meet in a bucket of MinHash bands (two with 0.8 in common meet with a probability of
-    0.9996, of whatever length); every link is then verified on the sets of shingles. Buckets of up to ``CELL`` texts
-    are paired; in larger ones parts meet two at a time in a task, which gives a spanning forest of the links there.
+    0.9997, of whatever length); every link is verified on the sets of shingles. First each text of a bucket is compared
+    with the bucket's first, which joins most groups of copies with work in proportion to the texts. Then only
+    texts of a bucket that are still in different components are: all pairs in buckets of up to ``CELL`` texts; in larger
+    ones the texts outside the bucket's most frequent component meet all, part by part in a task, which gives a spanning
+    forest of the links there.
     """
     tune(docs.sparkSession)
     texts = docs.select(_text_key("text").alias("h"), "text")
 
     def run(batches):
         for b in batches:
-            got = np.array([buckets(t) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, BANDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * BANDS, pa.int32()), pa.array(got.ravel()))], ["h", "at"])
-
-    put = cut(texts.mapInArrow(run, "h long, at array<long>").dropDuplicates(["h"]))
-    put = put.select("h", F.posexplode("at").alias("band", "bucket"))
-    sizes = put.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    put = cut(put.join(sizes.hint("merge"), ["band", "bucket"]))
+            got = [signature(t) for t in b.column(1).to_pylist()]
+            at = np.array([g[0] for g in got], np.uint64).reshape(-1, BANDS).view(np.int64)
+            at = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * BANDS, pa.int32()), pa.array(at.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), at, pa.array([g[1] for g in got], pa.binary())], ["h", "at", "sketch"])
+
+    signatures = cut(texts.mapInArrow(run, "h long, at array<long>, sketch binary").dropDuplicates(["h"]))
+    sketches = signatures.select("h", "sketch")
+    put = signatures.select("h", F.explode("at").alias("bucket"))
+    firsts = put.groupBy("bucket").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    put = cut(put.join(firsts.hint("merge"), "bucket"))
+    stars = _verified(put.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct(), sketches, texts)
+    known = components(stars).toDF("h", "c")
+    put = put.join(known.hint("merge"), "h", "left").select("bucket", "n", "h", F.coalesce("c", "h").alias("c"))
+    open_ = put.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    put = cut(put.join(open_.hint("merge"), "bucket", "left_semi"))
     cold = put.where(F.col("n") <= CELL)
-    x, y = (cold.select("band", "bucket", F.col("h").alias(c)) for c in "ab")
-    pairs = cut(x.join(y.hint("merge"), ["band", "bucket"]).where("a < b").select("a", "b").distinct())
-    texts = cut(texts.dropDuplicates(["h"]).join(put.select("h").distinct().hint("merge"), "h", "left_semi"))
-    both = pairs.join(texts.toDF("a", "ta").hint("merge"), "a").join(texts.toDF("b", "tb").hint("merge"), "b")
+    x, y = (cold.select("bucket", F.col("h").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+    pairs = x.join(y.hint("merge"), "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
+    return stars.union(_verified(pairs, sketches, texts)).union(_hot_links(put.where(F.col("n") > CELL), texts)).distinct()
 
-    def verified(batches):
-        for t in batches:
-            keep = []
-            for one, other in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
-                one, other = shingles(one), shingles(other)
-                keep.append(bool(alike(len(np.intersect1d(one, other, True)), len(one), len(other))))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    hot = put.where(F.col("n") > CELL).join(texts.hint("merge"), "h")
-    parts = F.ceil(F.col("n") / TEXTS).cast("int")
-    hot = hot.withColumn("own", F.pmod(F.xxhash64("h"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    hot = hot.select("band", "bucket", "h", "text", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+def _hot_links(put: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links in large buckets between texts of different components."""
+    most = put.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    parts = lambda n: F.greatest(F.ceil(n / TEXTS), F.lit(1)).cast("int")
+    put = put.drop("n").join(most.select("bucket", "most", parts(F.col("n")).alias("pn"), parts(F.col("n") - F.col("k")).alias("po")).hint("merge"), "bucket")
+    part = lambda n: F.pmod(F.xxhash64("h"), n).cast("int")
+    meets = put.select("bucket", "h", part(F.col("pn")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("po") - 1)).alias("y"))
+    others = put.where(F.col("c") != F.col("most")).select("bucket", "h", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("x"), part(F.col("po")).alias("y"))
+    dealt = meets.union(others).distinct().join(texts.join(put.select("h").distinct().hint("merge"), "h", "left_semi").dropDuplicates(["h"]).hint("merge"), "h")
 
     def joined(table):
         h = table.column("h").to_numpy()
         a, b = (h[i] for i in forest([shingles(t) for t in table.column("text").to_pylist()]))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    found = both.select("a", "b", "ta", "tb").mapInArrow(verified, "a long, b long")
-    return found.union(hot.groupBy("band", "bucket", "lo", "hi").applyInArrow(joined, "a long, b long")).distinct()
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(joined, "a long, b long")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -270,15 +319,17 @@ def keep_first_similar(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` (all columns) of each group of near copies: that of the smallest doc_id.
 
     Rows are told apart by doc_id and text: of a repeated id, the text of the smaller key stays, and of repeated
-    rows the smallest by its JSON. Rows with a null doc_id form groups of their own, of which one row stays.
+    rows the smallest by its JSON. Rows with a null doc_id form groups of their own, of which one row stays. A null
+    text is as an empty one; all such rows are copies of each other. An empty table stays empty. Further columns are
+    kept, whatever their names.
     """
-    rows = docs.select("doc_id", _text_key("text").alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
-    points = rows.groupBy("h", F.isnull("doc_id").alias("none")).agg(F.min(F.struct("doc_id", "n")).alias("x"))
-    classes = points.join(similar_components(docs).hint("merge"), "h", "left")
-    heads = classes.groupBy(F.coalesce("component", "h").alias("c"), "none").agg(F.min(F.struct("x.doc_id", "h", "x.n")).alias("x"))
-    stays = cut(heads.select(F.col("x.doc_id").alias("__id"), F.col("x.h").alias("__h"), F.col("x.n").alias("__n")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_key("text") == F.col("__h"))
-    once = docs.join(stays.where("__n = 1").hint("merge"), same, "left_semi")
-    row = F.struct(*docs.columns)
-    again = docs.join(stays.where("__n > 1").hint("merge"), same).groupBy("__id", "__h").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    whole = docs.select(F.col("doc_id").alias("id"), _text_key("text").alias("h"), F.struct(*docs.columns).alias("row"))
+    rows = whole.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
+    points = rows.groupBy("h", F.isnull("id").alias("none")).agg(F.min(F.struct("id", "n")).alias("x"))
+    classes = points.join(similar_components(docs.select("text")).hint("merge"), "h", "left")
+    heads = classes.groupBy(F.coalesce("component", "h").alias("c"), "none").agg(F.min(F.struct("x.id", "h", "x.n")).alias("x"))
+    stays = cut(heads.select(F.col("x.id").alias("i"), F.col("x.h").alias("t"), F.col("x.n").alias("n")))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t"))
+    once = whole.join(stays.where("n = 1").hint("merge"), same, "left_semi").select("row.*")
+    again = whole.join(stays.where("n > 1").hint("merge"), same).groupBy("i", "t").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return once.union(again.select("row.*"))

@@ -193,7 +193,7 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     shards = max(partitions(rows), -(-runs.count() // SHARD))
     often = runs.groupBy("anchor").agg(F.sum("m").alias("times")).where("times > 1")
     found = runs.join(often, "anchor").select("__d", "__t", F.struct("anchor", "w", "n", (F.col("times") > HOT).alias("hot")).alias("f"))
-    found = found.groupBy("__d", "__t").agg(F.array_distinct(F.collect_list("f")).alias("found"))
+    found = found.groupBy("__d", "__t").agg(F.collect_set("f").alias("found"))
     sent = _fragments(rows.join(found.hint("shuffle_hash"), ["__d", "__t"], "left"), shards, window)
 
     def match(key, table):
@@ -252,25 +252,28 @@ def without(text: str, gone: list, window: int) -> str:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` (all columns) with repeated windows taken out of text, and n_chars following."""
-    rows = keyed(docs)
-    at = docs.columns.index("text")
-    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    """``docs`` (all columns, whatever their names) with repeated windows taken out of text, and n_chars following.
+
+    Null, empty and repeated rows, ties of doc_id and empty tables are as the module says; every row stays.
+    """
+    names = docs.columns
+    rows = keyed(docs.select("doc_id", "text", F.struct(*names).alias("row"))).select("__d", "__t", "text", "row")
+    at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)) for c in docs_columns]
-            gone = b.column(b.schema.get_field_index("gone")).to_pylist()
+            row, gone = (b.column(b.schema.get_field_index(c)) for c in ("row", "gone"))
+            cols, gone = row.flatten(), gone.to_pylist()
             old = cols[at].to_pylist()
             new = [without(t, g, window) if g and t else t for t, g in zip(old, gone, strict=True)]
             cols[at] = pa.array(new, cols[at].type)
             if count is not None:
                 n = [len(x) if g and x is not None else c for x, g, c in zip(new, gone, cols[count].to_pylist(), strict=True)]
                 cols[count] = pa.array(n, cols[count].type)
-            yield pa.RecordBatch.from_arrays(cols, docs_columns)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    docs_columns, schema = docs.columns, docs.schema
-    return rows.join(repeats(rows, window).hint("shuffle_hash"), ["__d", "__t"], "left").mapInArrow(run, schema)
+    schema = docs.schema
+    return rows.select("__d", "__t", "row").join(repeats(rows.select("__d", "__t", "text"), window).hint("shuffle_hash"), ["__d", "__t"], "left").mapInArrow(run, schema)
 
 
 #: The same in DuckDB.
