@@ -17,6 +17,7 @@ RULES = {
     "photons": "sum", "background": "sum", "photons_err": "quad", "background_err": "quad",
     "logl_rel": "max", "iterations": "max", "track_id": "max", "track_length": "max",
     "frame": "min", "tid": "min", "trace_index": "min", "track_id_true": "min", "fringe_probability": "min",
+    "state_true": "min", "tid_file": "min", "track_id_file": "max",
     "phase_rad": "circular", "cavity_phase_rad": "circular", "logl": "drop",
 }
 
@@ -54,7 +55,8 @@ def combined(name: str, rule: str, columns: list[str]) -> Column:
     if rule == "precision":
         return F.try_divide(F.lit(1.0), F.sqrt(F.sum(F.when(x > 0, F.try_divide(F.lit(1.0), x * x)))))
     if rule == "circular":
-        w = F.when(x.isNotNull(), F.lit(1.0))
+        e = next((c for c in (f"{name.removesuffix('_rad')}_err_rad", f"{name}_err") if c in columns), None)
+        w = F.when(x.isNotNull(), weight(F.col(e)) if e else F.lit(1.0))
         return F.atan2(F.sum(F.sin(x) * w), F.sum(F.cos(x) * w))
     return {"sum": F.sum(x), "quad": F.sqrt(F.sum(x * x)), "max": F.max(x), "min": F.min(x), "any": F.max(F.when(x != 0, 1.0).otherwise(0.0)), "all": F.min(F.when(x != 0, 1.0).otherwise(0.0))}[rule]
 
@@ -70,7 +72,17 @@ def combine(df: DataFrame, keys: list[str], columns: list[str] | None = None, ru
         made = combined(c, rule, df.columns)
         whole = isinstance(df.schema[c].dataType, T.IntegralType) and rule in ("min", "max")
         out[c] = made.cast(df.schema[c].dataType) if whole else N.filled(made)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), *[v.alias(k) for k, v in out.items()])
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), *[v.alias(k) for k, v in out.items()])
+    # The lateral precision follows from the combined pair rather than being combined itself.
+    return lateral_error(grouped) if "xy_err_nm" in out and "xy_err_nm" not in (rules or {}) else grouped
+
+
+def lateral_error(df: DataFrame, out: str = "xy_err_nm", pair: tuple[str, str] = ("x_err_nm", "y_err_nm")) -> DataFrame:
+    """``df`` with the root mean square of both lateral errors; unchanged where it hasn't both."""
+    if not set(pair) <= set(df.columns):
+        return df
+    x, y = (N.double(c) for c in pair)
+    return df.withColumn(out, F.sqrt((x * x + y * y) / 2))
 
 
 def id_statistics(df: DataFrame, key: str, columns: list[str], time: str | None = None, frame: str | None = None, positions: tuple[str, ...] = (), keep: Column | None = None) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,19 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import nansafe as N
 from .joins import cell_pairs, lag_pairs
+from .storage import cut, numbered
 from .windows import ranked_by_size
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a table in the shared checkpoint folder (spark.checkpoint.dir; a temporary one if unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "row_id", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each is linked with; lone nodes are their own.
 
@@ -102,8 +90,9 @@ def walk_links(frame, x, y, dx: float, dt: int, variance=None, k: float = 2.5, l
     """Greedy linking of rows sorted by (frame, x): group numbers in order of the groups' first rows.
 
     The first row not yet taken starts a group; frame by frame the first fitting row joins it, and the place
-    looked at becomes the mean of the old place and the new row. In box mode a row fits within ``dx`` on both
-    axes (strictly). With variances it fits within k deviations, between ``lowest`` and ``dx``.
+    looked at becomes the mean of the old place and the new row. A row's x lies from ``dx`` below (inclusive) to ``dx``
+    above (exclusive); in box mode its y is less than ``dx`` away. With variances it fits within k deviations, between
+    ``lowest`` and ``dx``.
     """
     n = len(frame)
     group, made = np.full(n, -1, np.int64), 0
@@ -125,7 +114,7 @@ def walk_links(frame, x, y, dx: float, dt: int, variance=None, k: float = 2.5, l
                     continue
                 ox, oy = x[j] - hx, y[j] - hy
                 if variance is None:
-                    fits = abs(ox) < dx and abs(oy) < dx
+                    fits = abs(oy) < dx
                 else:
                     r = k * k * (hv + variance[j])
                     r = dx * dx if not np.isfinite(r) else min(max(r, lowest * lowest), dx * dx)
@@ -140,18 +129,37 @@ def walk_links(frame, x, y, dx: float, dt: int, variance=None, k: float = 2.5, l
     return group
 
 
+def near_in_time(rows: DataFrame, reach: float, dt: int, keys: tuple[str, ...], row: str) -> DataFrame:
+    """``rows`` (__x, __y, __f) with a component: rows within ``reach`` and dt + 1 frames share it, in chains.
+
+    Nodes are occupied cells of one frame. Each is linked with the next occupied frame of its own cell and of the cells
+    around it, if that is not too late: those after it follow in the cell's own chain. So edges grow with the nodes, not
+    with dt nor with the rows of a cell.
+    """
+    cx, cy = (F.floor(F.col(c) / reach).cast("long") for c in ("__x", "__y"))
+    rows = rows.withColumns({"__cx": F.when(N.finite("__x"), cx), "__cy": F.when(N.finite("__y"), cy)})
+    node = F.xxhash64("__cx", "__cy", "__f", *keys)  # equal numbers of two nodes only join their components
+    rows = rows.withColumn("__node", F.when(F.col("__cx").isNull() | F.col("__cy").isNull(), F.xxhash64(row, F.lit("alone"))).otherwise(node))
+    at = cut(rows.where("__cx is not null and __cy is not null").select(*keys, "__cx", "__cy", "__f", "__node").distinct())
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    asks = at.withColumn("__i", around).withColumn("__j", around).select(*keys, (F.col("__cx") + F.col("__i")).alias("__cx"), (F.col("__cy") + F.col("__j")).alias("__cy"), "__f", F.col("__node").alias("a"), F.lit(None).cast("long").alias("b"))
+    both = asks.union(at.select(*keys, "__cx", "__cy", "__f", F.lit(None).cast("long").alias("a"), F.col("__node").alias("b")))
+    soon = Window.partitionBy(*keys, "__cx", "__cy").orderBy("__f").rangeBetween(1, dt + 1)
+    edges = both.withColumn("b", F.min_by("b", F.when(F.col("b").isNotNull(), F.col("__f"))).over(soon)).where("a is not null and b is not null")
+    found = connected_components(at.select("__node").distinct(), edges.select("a", "b"), "__node")
+    return rows.join(found, "__node", "left").withColumn("component", F.coalesce("component", "__node")).drop("__node", "__cx", "__cy")
+
+
 def link_blinks(df: DataFrame, dx: float = 50.0, dt: int = 1, precision: str | None = None, k: float = 2.5, lowest: float = 10.0, keys: tuple[str, ...] = (), xy: tuple[str, str] = ("x_nm", "y_nm"), frame: str = "frame", row: str = "row_id") -> DataFrame:
     """group_id (from 0 in order of keys, frame, x, row) and n_in_group of every row.
 
     Rows that can influence each other lie within 1.5 dx on both axes and dt + 1 frames, in chains: the walk is
-    exact within the components of that graph, which are worked on side by side.
+    exact within ``near_in_time``'s components, which are worked on side by side.
     """
     x, y = xy
-    reach = 1.5 * dx * 2**0.5
-    near = lag_pairs(df, reach, dt, frame, keys, row, xy).select("a", "b")
-    parts = connected_components(df.select(row), near, row)
     var = (N.double(precision) * N.double(precision)) if precision else F.lit(None).cast("double")
-    rows = df.join(parts, row).select(row, "component", *keys, F.col(frame).cast("long").alias("__f"), N.double(x).alias("__x"), N.double(y).alias("__y"), var.alias("__v"))
+    rows = df.select(row, *keys, F.col(frame).cast("long").alias("__f"), N.double(x).alias("__x"), N.double(y).alias("__y"), var.alias("__v"))
+    rows = near_in_time(rows, 1.5 * dx * 2**0.5, dt, keys, row)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["component", "__f", "__x", row], kind="stable")
@@ -171,7 +179,7 @@ def link_blinks(df: DataFrame, dx: float = 50.0, dt: int = 1, precision: str | N
     linked = rows.withColumn("__bucket", F.pmod(F.xxhash64("component"), F.lit(buckets * 4)))
     linked = cut(linked.groupBy("__bucket").applyInPandas(walk, f"{row} long, __head long"))
     heads = linked.groupBy("__head").agg(F.count(F.lit(1)).alias("n_in_group")).join(df.select(F.col(row).alias("__head"), *keys, F.col(frame).alias("__f"), F.col(x).alias("__x")), "__head")
-    heads = heads.withColumn("group_id", (F.row_number().over(Window.orderBy(*keys, "__f", "__x", "__head")) - 1).cast("long")).select("__head", "group_id", "n_in_group")
+    heads = numbered(heads, "group_id", *keys, "__f", "__x", "__head").select("__head", "group_id", "n_in_group")
     return df.join(linked.join(heads, "__head").select(row, "group_id", "n_in_group"), row)
 
 
@@ -251,7 +259,7 @@ def link_tracks(df: DataFrame, max_jump: float = 500.0, memory: int = 2, least:
     tracks = connected_components(df.select(row), taken, row)
     rows = df.select(row, F.col(frame).alias("__f")).join(tracks, row)
     heads = rows.groupBy("component").agg(F.count(F.lit(1)).alias("track_length"), F.min(F.struct("__f", row)).alias("h")).where(F.col("track_length") >= least)
-    heads = heads.withColumn("track_id", (F.row_number().over(Window.orderBy("h.__f", f"h.{row}")) - 1).cast("long")).select("component", "track_id", "track_length")
+    heads = numbered(heads.select("component", "track_length", F.col("h.__f").alias("f"), F.col(f"h.{row}").alias("r")), "track_id", "f", "r").select("component", "track_id", "track_length")
     out = rows.join(heads, "component", "left").select(row, F.coalesce("track_id", F.lit(-1)).alias("track_id"), F.coalesce("track_length", F.lit(0)).alias("track_length"))
     return df.drop("track_id", "track_length").join(out, row)
 

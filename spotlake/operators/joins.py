@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nansafe as N
+from .storage import carried, cut
 
 
 def cell_pairs(a: DataFrame, b: DataFrame, radius: float, xy: tuple[str, str] = ("x_nm", "y_nm"), z: str | None = None, z_half: float | None = None, keys: tuple[str, ...] = (), same: bool = False, row: str = "row_id", strict: bool = False) -> DataFrame:
@@ -71,23 +72,27 @@ def pair_histogram(a: DataFrame, b: DataFrame, r_max: float, dr: float, same: bo
     return pairs.groupBy(F.floor(F.col("d") / dr).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def nearest_neighbours(a: DataFrame, b: DataFrame, k: int, first_radius: float, same: bool = False, row: str = "row_id", rounds: int = 40, **of) -> DataFrame:
-    """(row, rank, d): the k nearest of each row, infinity where ``b`` has fewer; the radius doubles until all have k."""
-    from .graph import cut
+def nearest_neighbours(a: DataFrame, b: DataFrame, k: int, first_radius: float, same: bool = False, row: str = "row_id", **of) -> DataFrame:
+    """(row, rank, d): the k nearest of each row with a finite place, infinity where ``b`` has fewer (of its keys).
 
-    left, done, radius = a, None, first_radius
-    b = cut(b)
-    need = min(k, max(0, b.count() - (1 if same else 0)))
-    for _ in range(rounds if need else 0):
+    The radius doubles until every row has as many as there are.
+    """
+    xy, keys = of.get("xy", ("x_nm", "y_nm")), list(of.get("keys", ()))
+    placed = lambda d: d.where(N.finite(xy[0]) & N.finite(xy[1]))
+    a, b, done, radius = placed(a), cut(placed(b)), None, first_radius
+    there = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("__there"))
+    need = F.least(F.lit(k), F.coalesce("__there", F.lit(0)) - int(same)).alias("__need")
+    left = a.join(there, keys, "left") if keys else a.crossJoin(there)  # one row
+    left = cut(left.select(*a.columns, need).where("__need > 0"))
+    while not left.isEmpty():
         pairs = cell_pairs(left, b, radius, same=same, row=row, **of).select(F.col(f"a_{row}").alias(row), "d", F.col(f"b_{row}").alias("__o"))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(row).orderBy("d", "__o"))).where(F.col("rank") <= need)
-        ranked = cut(ranked.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(row))).where(F.col("__n") == need).select(row, "rank", "d"))
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(row).orderBy("d", "__o"))).where(F.col("rank") <= k)
+        ranked = ranked.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(row))).join(left.select(row, "__need"), row)
+        ranked = cut(ranked.where(F.col("__n") >= F.col("__need")).select(row, "rank", "d"))
         done = ranked if done is None else done.union(ranked)
         left = cut(left.join(ranked.select(row).distinct(), row, "left_anti"))
-        if left.isEmpty():
-            break
         radius *= 2
-    ranks = a.where(N.finite(of.get("xy", ("x_nm", "y_nm"))[0])).select(row, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    ranks = a.select(row, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
     if done is None:
         return ranks.withColumn("d", F.lit(float("inf")))
     return ranks.join(done, [row, "rank"], "left").select(row, "rank", F.coalesce("d", F.lit(float("inf"))).alias("d"))
@@ -113,12 +118,13 @@ def nearest_in_time(left: DataFrame, right: DataFrame, time: str, value: list[st
     both = left.withColumns({"__left": F.lit(True), "__got": F.lit(None).cast(right.select(got.alias("g")).schema["g"].dataType)})
     other = right.select(*keys, F.col(time), F.lit(False).alias("__left"), got.alias("__got"))
     both = both.unionByName(other, allowMissingColumns=True)
-    up = Window.partitionBy(*keys).orderBy(F.col(time), F.col("__left")) if keys else Window.orderBy(F.col(time), F.col("__left"))
-    before = F.last("__got", True).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    down = Window.partitionBy(*keys).orderBy(F.desc(time), F.col("__left")) if keys else Window.orderBy(F.desc(time), F.col("__left"))
-    after = F.last("__got", True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     t = N.double(time)
-    both = both.withColumns({"__before": before, "__after": after}).where("__left")
+    if keys:
+        before = F.last("__got", True).over(Window.partitionBy(*keys).orderBy(F.col(time), F.col("__left")).rowsBetween(Window.unboundedPreceding, 0))
+        after = F.last("__got", True).over(Window.partitionBy(*keys).orderBy(F.desc(time), F.col("__left")).rowsBetween(Window.unboundedPreceding, 0))
+        both = both.withColumns({"__before": before, "__after": after}).where("__left")
+    else:
+        both = carried(both, "__got", time, "__left").where("__left")
     far = lambda c: F.abs(N.double(F.col(c)["t"]) - t)
     use = F.when(F.col("__after").isNull() | (F.coalesce(far("__before"), F.lit(float("inf"))) <= F.coalesce(far("__after"), F.lit(float("inf")))), F.col("__before")).otherwise(F.col("__after"))
     both = both.withColumn("__use", use).withColumn("dt", N.double(F.col("__use")["t"]) - t)
@@ -157,8 +163,11 @@ def interpolated(df: DataFrame, knots: DataFrame, time: str, values: list[str],
     k = F.struct(N.double(time).alias("t"), *[N.double(v).alias(v) for v in values])
     both = df.withColumns({"__row": F.lit(True), "__k": F.lit(None).cast(knots.select(k.alias("k")).schema["k"].dataType)})
     both = both.unionByName(knots.select(*keys, F.col(time).cast(df.schema[time].dataType).alias(time), F.lit(False).alias("__row"), k.alias("__k")), allowMissingColumns=True)
-    w = lambda order: (Window.partitionBy(*keys) if keys else Window).orderBy(order, F.col("__row")).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"__lo": F.last("__k", True).over(w(F.asc(time))), "__hi": F.last("__k", True).over(w(F.desc(time)))}).where("__row")
+    if keys:
+        w = lambda order: Window.partitionBy(*keys).orderBy(order, F.col("__row")).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumns({"__lo": F.last("__k", True).over(w(F.asc(time))), "__hi": F.last("__k", True).over(w(F.desc(time)))}).where("__row")
+    else:
+        both = carried(both, "__k", time, "__row").where("__row").withColumnsRenamed({"__before": "__lo", "__after": "__hi"})
     lo, hi, t = F.coalesce("__lo", "__hi"), F.coalesce("__hi", "__lo"), N.double(time)
     part = F.when(hi["t"] > lo["t"], (t - lo["t"]) / (hi["t"] - lo["t"])).otherwise(F.lit(0.0))
     return both.select(*df.columns, *[(lo[v] + (hi[v] - lo[v]) * part).alias(f"at_{v}") for v in values])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nansafe as N
 from .graph import connected_components, cut, link_tracks
+from .storage import numbered
 from .joins import cell_pairs, nearest_in_time, overlapping
 
 
@@ -31,8 +32,8 @@ def pair_intervals(a: DataFrame, b: DataFrame, width: float, least: float = 0.0,
     one = a.select(F.col(ident).alias("a"), F.col("start").alias("sa")).join(taken, "a", "left")
     two = b.select(F.col(ident).alias("b"), F.col("start").alias("sb"))
     both = one.join(two, "b", "full_outer").select("a", "b", F.least("sa", "sb").alias("s"))
-    n = F.row_number().over(Window.orderBy("s", F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last())) - 1
-    return both.select(F.coalesce("a", F.lit(-1)).alias("a"), F.coalesce("b", F.lit(-1)).alias("b"), n.cast("long").alias("pair_id"))
+    both = numbered(both, "pair_id", F.col("s").asc(), F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last())
+    return both.select(F.coalesce("a", F.lit(-1)).alias("a"), F.coalesce("b", F.lit(-1)).alias("b"), "pair_id")
 
 
 def pair_offsets(a: DataFrame, b: DataFrame, max_dt: float, key: str = "pair_id", time: str = "t", xy: tuple[str, str] = ("x_nm", "y_nm"), row: str = "row_id") -> DataFrame:

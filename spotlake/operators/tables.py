@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from .storage import numbered
 from pyspark.sql import types as T
 
 PROTECTED = ("x_nm", "y_nm", "frame", "filenumber")
@@ -109,15 +111,15 @@ def keyword_order(df: DataFrame, column: str, words: list[str], row: str = "row_
 def dense_ids(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     """Ids from 0 in ascending order onto the rows, -1 for none: ranks of the distinct ids, joined back."""
     ids = df.where(F.col(column) >= 0).select(column).distinct()
-    codes = ids.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias(out))
+    codes = numbered(ids, out, column)
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
 def shuffle_ids(df: DataFrame, column: str, seed: int = 0) -> DataFrame:
     """A permutation of the distinct ids onto themselves, in <column>_shuffled; -1 stays."""
     ids = df.where(F.col(column) >= 0).select(column).distinct()
-    by_id = ids.select(F.col(column).alias("__to"), F.row_number().over(Window.orderBy(column)).alias("__r"))
-    mixed = ids.select(column, F.row_number().over(Window.orderBy(F.xxhash64(column, F.lit(seed)), column)).alias("__r"))
+    by_id = numbered(ids.select(F.col(column).alias("__to")), "__r", "__to")
+    mixed = numbered(ids.withColumn("__h", F.xxhash64(column, F.lit(seed))), "__r", "__h", column)
     both = mixed.join(by_id, "__r").select(column, "__to")
     return df.join(both, column, "left").withColumn(f"{column}_shuffled", F.coalesce("__to", F.col(column))).drop("__to")
 
@@ -130,7 +132,11 @@ def first_of(df: DataFrame, keys: list[str], row: str = "row_id") -> DataFrame:
 
 def chunks(df: DataFrame, n: int, row: str = "row_id") -> DataFrame:
     """A column chunk from 0: n parts of equal size in row order. Sizes follow from counts of row ranges."""
-    return df.withColumn("chunk", F.ntile(n).over(Window.orderBy(row)) - 1)
+    out = numbered(df, "chunk", row)
+    total = out.count()
+    size, more = divmod(total, n)  # the first ``more`` parts have one row more
+    at, edge = F.col("chunk"), more * (size + 1)
+    return out.withColumn("chunk", F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / max(size, 1))).cast("int"))
 
 
 def repeat(df: DataFrame, times: int, step: int = 0, frame: str = "frame") -> DataFrame:

@@ -93,12 +93,12 @@ def trace_statistics(df: DataFrame, key: str, time: str, x: str = "x_nm", y: str
     return g.select(key, "n", "duration", "displacement", "path", N.filled(F.try_divide(F.col("displacement"), F.col("duration"))).alias("velocity"), "precision", F.sqrt(half + root).alias("length"), F.sqrt(F.greatest(half - root, F.lit(0.0))).alias("width"))
 
 
-def find_steps(x: np.ndarray, threshold: float = 2.0, most: int = 200) -> list[int]:
+def find_steps(x: np.ndarray, threshold: float = 2.0) -> list[int]:
     """Change points of a trace: each split takes the place that lowers the squared error most, as long as the
     step is ``threshold`` times its standard error."""
     cuts, todo = [], [(0, len(x))]
     noise = np.median(np.abs(np.diff(x))) / 0.6745 / math.sqrt(2) if len(x) > 2 else 0.0
-    while todo and len(cuts) < most:
+    while todo:
         best = None
         for k, (lo, hi) in enumerate(todo):
             n = hi - lo

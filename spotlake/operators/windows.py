@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nansafe as N
+from .storage import numbered
 
 
 def along(key: str, time: str, row: str = "row_id"):
@@ -85,7 +86,7 @@ def sessions(df: DataFrame, key: str, time: str, limit: float, row: str = "row_i
 def ranked_by_size(df: DataFrame, cluster: str = "cluster_id", row: str = "row_id") -> DataFrame:
     """Clusters numbered from 1, the largest first (ties by first row), with n_in_cluster; -1 for none."""
     size = df.where(F.col(cluster) >= 0).groupBy(cluster).agg(F.count(F.lit(1)).alias("n_in_cluster"), F.min(row).alias("__first"))
-    rank = size.withColumn("__rank", F.row_number().over(Window.orderBy(F.desc("n_in_cluster"), "__first")).cast("long"))
+    rank = numbered(size, "__rank", F.desc("n_in_cluster"), F.asc("__first")).withColumn("__rank", F.col("__rank") + 1)
     both = df.drop("n_in_cluster").join(rank.select(cluster, "n_in_cluster", "__rank"), cluster, "left")
     return both.withColumn(cluster, F.coalesce("__rank", F.lit(-1))).withColumn("n_in_cluster", F.coalesce("n_in_cluster", F.lit(0))).drop("__rank")
 
@@ -112,3 +113,8 @@ def lag_sums(df: DataFrame, max_lag: int, key: str = "track_id", frame: str = "f
 def outcome_table(df: DataFrame, key: str, outcome: str, values: list[str]) -> DataFrame:
     """Counts of each outcome by key, as columns."""
     return df.groupBy(key).pivot(outcome, values).count().na.fill(0)
+
+
+def outcome_counts(df: DataFrame, key: str, outcome: str) -> DataFrame:
+    """(key, outcome, n): the same as rows, for any number of outcomes."""
+    return df.groupBy(key, F.col(outcome).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

@@ -61,9 +61,9 @@ def _(spark, sf):
     return spark.createDataFrame([tuple(round(float(v), 6) + 0.0 for v in c[0])], "a double, b double, c double")
 
 
-@query("fiducial_curve", f"{EV}, m AS (SELECT user_id, avg(value) AS m FROM ev GROUP BY 1) SELECT frame, round(avg(value - m), 2) AS d_value FROM ev JOIN m ON ev.user_id = m.user_id GROUP BY frame")
+@query("fiducial_curve", f"{EV}, m AS (SELECT user_id, avg(value) AS m FROM ev GROUP BY 1) SELECT frame, round(avg(value - m), 6) AS d_value FROM ev JOIN m ON ev.user_id = m.user_id GROUP BY frame")
 def _(spark, sf):
-    return D.fiducial_curve(events(spark, sf), "user_id", axes=("value",)).select("frame", F.round("d_value", 2).alias("d_value"))
+    return D.fiducial_curve(events(spark, sf), "user_id", axes=("value",)).select("frame", F.round("d_value", 6).alias("d_value"))
 
 
 @query("layer_shift")

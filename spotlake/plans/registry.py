@@ -155,7 +155,7 @@ class Batch:
 
 def scalars_wide(results: DataFrame, key: str = "path", name: str = "name", value: str = "value") -> DataFrame:
     """One row a file, one column for each scalar of its results."""
-    names = [r[0] for r in results.select(name).distinct().orderBy(name).limit(5000).collect()]
+    names = [r[0] for r in results.select(name).distinct().orderBy(name).collect()]  # all of them become columns
     return results.groupBy(key).pivot(name, names).agg(F.first(value))
 
 

@@ -122,10 +122,10 @@ def file_conditions(df: DataFrame, name: Column, pattern: str, overrides: dict[s
 
 def codes(df: DataFrame, column: str, row: str = "row_id") -> DataFrame:
     """A text column as codes 0, 1 … by first appearance, -1 for none."""
-    from pyspark.sql import Window
+    from ..operators.storage import numbered
 
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(row).alias("__f"))
-    first = first.select(column, (F.row_number().over(Window.orderBy("__f")) - 1).alias(f"{column}_code"))
+    first = numbered(first, f"{column}_code", "__f").select(column, F.col(f"{column}_code").cast("int").alias(f"{column}_code"))
     return df.join(first, column, "left").withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(-1)))
 
 
@@ -144,7 +144,7 @@ def tag_columns(tags: DataFrame, names: list[str], frame: str = "frame") -> Data
 def sequence_table(df: DataFrame, column: str = "sequence", key: str = "measurement") -> DataFrame:
     """(parameter, measurement columns…) of JSON settings, the parameters that differ first."""
     long = df.select(key, F.explode(F.from_json(column, "map<string,string>")).alias("parameter", "value"))
-    names = [r[0] for r in long.select(key).distinct().orderBy(key).limit(1000).collect()]
+    names = [r[0] for r in long.select(key).distinct().orderBy(key).collect()]  # one row a measurement file; pivoted to columns
     wide = long.groupBy("parameter").pivot(key, names).agg(F.first("value"))
     differ = long.groupBy("parameter").agg((F.count_distinct("value") > 1).alias("differs"))
     return wide.join(differ, "parameter").orderBy(F.desc("differs"), "parameter")

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 #: Headers that other programs write, and our names; a unit in brackets scales to nm.
 HEADERS = {
-    "x": "x_nm", "y": "y_nm", "z": "z_nm", "frame": "frame", "t": "frame", "intensity": "photons", "photons": "photons", "phot": "photons",
-    "sigma": "sigma_nm", "sigma1": "sigma_x_nm", "sigma2": "sigma_y_nm", "offset": "background", "bg": "background", "bkgstd": "background_err",
-    "uncertainty": "xy_err_nm", "uncertainty_xy": "xy_err_nm", "uncertainty_z": "z_err_nm", "lpx": "x_err_nm", "lpy": "y_err_nm",
+    "x": "x_nm", "y": "y_nm", "z": "z_nm", "xnm": "x_nm", "ynm": "y_nm", "znm": "z_nm", "n": "photons", "frame": "frame", "t": "frame", "intensity": "photons", "photons": "photons", "phot": "photons",
+    "sigma": "sigma_nm", "psfxnm": "sigma_nm", "sigma1": "sigma_nm", "sigma2": "sigma_y_nm", "offset": "background", "bg": "background", "bkgstd": "background_std",
+    "uncertainty": "xy_err_nm", "uncertainty_xy": "xy_err_nm", "uncertainty_z": "z_err_nm", "locprecnm": "xy_err_nm", "locprecznm": "z_err_nm", "channel": "channel", "llrel": "logl_rel", "lpx": "x_err_nm", "lpy": "y_err_nm",
     "chi2": "chi2", "detections": "n_in_group", "id": "row_id", "group": "group_id", "cluster_id": "cluster_id", "photons_err": "photons_err",
 }
 UNITS = {"nm": 1.0, "um": 1000.0, "µm": 1000.0, "px": None, "pixel": None}
