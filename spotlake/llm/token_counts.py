@@ -6,7 +6,7 @@ run of white space and the word after it). The transducer reads one segment a tr
 label is the number of tokens it emits. Transitions are compiled when first met, many at a time, and kept
 up to a limit.
 
-Long texts are read in chunks. A chunk's state map tells, for any open segment that the text before it
+Every text is read in chunks, whatever its length. A chunk's state map tells, for any open segment that the text before it
 left, what is emitted and which segment is left open: it is held as (head, count, tail), where the head
 completes the segment that came in. Maps compose associatively, so the chunks of one text combine by a
 parallel prefix scan, in a logarithmic number of rounds.
@@ -32,7 +32,7 @@ from .bpe_core import LETTERS, LONG, NUMBERS, ODD, MergeTable
 from .common import tune
 
 #: Characters of a chunk, and transitions that a worker keeps.
-CHUNK, TRANSITIONS = 1 << 16, 600_000
+CHUNK, TRANSITIONS = 1 << 12, 600_000
 #: Unicode's white space, as the tokenizers' patterns take it. Fixed values.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -107,9 +107,11 @@ class CountTransducer:
             total += sum(map(self.edges.__getitem__, part))
         return [total]
 
-    def state_map(self, chunk: str) -> StateMap:
-        s = SEGMENT.findall(chunk)
-        return StateMap(chunk, 0, None) if len(s) < 2 else StateMap(s[0], self.counts([s[1:-1]])[0], s[-1])
+    def state_maps(self, chunks: list[str]) -> list[StateMap]:
+        """The map of each chunk; transitions that are new in any of them are compiled together."""
+        found = [SEGMENT.findall(c) for c in chunks]
+        inside = self.counts([s[1:-1] for s in found])
+        return [StateMap(c, 0, None) if len(s) < 2 else StateMap(s[0], n, s[-1]) for c, s, n in zip(chunks, found, inside, strict=True)]
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """The map of two chunks in a row."""
@@ -130,19 +132,16 @@ class CountTransducer:
             step *= 2
         return out
 
-    def emitted(self, m: StateMap) -> int:
-        """Tokens of a whole text that has this map."""
-        return m.count + self.counts([[x for x in (m.head, m.tail) if x]])[0]
+    def emitted(self, maps: list[StateMap]) -> list[int]:
+        """Tokens of whole texts that have these maps."""
+        edges = self.counts([[x for x in (m.head, m.tail) if x] for m in maps])
+        return [m.count + n for m, n in zip(maps, edges, strict=True)]
 
     def count(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each whole text."""
-        short = [SEGMENT.findall(t) if t and len(t) <= CHUNK else [] for t in texts]
-        out = self.counts(short)
-        for i, t in enumerate(texts):
-            if t and len(t) > CHUNK:
-                maps = [self.state_map(t[k : k + CHUNK]) for k in range(0, len(t), CHUNK)]
-                out[i] = self.emitted(self.scan(maps)[-1])
-        return out
+        """Tokens of each whole text, from the maps of its chunks."""
+        chunks = [[t[k : k + CHUNK] for k in range(0, len(t), CHUNK)] or [""] for t in (t or "" for t in texts)]
+        maps = iter(self.state_maps([c for own in chunks for c in own]))
+        return self.emitted([self.scan([next(maps) for _ in own])[-1] for own in chunks])
 
 
 @lru_cache(maxsize=4)

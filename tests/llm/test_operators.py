@@ -83,9 +83,17 @@ def test_counts_are_the_librarys(docs, monkeypatch):
 
 def test_state_maps_compose_associatively():
     machine = token_counts.count_transducer(BYTE)
-    a, b, c = (machine.state_map(t) for t in ("one tw", "o thr", "ee  four "))
+    a, b, c = machine.state_maps(["one tw", "o thr", "ee  four "])
     left, right = machine.compose(machine.compose(a, b), c), machine.compose(a, machine.compose(b, c))
-    assert left == right and machine.emitted(left) == machine.count(["one two three  four "])[0]
+    assert left == right and machine.emitted([left]) == machine.count(["one two three  four "])
+
+
+def test_counts_go_through_chunk_maps(monkeypatch):
+    machine, text = token_counts.CountTransducer(BYTE), "several words " * 600
+    want = machine.count([text])
+    monkeypatch.setattr(machine, "state_maps", lambda chunks: [token_counts.StateMap(c, 0, None) for c in chunks])
+    monkeypatch.setattr(machine, "compose", lambda a, b: token_counts.StateMap("", 0, None))
+    assert machine.count([text]) != want
 
 
 def test_packing_holds_every_token_once(docs):
