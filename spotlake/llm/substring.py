@@ -80,8 +80,12 @@ def anchors(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with __d and __t: the order of documents, and what tells them apart."""
-    return docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__t": F.pmod(F.xxhash64("text"), F.lit(1 << 31)).cast("int")})
+    """__d and __t, the order of documents and what tells them apart, and each whole row as one column ``row``.
+
+    Both joins with the texts are of just this, so Spark shuffles the texts once.
+    """
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__d")
+    return docs.select(d, F.pmod(F.xxhash64("text"), F.lit(1 << 31)).cast("int").alias("__t"), F.struct(*docs.columns).alias("row"))
 
 
 def _runs(rows: DataFrame, window: int) -> DataFrame:
@@ -93,7 +97,7 @@ def _runs(rows: DataFrame, window: int) -> DataFrame:
             cols = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, (np.int64, *[np.int32] * 3)[i]) for i in range(4)]
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), *map(pa.array, cols)], ["__d", "__t", "anchor", "w", "n", "m"])
 
-    return rows.select("__d", "__t", "text").mapInArrow(run, "__d long, __t int, anchor long, w int, n int, m int")
+    return rows.select("__d", "__t", "row.text").mapInArrow(run, "__d long, __t int, anchor long, w int, n int, m int")
 
 
 def _fragments(rows: DataFrame, shards: int, window: int) -> DataFrame:
@@ -124,7 +128,9 @@ def _fragments(rows: DataFrame, shards: int, window: int) -> DataFrame:
 
         for b in batches:
             out = []
-            for d, t, text, found in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("__d", "__t", "text", "found")), strict=True):
+            cols = [b.column(b.schema.get_field_index(c)) for c in ("__d", "__t", "row", "found")]
+            cols[2] = cols[2].field("text")
+            for d, t, text, found in zip(*(c.to_pylist() for c in cols), strict=True):
                 if not found:
                     continue
                 words = words_of(text)
@@ -226,13 +232,14 @@ def remove_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for key, text, gone in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", "gone")), strict=True):
+            ids, texts = b.column(b.schema.get_field_index("row")).flatten()
+            for key, text, gone in zip(ids.to_pylist(), texts.to_pylist(), b.column(b.schema.get_field_index("gone")).to_pylist(), strict=True):
                 words = words_of(text)
                 lost = covered(len(words), gone, window) if gone else None
                 kept = words if lost is None else [w for w, x in zip(words, lost.tolist(), strict=True) if not x]
                 out.append((key, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             cols = [*zip(*out, strict=True)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (b.column(b.schema.get_field_index("doc_id")).type, pa.int64(), pa.int64(), pa.string()), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (ids.type, pa.int64(), pa.int64(), pa.string()), strict=True)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = rows.join(repeats(rows, window).hint("shuffle_hash"), ["__d", "__t"], "left")
@@ -257,7 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Null, empty and repeated rows, ties of doc_id and empty tables are as the module says; every row stays.
     """
     names = docs.columns
-    rows = keyed(docs.select("doc_id", "text", F.struct(*names).alias("row"))).select("__d", "__t", "text", "row")
+    rows = keyed(docs)
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
@@ -273,7 +280,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = docs.schema
-    return rows.select("__d", "__t", "row").join(repeats(rows.select("__d", "__t", "text"), window).hint("shuffle_hash"), ["__d", "__t"], "left").mapInArrow(run, schema)
+    return rows.join(repeats(rows, window).hint("shuffle_hash"), ["__d", "__t"], "left").mapInArrow(run, schema)
 
 
 #: The same in DuckDB.
