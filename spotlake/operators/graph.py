@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -95,59 +98,70 @@ def walk_links(frame, x, y, dx: float, dt: int, variance=None, k: float = 2.5, l
     ``lowest`` and ``dx``.
     """
     n = len(frame)
-    group, made = np.full(n, -1, np.int64), 0
-    starts = np.searchsorted(frame, np.arange(frame[0], frame[-1] + 2)) if n else np.zeros(1, np.int64)
-    base = frame[0] if n else 0
-    for i in range(n):
-        if group[i] >= 0:
-            continue
-        group[i], hx, hy, last = made, x[i], y[i], frame[i]
-        hv = variance[i] if variance is not None else 0.0
-        f = last + 1
-        while f <= last + dt + 1 and f - base + 1 < len(starts):
-            lo, hi = starts[f - base], starts[f - base + 1]
-            lo = lo + np.searchsorted(x[lo:hi], hx - dx)
-            for j in range(lo, hi):
-                if x[j] - hx >= dx:
-                    break
-                if group[j] >= 0:
-                    continue
-                ox, oy = x[j] - hx, y[j] - hy
-                if variance is None:
-                    fits = abs(oy) < dx
-                else:
-                    r = k * k * (hv + variance[j])
-                    r = dx * dx if not np.isfinite(r) else min(max(r, lowest * lowest), dx * dx)
-                    fits = ox * ox + oy * oy < r
-                if fits:
-                    group[j], hx, hy, last = made, (hx + x[j]) / 2, (hy + y[j]) / 2, f
-                    if variance is not None:
-                        hv = (hv + variance[j]) / 4
-                    break
-            f += 1
-        made += 1
-    return group
+    occupied, begins = np.unique(frame, return_index=True)
+    occupied, begins = occupied.tolist(), [*begins.tolist(), n]
+    # Lists and bisection: the walk reads single values, which arrays hand out slowly.
+    xs, ys, vs = x.tolist(), y.tolist(), None if variance is None else variance.tolist()
+    group, made, hv = [-1] * n, 0, 0.0
+    for at, now in enumerate(occupied):
+        for i in range(begins[at], begins[at + 1]):
+            if group[i] >= 0:
+                continue
+            group[i], hx, hy, last, p = made, xs[i], ys[i], now, at + 1
+            if vs is not None:
+                hv = vs[i]
+            while p < len(occupied) and occupied[p] <= last + dt + 1:
+                end = begins[p + 1]
+                for j in range(bisect_left(xs, hx - dx, begins[p], end), end):
+                    ox, oy = xs[j] - hx, ys[j] - hy
+                    if ox >= dx:
+                        break
+                    if group[j] >= 0:
+                        continue
+                    if vs is None:
+                        fits = abs(oy) < dx
+                    else:
+                        r = k * k * (hv + vs[j])
+                        r = min(max(r, lowest * lowest), dx * dx) if math.isfinite(r) else dx * dx
+                        fits = ox * ox + oy * oy < r
+                    if fits:
+                        group[j], hx, hy, last = made, (hx + xs[j]) / 2, (hy + ys[j]) / 2, occupied[p]
+                        if vs is not None:
+                            hv = (hv + vs[j]) / 4
+                        break
+                p += 1
+            made += 1
+    return np.array(group, np.int64)
 
 
 def near_in_time(rows: DataFrame, reach: float, dt: int, keys: tuple[str, ...], row: str) -> DataFrame:
     """``rows`` (__x, __y, __f) with a component: rows within ``reach`` and dt + 1 frames share it, in chains.
 
-    Nodes are occupied cells of one frame. Each is linked with the next occupied frame of its own cell and of the cells
-    around it, if that is not too late: those after it follow in the cell's own chain. So edges grow with the nodes, not
-    with dt nor with the rows of a cell.
+    Nodes are runs: frames of one cell that are at most dt + 1 apart. Runs of a cell are further apart, so of those that
+    begin before a run of a cell around it only the last can reach it: one window gives every link, and links grow with
+    the runs, not with dt nor with the rows of a cell.
     """
+    cell = [*keys, "__cx", "__cy"]
     cx, cy = (F.floor(F.col(c) / reach).cast("long") for c in ("__x", "__y"))
     rows = rows.withColumns({"__cx": F.when(N.finite("__x"), cx), "__cy": F.when(N.finite("__y"), cy)})
-    node = F.xxhash64("__cx", "__cy", "__f", *keys)  # equal numbers of two nodes only join their components
-    rows = rows.withColumn("__node", F.when(F.col("__cx").isNull() | F.col("__cy").isNull(), F.xxhash64(row, F.lit("alone"))).otherwise(node))
-    at = cut(rows.where("__cx is not null and __cy is not null").select(*keys, "__cx", "__cy", "__f", "__node").distinct())
+    along_cell = Window.partitionBy(*cell).orderBy("__f")
+    at = rows.where("__cx is not null and __cy is not null").select(*cell, "__f").distinct()
+    at = at.withColumn("__late", F.coalesce(F.col("__f") - F.lag("__f").over(along_cell) > dt + 1, F.lit(True)))
+    at = cut(at.withColumn("__from", F.last(F.when(F.col("__late"), F.col("__f")), True).over(along_cell)).drop("__late"))
+    node = F.xxhash64(*cell, "__from")  # equal numbers of two nodes only join their components
+    runs = at.groupBy(*cell, "__from").agg(F.max("__f").alias("__to")).withColumn("__node", node)
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    asks = at.withColumn("__i", around).withColumn("__j", around).select(*keys, (F.col("__cx") + F.col("__i")).alias("__cx"), (F.col("__cy") + F.col("__j")).alias("__cy"), "__f", F.col("__node").alias("a"), F.lit(None).cast("long").alias("b"))
-    both = asks.union(at.select(*keys, "__cx", "__cy", "__f", F.lit(None).cast("long").alias("a"), F.col("__node").alias("b")))
-    soon = Window.partitionBy(*keys, "__cx", "__cy").orderBy("__f").rangeBetween(1, dt + 1)
-    edges = both.withColumn("b", F.min_by("b", F.when(F.col("b").isNotNull(), F.col("__f"))).over(soon)).where("a is not null and b is not null")
-    found = connected_components(at.select("__node").distinct(), edges.select("a", "b"), "__node")
-    return rows.join(found, "__node", "left").withColumn("component", F.coalesce("component", "__node")).drop("__node", "__cx", "__cy")
+    asks = runs.withColumn("__i", around).withColumn("__j", around).where("__i <> 0 or __j <> 0")
+    asks = asks.select(*keys, (F.col("__cx") + F.col("__i")).alias("__cx"), (F.col("__cy") + F.col("__j")).alias("__cy"), "__from", F.col("__node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("__to"))
+    own = runs.select(*cell, "__from", F.lit(None).cast("long").alias("a"), F.col("__node").alias("b"), "__to")
+    before = Window.partitionBy(*cell).orderBy("__from").rangeBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("b").isNotNull(), F.struct("b", "__to")), True).over(before)
+    edges = asks.union(own).withColumn("__last", last).where(F.col("a").isNotNull() & (F.col("__last.__to") + dt + 1 >= F.col("__from")))
+    found = connected_components(runs.select("__node"), edges.select("a", F.col("__last.b").alias("b")), "__node")
+    at = at.withColumn("__node", node).join(found, "__node").select(*cell, "__f", "component")
+    same = [rows[c].eqNullSafe(at[c]) for c in keys] + [rows[c] == at[c] for c in ("__cx", "__cy", "__f")]
+    alone = F.xxhash64(row, F.lit("alone"))
+    return rows.join(at, same, "left").select(*[rows[c] for c in rows.columns if c not in ("__cx", "__cy")], F.coalesce("component", alone).alias("component"))
 
 
 def link_blinks(df: DataFrame, dx: float = 50.0, dt: int = 1, precision: str | None = None, k: float = 2.5, lowest: float = 10.0, keys: tuple[str, ...] = (), xy: tuple[str, str] = ("x_nm", "y_nm"), frame: str = "frame", row: str = "row_id") -> DataFrame:
@@ -169,10 +183,8 @@ def link_blinks(df: DataFrame, dx: float = 50.0, dt: int = 1, precision: str | N
         lo = 0
         for hi in ends:
             g = walk_links(f[lo:hi], px[lo:hi], py[lo:hi], dx, dt, v[lo:hi] if precision else None, k, lowest)
-            first = np.full(g.max() + 1 if len(g) else 0, -1, np.int64)
-            for i in range(len(g) - 1, -1, -1):
-                first[g[i]] = ids[lo + i]
-            out[lo:hi], lo = first[g], hi
+            first = np.unique(g, return_index=True)[1]  # groups are numbered in order of their first rows
+            out[lo:hi], lo = ids[lo:hi][first][g], hi
         return pd.DataFrame({row: ids, "__head": out})
 
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -242,7 +254,7 @@ def link_tracks(df: DataFrame, max_jump: float = 500.0, memory: int = 2, least:
     """track_id (from 0 by first frame, -1 below ``least`` rows) and track_length of every row.
 
     simple: candidate links by (later frame, distance, lag), each taken if both its ends are free. global: frame by
-    frame the links of most gained closeness. Both are exact within the components of the candidates.
+    frame the links of most gained closeness. Both are exact within the components of the candidates, which hold whole tracks.
     """
     links = cut(lag_pairs(df, max_jump, memory, frame, keys, row, xy))
     parts = connected_components(df.select(row), links.select("a", "b"), row)
@@ -252,12 +264,14 @@ def link_tracks(df: DataFrame, max_jump: float = 500.0, memory: int = 2, least:
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         e = pdf.sort_values(["to", "d", "lag", "a", "b"], kind="stable")
         got = _simple(e) if method == "simple" else [x for _, c in e.groupby("component", sort=True) for x in _global(c, max_jump)]
-        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+        head: dict[int, int] = {}  # links come by their later frame, so the earlier row has its head by then
+        for a, b in got:
+            head[b] = head.setdefault(a, a)
+        return pd.DataFrame(list(head.items()), columns=[row, "component"], dtype="int64")
 
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    taken = edges.withColumn("__bucket", F.pmod(F.xxhash64("component"), F.lit(buckets * 4))).groupBy("__bucket").applyInPandas(choose, "a long, b long")
-    tracks = connected_components(df.select(row), taken, row)
-    rows = df.select(row, F.col(frame).alias("__f")).join(tracks, row)
+    taken = edges.withColumn("__bucket", F.pmod(F.xxhash64("component"), F.lit(buckets * 4))).groupBy("__bucket").applyInPandas(choose, f"{row} long, component long")
+    rows = cut(df.select(row, F.col(frame).alias("__f")).join(taken, row, "left").withColumn("component", F.coalesce("component", row)))
     heads = rows.groupBy("component").agg(F.count(F.lit(1)).alias("track_length"), F.min(F.struct("__f", row)).alias("h")).where(F.col("track_length") >= least)
     heads = numbered(heads.select("component", "track_length", F.col("h.__f").alias("f"), F.col(f"h.{row}").alias("r")), "track_id", "f", "r").select("component", "track_id", "track_length")
     out = rows.join(heads, "component", "left").select(row, F.coalesce("track_id", F.lit(-1)).alias("track_id"), F.coalesce("track_length", F.lit(0)).alias("track_length"))
