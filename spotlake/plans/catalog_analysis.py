@@ -103,10 +103,17 @@ def _(spark, sf):
     return T.blinks_of(events(spark, sf), "user_id", 60, row="event_id").select("user_id", F.col("blink").cast("long").alias("blink"), "first", "last", "on", "n")
 
 
-@query("kinetics")
+@query(
+    "kinetics",
+    f"""{EV}, g AS (SELECT user_id, frame, event_id, CASE WHEN frame - lag(frame) OVER (PARTITION BY user_id ORDER BY frame, event_id) > 61 THEN 1 ELSE 0 END AS n FROM ev), b AS (SELECT user_id, frame, sum(n) OVER (PARTITION BY user_id ORDER BY frame, event_id ROWS UNBOUNDED PRECEDING) AS blink FROM g),
+        r AS (SELECT user_id, min(frame) AS f, max(frame) AS l FROM b GROUP BY user_id, blink), d AS (SELECT user_id, l - f + 1 AS lit, f - lag(l) OVER (PARTITION BY user_id ORDER BY f) - 1 AS dark FROM r),
+        k AS (SELECT user_id, count(*) AS events, avg(lit) AS bright, coalesce(avg(dark), CAST('NaN' AS DOUBLE)) AS dark, (100000 - sum(lit)) / count(*) AS dark_ml FROM d GROUP BY 1)
+        SELECT user_id, events, round(bright, 6) AS bright, round(dark, 6) AS dark, round(dark_ml, 6) AS dark_ml, round(1 / (dark_ml * 0.001), 6) AS sites FROM k""",
+)
 def _(spark, sf):
     b = T.blinks_of(events(spark, sf), "user_id", 60, row="event_id")
-    return T.sites_from_kinetics(T.kinetics(b, "user_id", 100_000), 1e-3)
+    k = T.sites_from_kinetics(T.kinetics(b, "user_id", 100_000), 1e-3)
+    return k.select("user_id", "events", *[r6(c, c) for c in ("bright", "dark", "dark_ml", "sites")])
 
 
 @query(
@@ -135,7 +142,14 @@ def _(spark, sf):
     return T.steps_table(events(spark, sf), "user_id", "t", "value")
 
 
-@query("allan_deviation")
+@query(
+    "allan_deviation",
+    f"{EV}, e AS (SELECT user_id, t, event_id, row_number() OVER w AS i, sum(value) OVER w AS s FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)) "
+    + " UNION ALL ".join(
+        f"SELECT CAST({m} AS BIGINT) AS span, round(sqrt(sum(d * d) / (2 * count(*))), 6) AS deviation, count(*) AS n FROM (SELECT i, (s - 2 * lag(s, {m}, 0.0) OVER w + lag(s, {2 * m}, 0.0) OVER w) / {m} AS d FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) WHERE i >= {2 * m}"
+        for m in (1, 2, 4, 8)
+    ),
+)
 def _(spark, sf):
     return T.allan(events(spark, sf), "user_id", "t", "value", [1, 2, 4, 8]).select("span", r6("deviation", "deviation"), "n")
 
