@@ -58,6 +58,38 @@ def pooled_msd(df: DataFrame, max_lag: int, key: str = "track_id", frame: str =
     return lag_sums(df, max_lag, key, frame, x, y).groupBy("lag").agg((F.sum("sum") / F.sum("n")).alias("msd"), F.sum("n").alias("n"))
 
 
+def track_summary(df: DataFrame, max_lag: int, frame_s: float, key: str = "track_id", frame: str = "frame", x: str = "x_nm", y: str = "y_nm", row: str = "row_id") -> DataFrame:
+    """(key, n, path_nm, net_nm, straightness, d_um2_s, alpha, lags) of every track with an id.
+
+    ``straightness`` is net over path. It is NaN for a track that doesn't move, as d and alpha are for one with too few lags.
+    """
+    w = Window.partitionBy(key).orderBy(frame, row)
+    at = df.where(F.col(key) >= 0).select(key, frame, row, N.double(x).alias("__x"), N.double(y).alias("__y"))
+    step = F.sqrt(F.pow(F.col("__x") - F.lag("__x").over(w), 2) + F.pow(F.col("__y") - F.lag("__y").over(w), 2))
+    place = F.struct(F.col(frame), F.col(row), F.col("__x"), F.col("__y"))
+    g = at.withColumn("__s", step).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__s"), F.lit(0.0)).alias("path_nm"), F.min(place).alias("__a"), F.max(place).alias("__b"))
+    net = F.sqrt(F.pow(F.col("__b.__x") - F.col("__a.__x"), 2) + F.pow(F.col("__b.__y") - F.col("__a.__y"), 2))
+    g = g.select(key, "n", "path_nm", net.alias("net_nm")).withColumn("straightness", F.when(F.col("path_nm") > 0, F.col("net_nm") / F.col("path_nm")).otherwise(float("nan")))
+    fits = msd(df, max_lag, frame_s, key, frame, x, y)
+    return g.join(fits, key, "left").withColumns({"d_um2_s": N.filled("d_um2_s"), "alpha": N.filled("alpha"), "lags": F.coalesce("lags", F.lit(0))})
+
+
+def robust_spreads(df: DataFrame, key: str, time: str, value: str, row: str = "row_id") -> DataFrame:
+    """(key, n, median, mad, quartiles, steps): spreads of each trace as a normal distribution's deviation.
+
+    ``mad`` from the median distance to the median, ``quartiles`` from their difference, ``steps`` from the median
+    difference of neighbours, which a slow drift doesn't raise. Rows without a finite value take no part.
+    """
+    v = df.where(N.finite(value)).select(key, N.double(value).alias("__v"), F.abs(N.double(value) - F.lag(N.double(value)).over(Window.partitionBy(key).orderBy(time, row))).alias("__s"))
+    g = v.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.percentile("__v", [0.25, 0.5, 0.75]).alias("__q"), F.median("__s").alias("__m"))
+    middle = v.join(g.select(key, F.col("__q")[1].alias("__c")), key).groupBy(key).agg(F.median(F.abs(F.col("__v") - F.col("__c"))).alias("__d"))
+    normal = 0.6744897501960817  # the normal distribution's upper quartile
+    return g.join(middle, key).select(
+        key, "n", F.col("__q")[1].alias("median"), (F.col("__d") / normal).alias("mad"),
+        ((F.col("__q")[2] - F.col("__q")[0]) / (2 * normal)).alias("quartiles"), N.filled(F.col("__m") / (normal * 2**0.5)).alias("steps"),
+    )
+
+
 def jump_states(df: DataFrame, states: int, frame_s: float, rounds: int = 60, bins: int = 2000, key: str = "track_id", frame: str = "frame", x: str = "x_nm", y: str = "y_nm") -> list[tuple[float, float]]:
     """(fraction, D in um^2/s) of diffusive states from one-frame jumps, by expectation-maximisation.
 

@@ -564,7 +564,15 @@ def _(spark, sf):
     return G.connected_components(p, e)
 
 
-@query("dbscan")
+@query(
+    "dbscan",
+    f"""{PT.replace("WITH", "WITH RECURSIVE", 1)}, d AS (SELECT a.row_id AS a, b.row_id AS b, sqrt((a.x_nm - b.x_nm) ** 2 + (a.y_nm - b.y_nm) ** 2) AS d FROM pt a JOIN pt b ON a.row_id <> b.row_id AND sqrt((a.x_nm - b.x_nm) ** 2 + (a.y_nm - b.y_nm) ** 2) <= 12),
+        core AS (SELECT a AS id FROM d GROUP BY a HAVING count(*) >= 5), e AS (SELECT a, b FROM d WHERE a IN (FROM core) AND b IN (FROM core)),
+        reach AS (SELECT id AS node, id AS root FROM core UNION SELECT b, root FROM reach JOIN e ON a = node), comp AS (SELECT node, min(root) AS c FROM reach GROUP BY 1),
+        edge AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d WHERE b IN (FROM core) AND a NOT IN (FROM core)),
+        lab AS (SELECT node AS row_id, c FROM comp UNION ALL SELECT a, c FROM edge JOIN comp ON node = b WHERE k = 1), size AS (SELECT c, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(row_id)) AS place FROM lab GROUP BY c)
+        SELECT row_id, coalesce(place, -1) AS cluster_id, coalesce(n, 0) AS n_in_cluster FROM pt LEFT JOIN lab USING (row_id) LEFT JOIN size USING (c)""",
+)
 def _(spark, sf):
     return G.dbscan(points(spark, sf), 12, 5).select("row_id", "cluster_id", "n_in_cluster")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import simulate
@@ -131,6 +132,29 @@ def _(spark, sf):
     return T.msd(simulate.tracks(spark, 200, 20, 0.5, 0.02).withColumnRenamed("track_id_true", "track_id"), 4, 0.02)
 
 
+@query(
+    "track_summary",
+    f"""{PT}, t AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY row_id) AS frame, x_nm, y_nm FROM pt), s AS (SELECT *, sqrt((x_nm - lag(x_nm) OVER w) ** 2 + (y_nm - lag(y_nm) OVER w) ** 2) AS s FROM t WINDOW w AS (PARTITION BY label ORDER BY frame)),
+        g AS (SELECT label, count(*) AS n, coalesce(sum(s), 0) AS path, sqrt((arg_max(x_nm, frame) - arg_min(x_nm, frame)) ** 2 + (arg_max(y_nm, frame) - arg_min(y_nm, frame)) ** 2) AS net FROM s GROUP BY 1),
+        l AS (SELECT a.label, b.frame - a.frame AS lag, avg((a.x_nm - b.x_nm) ** 2 + (a.y_nm - b.y_nm) ** 2) * 1e-6 AS m FROM t a JOIN t b ON a.label = b.label AND b.frame - a.frame BETWEEN 1 AND 4 GROUP BY 1, 2),
+        f AS (SELECT label, regr_slope(m, lag * 0.02) / 4 AS d, regr_slope(ln(m), ln(lag * 0.02)) AS alpha, count(*) AS lags FROM l GROUP BY 1)
+        SELECT label, n, round(path, 6) AS path_nm, round(net, 6) AS net_nm, round(net / path, 6) AS straightness, round(d, 6) AS d_um2_s, round(alpha, 6) AS alpha, lags FROM g JOIN f USING (label)""",
+)
+def _(spark, sf):
+    p = points(spark, sf).withColumn("frame", F.row_number().over(Window.partitionBy("label").orderBy("row_id")))
+    return T.track_summary(p, 4, 0.02, "label").select("label", "n", *[r6(c, c) for c in ("path_nm", "net_nm", "straightness", "d_um2_s", "alpha")], "lags")
+
+
+@query(
+    "robust_spreads",
+    f"""{EV}, s AS (SELECT user_id, value, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY t, event_id)) AS s FROM ev), g AS (SELECT user_id, count(*) AS n, quantile_cont(value, [0.25, 0.5, 0.75]) AS q, median(s) AS m FROM s GROUP BY 1),
+        d AS (SELECT user_id, median(abs(value - q[2])) AS d FROM s JOIN g USING (user_id) GROUP BY 1)
+        SELECT user_id, n, round(q[2], 6) AS median, round(d / 0.6744897501960817, 6) AS mad, round((q[3] - q[1]) / (2 * 0.6744897501960817), 6) AS quartiles, round(coalesce(m / (0.6744897501960817 * sqrt(2)), CAST('NaN' AS DOUBLE)), 6) AS steps FROM g JOIN d USING (user_id)""",
+)
+def _(spark, sf):
+    return T.robust_spreads(events(spark, sf), "user_id", "t", "value", "event_id").select("user_id", "n", *[r6(c, c) for c in ("median", "mad", "quartiles", "steps")])
+
+
 @query("jump_states")
 def _(spark, sf):
     t = simulate.tracks(spark, 200, 20, 0.5, 0.02).union(simulate.tracks(spark, 200, 20, 0.02, 0.02, seed=9).withColumn("track_id_true", F.col("track_id_true") + 1000))
@@ -258,7 +282,12 @@ def _(spark, sf):
     return c.select("user_id", "n_locs", "n_events", F.round("frame_mean", 4).alias("frame_mean"), r6("value", "value"))
 
 
-@query("frame_analysis")
+@query(
+    "frame_analysis",
+    f"""{PT}, f AS (SELECT row_id, CAST(label AS BIGINT) AS c, (row_id % 100) / 99.0 AS r FROM pt), b AS (SELECT c, least(floor(r * 20), 19) AS b, count(*) AS k FROM f GROUP BY ALL), m AS (SELECT c, max(k) AS k FROM b GROUP BY c),
+        g AS (SELECT c, avg(r) AS mean, count(*) AS n, min(row_id) AS first FROM f GROUP BY c), kept AS (SELECT c, n, row_number() OVER (ORDER BY n DESC, first) AS place FROM g JOIN m USING (c) WHERE mean BETWEEN 0.2 AND 0.8 AND k <= 0.8 * n)
+        SELECT row_id, coalesce(place, -1) AS cluster_id, coalesce(n, 0) AS n_in_cluster FROM f LEFT JOIN kept USING (c)""",
+)
 def _(spark, sf):
     p = points(spark, sf).withColumns({"cluster_id": F.col("label").cast("long"), "frame": F.col("row_id") % 100})
     return G.frame_analysis(p, 0, 99).select("row_id", "cluster_id", "n_in_cluster")
@@ -399,12 +428,21 @@ def _(spark, sf):
     return M.mean_shift(p, p, 60, 4).select("row_id", *[F.round(c, 4).alias(c) for c in ("x_nm", "y_nm")], "n")
 
 
-@query("equalised")
+@query(
+    "equalised",
+    f"""WITH f AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 100 AS x, x - floor(x) AS part FROM lineitem), q AS (SELECT quantile_cont(part, {[i / 50 for i in range(51)]}) AS q FROM f),
+        k AS (SELECT i, CASE WHEN i = 0 THEN 0.0 ELSE q[i + 1] END AS lo, CASE WHEN i = 49 THEN 1.0 ELSE q[i + 2] END AS hi FROM q, (SELECT unnest(range(50)) AS i))
+        SELECT l_orderkey, l_linenumber, round(floor(x) + (i + (part - lo) / (hi - lo)) / 50, 6) AS x_pix FROM f JOIN k ON part >= lo AND part < hi""",
+)
 def _(spark, sf):
-    return M.equalised(lines(spark, sf).select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100).alias("x_pix")), "x_pix")
+    return M.equalised(lines(spark, sf).select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100).alias("x_pix")), "x_pix").withColumn("x_pix", r6("x_pix"))
 
 
-@query("paired_channels")
+@query(
+    "paired_channels",
+    f"""{PT}, a AS (SELECT row_id, row_id % 20 AS frame, x_nm + 3 - 3 AS x, y_nm - 2 + 2 AS y FROM pt WHERE row_id % 7 <> 0), d AS (SELECT frame, a.row_id AS a, pt.row_id AS b, sqrt((x - x_nm) ** 2 + (y - y_nm) ** 2) AS d FROM a JOIN pt ON frame = pt.row_id % 20),
+        m AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i, row_number() OVER (PARTITION BY b ORDER BY d, a) AS j FROM d WHERE d <= 5) SELECT frame, a, b, round(d, 6) AS d FROM m WHERE i = 1 AND j = 1""",
+)
 def _(spark, sf):
     f, t = _found(spark, sf)
-    return M.paired_channels(f, t, D.Transformation("affine", [[1, 0, -3], [0, 1, 2]]), 5)
+    return M.paired_channels(f, t, D.Transformation("affine", [[1, 0, -3], [0, 1, 2]]), 5).withColumn("d", r6("d"))

@@ -11,6 +11,7 @@ from spotlake.operators import graph as G
 from spotlake.operators import joins as J
 from spotlake.operators import measure as M
 from spotlake.operators import storage, tables
+from spotlake.operators import traces as T
 
 
 def test_numbers_along_an_order(spark):
@@ -73,3 +74,35 @@ def test_spread_selection_goes_on_until_nothing_changes(spark):
     rows = [(b, float(v)) for b in range(20) for v in rng.normal(0, 1 if b < 17 else 5 * (b - 15), 50)]
     got = {r["bead"]: r["kept"] for r in M.spread_selection(spark.createDataFrame(rows, "bead long, v double"), "bead", "v").collect()}
     assert all(got[b] for b in range(17)) and not any(got[b] for b in range(17, 20))
+
+
+def test_spreads_of_traces(spark):
+    rows = [(1, i, float(t), float(v)) for i, (t, v) in enumerate([(0, 1.0), (1, 3.0), (2, 2.0), (3, float("nan")), (4, 8.0)])] + [(2, 9, 0.0, 5.0), (3, 10, 0.0, float("nan"))]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, t double, value double")
+    got = {r["user_id"]: r for r in T.robust_spreads(df, "user_id", "t", "value", "event_id").collect()}
+    q = 0.6744897501960817
+    assert set(got) == {1, 2} and got[1]["n"] == 4 and got[1]["median"] == 2.5
+    assert got[1]["mad"] == pytest.approx(1.0 / q) and got[1]["steps"] == pytest.approx(2.0 / (q * 2**0.5))
+    assert got[1]["quartiles"] == pytest.approx((4.25 - 1.75) / (2 * q))
+    assert got[2]["mad"] == 0 and math.isnan(got[2]["steps"])
+    assert T.robust_spreads(df.limit(0), "user_id", "t", "value", "event_id").count() == 0
+
+
+def test_summary_of_tracks(spark):
+    straight = [(1, f, f, 3.0 * f, 4.0 * f) for f in range(6)]
+    still = [(2, 10 + f, f, 1.0, 1.0) for f in range(3)]
+    df = spark.createDataFrame([*straight, *still, (3, 20, 0, 0.0, 0.0), (-1, 21, 0, 0.0, 0.0)], "track_id long, row_id long, frame long, x_nm double, y_nm double")
+    got = {r["track_id"]: r for r in T.track_summary(df, 4, 0.1).collect()}
+    assert set(got) == {1, 2, 3}
+    assert (got[1]["n"], got[1]["path_nm"], got[1]["net_nm"], got[1]["straightness"], got[1]["lags"]) == (6, 25.0, 25.0, 1.0, 4)
+    assert got[1]["alpha"] == pytest.approx(2.0)  # a steady run: squared displacement grows with the square of time
+    assert got[2]["d_um2_s"] == 0 and math.isnan(got[2]["alpha"]) and math.isnan(got[2]["straightness"])
+    assert got[3]["lags"] == 0 and got[3]["path_nm"] == 0 and math.isnan(got[3]["d_um2_s"])
+
+
+def test_clusters_of_queries_are_not_trivial(spark, sf):
+    from spotlake.plans import catalog
+
+    for name in ("dbscan", "frame_analysis"):
+        ids = {r["cluster_id"] for r in catalog.queries()[name](spark, sf).select("cluster_id").distinct().collect()}
+        assert 1 in ids, name
