@@ -66,6 +66,19 @@ def _(spark, sf):
     return formats.read_json_traces(spark, path).select("tid", "x_nm")
 
 
+@query(
+    "flat_traces",
+    "SELECT event_id, user_id AS tid, CAST(event_id % 4 AS BIGINT) AS iteration, value * 1e9 AS x_nm, value / 2 AS dcr, CASE WHEN event_id % 3 <> 1 AND event_id % 4 = 3 THEN 1 ELSE 0 END AS final FROM events",
+)
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    zero = F.lit(0.0)
+    flat = e.select("event_id", F.col("user_id").alias("tid"), (F.col("event_id") % 3 != 1).alias("vld"), (F.col("event_id") % 4 == 3).alias("fnl"), (F.col("event_id") % 4).alias("itr"), F.array("value", zero, zero).alias("loc"), F.array(F.col("value") / 2, zero).alias("dcr"))
+    path = scratch(e) + ".json"
+    flat.write.json(path)
+    return formats.read_json_traces(spark, path, every=True).select("event_id", "tid", "iteration", "x_nm", "dcr", "final")
+
+
 @query("file_conditions", "SELECT doc_id, CASE WHEN source = 'src3' THEN 99.0 ELSE CAST(regexp_extract(source, 'src([0-9]+)', 1) AS DOUBLE) END AS number FROM documents WHERE source IS NOT NULL")
 def _(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").where("source is not null")

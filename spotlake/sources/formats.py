@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import records
+
 #: Headers that other programs write, and our names; a unit in brackets scales to nm.
 HEADERS = {
     "x": "x_nm", "y": "y_nm", "z": "z_nm", "xnm": "x_nm", "ynm": "y_nm", "znm": "z_nm", "n": "photons", "frame": "frame", "t": "frame", "intensity": "photons", "photons": "photons", "phot": "photons",
@@ -137,23 +139,55 @@ class Conversion:
 
 
 def read_json_traces(spark: SparkSession, path: str, every: bool = False, schema: str | None = None) -> DataFrame:
-    """Nested records {itr: [{loc, efo, cfr, …}], tid, tim, vld}: a row of the last iteration of each valid record,
-    or with ``every`` one for each iteration."""
     r = spark.read.schema(schema) if schema else spark.read
-    df = r.json(path)
+    return trace_rows(r.json(path), every)
+
+
+def read_array_traces(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
+    return trace_rows(records.read_arrays(spark, path), every)
+
+
+def trace_rows(df: DataFrame, every: bool = False) -> DataFrame:
+    """A row of the last iteration of each valid record, or with ``every`` one for each iteration.
+
+    Records are nested, {itr: [{loc, efo, cfr, ...}], tid, tim, vld}, or flat, a record for each iteration, where
+    ``fnl`` marks the last one. Positions come in nm, and two ratios (dcr) as dcr and dcr2; cfr stays as it was written.
+    """
+    if isinstance(df.schema["itr"].dataType, T.StructType):
+        df = df.withColumn("itr", F.array("itr"))
+    if not isinstance(df.schema["itr"].dataType, T.ArrayType):
+        return _flat_rows(df, every)
     df = df.where("vld") if not every and "vld" in df.columns else df
     rest = [c for c in df.columns if c != "itr"]
     if every:
-        out = df.select(*rest, F.posexplode("itr").alias("iteration", "i"))
+        valid = F.coalesce(F.col("vld").cast("boolean"), F.lit(False)) if "vld" in df.columns else F.lit(True)
+        rest.append("final")
+        size = df.withColumn("__last", F.size("itr") - 1).withColumn("__valid", valid)
+        out = size.select("*", F.posexplode("itr").alias("iteration", "i")).withColumn("final", (F.col("__valid") & (F.col("iteration") == F.col("__last"))).cast("int"))
     else:
         out = df.select(*rest, (F.size("itr") - 1).alias("iteration"), F.element_at("itr", -1).alias("i"))
-    names = [f.name for f in df.schema["itr"].dataType.elementType if f.name != "loc"]
-    loc = F.col("i")["loc"]
-    cols = [(loc[k] * 1e9).alias(n) for k, n in enumerate(("x_nm", "y_nm", "z_nm"))] + [F.col("i")[n].alias(n) for n in names]
+    names = [f.name for f in df.schema["itr"].dataType.elementType if f.name not in ("loc", "itr")]
+    cols = _places(F.col("i")["loc"]) + [F.col("i")[n].alias(n) for n in names]
     keep = [F.col(c).alias({"tim": "time_s"}.get(c, c)) for c in rest]
     return out.select(*keep, "iteration", *cols)
 
 
+def _places(loc):
+    return [(loc[k] * 1e9).alias(n) for k, n in enumerate(("x_nm", "y_nm", "z_nm"))]
+
+
+def _flat_rows(df: DataFrame, every: bool) -> DataFrame:
+    met = F.lit(True)
+    for c in {"vld", "fnl"} & set(df.columns):
+        met = met & F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    df = df.withColumn("final", met.cast("int")) if every else df.where(met)
+    cols = [F.col(c).alias({"tim": "time_s", "itr": "iteration"}.get(c, c)) for c in df.columns if c not in ("loc", "dcr", "fnl", "bot", "eot")]
+    if "dcr" in df.columns:
+        two = isinstance(df.schema["dcr"].dataType, T.ArrayType)
+        cols += [F.get("dcr", F.lit(0)).alias("dcr"), F.get("dcr", F.lit(1)).alias("dcr2")] if two else [F.col("dcr")]
+    return df.select(*cols, *_places(F.col("loc")))
+
+
 def pixel_table(df: DataFrame, pixelsize_nm: float, variances: bool = False) -> DataFrame:
     """Tables of other programs in pixels (x, y, lpx, lpy, sx, sy, photons, bg, group) as ours; CRLB variances by root."""
     nm = {"x": "x_nm", "y": "y_nm", "lpx": "x_err_nm", "lpy": "y_err_nm", "sx": "sigma_x_nm", "sy": "sigma_y_nm", "x_cr": "x_err_nm", "y_cr": "y_err_nm"}
@@ -205,4 +239,5 @@ def load_meta(spark: SparkSession, path: str) -> dict:
 register(Format("parquet", (".parquet",), lambda s, p: s.read.parquet(p), write_parquet))
 register(Format("csv", (".csv", ".tsv", ".txt"), read_csv, write_csv))
 register(Format("json traces", (".json", ".jsonl"), read_json_traces))
+register(Format("array traces", (".npy", ".zip"), read_array_traces))
 register(Format("orc", (".orc",), lambda s, p: s.read.orc(p), lambda df, p: df.write.mode("overwrite").orc(p)))
