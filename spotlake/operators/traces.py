@@ -166,14 +166,38 @@ def steps_table(df: DataFrame, key: str, time: str, value: str, threshold: float
     return df.where(F.col(key) >= 0).select(key, time, value).groupBy(key).applyInPandas(run, f"{key} {kind}, plateau int, start double, end double, n long, level double, step double")
 
 
+def _digamma(x: float) -> float:
+    """Derivative of the logarithm of the gamma function: recurrence up to 6, then the asymptotic series."""
+    low = 0.0
+    while x < 6:
+        low, x = low - 1 / x, x + 1
+    y = 1 / (x * x)
+    return low + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
+
+
 def dwell_models(table: DataFrame, column: str) -> dict[str, float]:
-    """Exponential and Erlang laws of dwell times: mean, shape = mean^2 / variance, log-likelihood and AIC."""
+    """Exponential and gamma laws of dwell times by maximum likelihood, from sums over the table: mean, shape = mean^2 /
+    variance, the gamma law's own shape, and log-likelihood and AIC of both.
+
+    Times that aren't positive take no part; under five there is no fit. Equal times have no finite gamma shape: the gamma
+    entries are then infinite or NaN.
+    """
     x = F.when(N.double(column) > 0, N.present(column))
-    r = table.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("v")).first()
+    r = table.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("v"), F.avg(F.log(x)).alias("l")).first()
     if not r["n"] or r["n"] < 5:
         return {}
-    ll = -r["n"] * (math.log(r["m"]) + 1)
-    return {"n": r["n"], "mean": r["m"], "shape": r["m"] ** 2 / r["v"] if r["v"] else math.inf, "exponential_ll": ll, "exponential_aic": 2 - 2 * ll}
+    n, mean = r["n"], r["m"]
+    ll = -n * (math.log(mean) + 1)
+    out = {"n": n, "mean": mean, "shape": mean**2 / r["v"] if r["v"] else math.inf, "exponential_ll": ll, "exponential_aic": 2 - 2 * ll}
+    gap = math.log(mean) - r["l"]  # the shape k solves log k - digamma(k) = gap, which falls in k
+    if gap < 1e-12:
+        return out | {"gamma_shape": math.inf, "gamma_ll": math.nan, "gamma_aic": math.nan}
+    lo, hi = 1e-6, 1e13
+    for _ in range(200):
+        k = math.sqrt(lo * hi)
+        lo, hi = (k, hi) if math.log(k) - _digamma(k) > gap else (lo, k)
+    ll = n * ((k - 1) * r["l"] - k - k * math.log(mean / k) - math.lgamma(k))
+    return out | {"gamma_shape": k, "gamma_ll": ll, "gamma_aic": 4 - 2 * ll}
 
 
 def allan(df: DataFrame, key: str, time: str, value: str, spans: list[int]) -> DataFrame:

@@ -106,3 +106,18 @@ def test_clusters_of_queries_are_not_trivial(spark, sf):
     for name in ("dbscan", "frame_analysis"):
         ids = {r["cluster_id"] for r in catalog.queries()[name](spark, sf).select("cluster_id").distinct().collect()}
         assert 1 in ids, name
+
+
+def test_laws_of_dwell_times(spark):
+    x = np.random.default_rng(2).gamma(2.5, 3.0, 4000)
+    df = spark.createDataFrame([(float(v),) for v in [*x, -1.0, float("nan")]], "dwell double")
+    d = T.dwell_models(df, "dwell")
+
+    def likelihood(k):  # at the best scale for this shape
+        return float(((k - 1) * np.log(x) - x * k / x.mean()).sum()) - len(x) * (k * math.log(x.mean() / k) + math.lgamma(k))
+
+    assert d["n"] == 4000 and d["gamma_shape"] == pytest.approx(2.5, rel=0.1)
+    assert d["gamma_ll"] == pytest.approx(likelihood(d["gamma_shape"]))
+    assert all(d["gamma_ll"] > likelihood(d["gamma_shape"] * f) for f in (0.98, 1.02)) and d["gamma_aic"] < d["exponential_aic"]
+    assert T.dwell_models(df.limit(0), "dwell") == {}
+    assert T.dwell_models(spark.createDataFrame([(2.0,)] * 6, "dwell double"), "dwell")["gamma_shape"] == math.inf
