@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, substring
+from . import resample, sharding, substring
 from .common import read
 
-ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op8_substring": substring.ORACLE}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op8_substring": substring.ORACLE, "op12_resampling": resample.ORACLE}
 
 
 def tokenizer(name: str) -> str:
@@ -75,5 +75,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
