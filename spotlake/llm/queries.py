@@ -75,6 +75,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quantiles import shop_quantiles
+
+    return shop_quantiles(*(read(spark, sf_dir, name) for name in ("clicks", "sale_lines", "items")))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
