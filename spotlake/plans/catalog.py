@@ -47,7 +47,7 @@ def oracles() -> dict[str, str]:
 
 
 def _more() -> None:
-    from . import catalog_analysis, catalog_flow, catalog_measure  # noqa: F401
+    from . import catalog_analysis, catalog_flow, catalog_measure, catalog_structure  # noqa: F401
 
 
 def r6(c, name: str | None = None):
