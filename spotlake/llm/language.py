@@ -5,8 +5,9 @@ likelihood from letter 3-grams. Expectation-maximisation estimates the proportio
 chosen by penalised likelihood (the best k languages for each k, less ``PENALTY`` times k log words). The
 prediction is the largest language of the set and the score its proportion.
 
-The 3-gram model is fitted on a bounded, hash-chosen sample of labelled documents (about ``SAMPLE`` of them);
-its counts lie in ``BUCKETS`` hash buckets a language, which bounds what reaches the driver and is broadcast.
+The 3-gram model is fitted on a bounded sample of labelled documents: ``SAMPLE`` are shared out among the languages in
+equal parts, what a language hasn't got goes to the others, and each language's documents are chosen by hash, so that
+a language with few rows is learned from all of them. Its counts lie in ``BUCKETS`` hash buckets a language, which bounds what reaches the driver and is broadcast.
 Prediction reads whole texts and nothing else of a row. No shuffle but that of the sample's counts.
 
 Defined results: ``und`` with score 0 if the text is null, empty or without a letter, or if no labelled
@@ -51,9 +52,14 @@ def letters(word: str) -> str:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the log-likelihood of each 3-gram bucket in each."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    rows = known.select("doc_id").count()
-    share = min(1.0, sample / max(rows, 1))
-    known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # A row a language; what is learned and broadcast is as wide.
+    have = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    each, left, rest = {}, sample, len(have)
+    for lang, n in sorted(have.items(), key=lambda x: (x[1], x[0])):
+        each[lang] = min(n, -(-left // rest))
+        left, rest = left - each[lang], rest - 1
+    bound = F.create_map(*[F.lit(v) for k, n in have.items() for v in (k, int(min(1.0, each[k] / n) * (1 << 30)))])[F.col("lang")] if have else F.lit(0)
+    known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) < bound)
     tune(docs.sparkSession)
 
     def run(batches):

@@ -29,8 +29,8 @@ from .common import tune
 
 #: Tokens, pieces and loss-bearing tokens of a sequence.
 LIMITS = (4096, 256, 4096)
-#: Documents that are placed together.
-WINDOW = 3000
+#: Documents that are placed together, and tokens, whichever come first: a worker holds no more, but for one batch.
+WINDOW, TOKENS = 3000, 1 << 22
 
 
 class Queue:
@@ -187,7 +187,7 @@ def pack_tokens(docs: DataFrame, path: str, end_id: int = 2, limits: tuple[int,
             ids = [coder.ids(w) + end for w in texts]
             bears = b.column(2).to_pylist() if loss else [None] * len(ids)
             held += zip(b.column(0).to_pylist(), ids, bears, [0] * len(ids), strict=True)
-            if len(held) >= window:
+            if len(held) >= window or sum(len(x) for _, x, _, _ in held) >= 4 * TOKENS:
                 seqs, rest = placed(held, False)
                 yield emit(seqs, held)
                 held = keep(held, rest)

@@ -38,6 +38,14 @@ def test_only_category_l_is_a_letter(spark):
     assert sorted(r["doc_id"] for r in unknown.collect()) == list(range(40))
 
 
+def test_a_language_of_few_rows_is_learned(spark):
+    words = {"en": "the word and another one", "de": "ein wort und noch eins", "fr": "un mot et encore une autre chose"}
+    rows = [(i, words["en"] if i % 2 else words["fr"], "en" if i % 2 else "fr") for i in range(3000)] + [(10_000 + i, words["de"], "de") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, sample=200).collect()}
+    assert [got[10_000 + i] for i in range(4)] == ["de"] * 4 and got[1] == "en" and got[2] == "fr"
+
+
 # Pages ------------------------------------------------------------------------------------------------------
 
 
