@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import hierarchy as H
 from ..operators import overlap as O
-from .catalog import EV, events, query, r6
+from .catalog import EV, PT, events, points, query, r6
 
 SITES = f"{EV}, s AS (SELECT event_id AS row_id, frame, value AS x_nm, user_id * 10.0 AS y_nm, CAST(floor((frame - (SELECT min(frame) FROM ev)) / 4320) AS BIGINT) AS win FROM ev WHERE isfinite(value))"
 
@@ -36,3 +37,26 @@ def _(spark, sf):
     s = sites(spark, sf)
     drift = O.overlap_drift(s, 4320, 4.0, 1.0)
     return O.drift_curve(s, drift, 4320).select("frame", r6("d_x_nm", "d_x_nm"), r6("d_y_nm", "d_y_nm"))
+
+
+# The tree of the places' mutual reachability with four others as core, one edge a step from the first place on.
+TREE = f"""{PT}, p AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS INT) AS i, x_nm, y_nm FROM pt),
+    d AS MATERIALIZED (SELECT a.i AS a, b.i AS b, sqrt((a.x_nm - b.x_nm) ** 2 + (a.y_nm - b.y_nm) ** 2) AS d FROM p a JOIN p b ON a.i <> b.i),
+    c AS (SELECT a AS i, d AS core FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 4),
+    e AS MATERIALIZED (SELECT a, b, greatest(d, ca.core, cb.core) AS w FROM d JOIN c ca ON ca.i = a JOIN c cb ON cb.i = b)"""
+
+
+@query(
+    "spanning_tree",
+    TREE.replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (SELECT 0 AS n, set_bit(repeat('0', (SELECT count(*) FROM p)::INT)::BIT, 0, 1) AS seen, 0.0::DOUBLE AS w
+        UNION ALL SELECT t.n + 1, set_bit(any_value(t.seen), arg_min(e.b, e.w), 1), min(e.w) FROM t JOIN e ON get_bit(t.seen, e.a) = 1 AND get_bit(t.seen, e.b) = 0 GROUP BY t.n)
+        SELECT count(*) - 1 AS n, round(sum(w), 4) AS weight, round(max(w), 6) AS longest FROM t""",
+)
+def _(spark, sf):
+    tree, _, _ = H.condensed(points(spark, sf), 5, 4, 100.0)
+    return tree.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("weight"), r6(F.max("w"), "longest"))
+
+
+@query("hdbscan")
+def _(spark, sf):
+    return H.hdbscan(points(spark, sf), 5, 4).select("row_id", "cluster_id", "n_in_cluster")
