@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import beads as B
 from ..operators import hierarchy as H
 from ..operators import overlap as O
+from ..operators import voronoi as V
 from .catalog import EV, PT, events, points, query, r6
 
 SITES = f"{EV}, s AS (SELECT event_id AS row_id, frame, value AS x_nm, user_id * 10.0 AS y_nm, CAST(floor((frame - (SELECT min(frame) FROM ev)) / 4320) AS BIGINT) AS win FROM ev WHERE isfinite(value))"
@@ -60,3 +62,39 @@ def _(spark, sf):
 @query("hdbscan")
 def _(spark, sf):
     return H.hdbscan(points(spark, sf), 5, 4).select("row_id", "cluster_id", "n_in_cluster")
+
+
+@query("voronoi_density")
+def _(spark, sf):
+    p = points(spark, sf)
+    bound = 0.05 * p.count() / V.hull_area(p)
+    return V.voronoi_density(p, bound).select("row_id", F.round("density", 9).alias("density"))
+
+
+@query("voronoi_clusters")
+def _(spark, sf):
+    return V.voronoi_clusters(points(spark, sf), 2.0, 5).select("row_id", "cluster_id", "n_in_cluster")
+
+
+@query(
+    "bead_sums",
+    f"""{EV}, e AS (SELECT (SELECT min(frame) FROM ev) AS lo, (SELECT max(frame) FROM ev) AS hi), s AS (SELECT user_id AS bead, value AS p, (frame - lo) / ((hi - lo) / 5.0) AS s FROM ev, e),
+        j AS (SELECT *, CAST(least(floor(s), 4) AS INT) AS j FROM s),
+        k AS (SELECT *, s - j AS l1, s - greatest(j - 1, 0) AS l2, s - greatest(j - 2, 0) AS l3, j + 1 - s AS r1, least(j + 2, 5) - s AS r2, least(j + 3, 5) - s AS r3 FROM j),
+        a AS (SELECT *, r1 / (r1 + l1) AS a0, l1 / (r1 + l1) AS a1 FROM k),
+        c AS (SELECT *, r1 * a0 / (r1 + l2) AS c0, l2 * a0 / (r1 + l2) + r2 * a1 / (r2 + l1) AS c1, l1 * a1 / (r2 + l1) AS c2 FROM a),
+        b AS (SELECT bead, j, p, r1 * c0 / (r1 + l3) AS b0, l3 * c0 / (r1 + l3) + r2 * c1 / (r2 + l2) AS b1, l2 * c1 / (r2 + l2) + r3 * c2 / (r3 + l1) AS b2, l1 * c2 / (r3 + l1) AS b3 FROM c)
+        SELECT bead, j AS span, count(*)::DOUBLE AS w, round(sum(b0), 6) AS b0, round(sum(b3), 6) AS b3, round(sum(b0 * b0), 6) AS b00, round(sum(b1 * b2), 6) AS b12, round(sum(p), 4) AS p_value, round(sum(b2 * p), 4) AS q2_value FROM b GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    e = events(spark, sf)
+    ends = e.agg(F.min("frame"), F.max("frame")).first()
+    got = B.spline_sums(e, float(ends[0]), float(ends[1]), 8, ("value",), "user_id", "frame")
+    return got.select("bead", "span", "w", *[r6(c, c) for c in ("b0", "b3", "b00", "b12")], *[F.round(c, 4).alias(c) for c in ("p_value", "q2_value")])
+
+
+@query("bead_choice")
+def _(spark, sf):
+    got = B.select_beads(events(spark, sf), 4320.0, ("value",), "user_id", "frame", margin=5.0)
+    rows = got.table.reset_index(names="bead")[["bead", "n", "coverage", "noise_nm", "wander_nm", "jump_nm", "used"]]
+    return spark.createDataFrame(rows)
