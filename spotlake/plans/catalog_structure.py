@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import beads as B
+from ..operators import colours as C
 from ..operators import hierarchy as H
 from ..operators import overlap as O
+from ..operators import phase as P
 from ..operators import voronoi as V
 from .catalog import EV, PT, events, points, query, r6
 
@@ -98,3 +100,64 @@ def _(spark, sf):
     got = B.select_beads(events(spark, sf), 4320.0, ("value",), "user_id", "frame", margin=5.0)
     rows = got.table.reset_index(names="bead")[["bead", "n", "coverage", "noise_nm", "wander_nm", "jump_nm", "used"]]
     return spark.createDataFrame(rows)
+
+
+# An event's value is its coarse place, its phase that of the value with a drift over frames and an error from its number.
+PHASE = f"""{EV}, r AS (SELECT event_id, frame, 0.05 * value + 0.0001 * (frame - (SELECT min(frame) FROM ev)) + 0.1 * (event_id % 7 - 3) AS a, value + (event_id % 11 - 5) * 4.0 AS z, 10.0 + event_id % 13 AS err FROM ev),
+    ph AS (SELECT *, a - 2 * pi() * round(a / (2 * pi())) AS phase, 1 / (0.04 + 0.0025 * err * err) AS w FROM r),
+    win AS (SELECT CAST(floor((frame - (SELECT min(frame) FROM ph)) / 4320) AS BIGINT) AS win, sum(w * cos(phase - 0.05 * z)) AS c, sum(w * sin(phase - 0.05 * z)) AS s, sum(w) AS w, sum(w * w) AS w2, count(*) AS n FROM ph GROUP BY 1 HAVING count(*) >= 20),
+    tu AS (SELECT *, atan2(s, c) AS angle, coalesce(-round((atan2(s, c) - lag(atan2(s, c)) OVER (ORDER BY win)) / (2 * pi())), 0) AS turn FROM win),
+    ca AS (SELECT win, (SELECT min(frame) FROM ph) + (win + 0.5) * 4320 AS centre, angle + 2 * pi() * sum(turn) OVER (ORDER BY win) AS phase0, sqrt(-2 * ln(sqrt(c * c + s * s) / w)) / sqrt(w * w / w2) AS error, n FROM tu)"""
+
+
+def phases(spark, sf):
+    e = events(spark, sf)
+    first = e.agg(F.min("frame")).first()[0]
+    a = 0.05 * F.col("value") + 0.0001 * (F.col("frame") - first) + 0.1 * (F.col("event_id") % 7 - 3)
+    return e.select("event_id", "frame", (a - 2 * np.pi * F.round(a / (2 * np.pi))).alias("phase_rad"), F.lit(0.2).alias("phase_err_rad"), (F.col("value") + (F.col("event_id") % 11 - 5) * 4.0).alias("z_env_nm"), (10.0 + F.col("event_id") % 13).alias("z_env_err_nm"))
+
+
+@query("cavity_phase", f"{PHASE} SELECT win AS \"window\", centre, round(phase0, 6) AS phase0, round(error, 6) AS error, n FROM ca")
+def _(spark, sf):
+    got = P.cavity_phase(phases(spark, sf), 0.05, 4320)
+    return got.select("window", "centre", r6("phase0", "phase0"), r6("error", "error"), "n")
+
+
+@query(
+    "fringes",
+    f"""{PHASE}, uu AS (SELECT ph.*, ((frame - (SELECT min(centre) FROM ca)) / 4320) AS u FROM ph), k AS (SELECT *, greatest(least(floor(u), (SELECT max(win) - 1 FROM ca)), 0) AS lo FROM uu),
+        b AS (SELECT k.*, p.phase0 + (q.phase0 - p.phase0) * (k.frame - p.centre) / 4320 AS phase0 FROM k JOIN ca p ON p.win = k.lo JOIN ca q ON q.win = k.lo + 1),
+        n AS (SELECT *, (phase - phase0) / 0.05 AS base, round_even((z - (phase - phase0) / 0.05) / (2 * pi() / 0.05), 0) AS n FROM b)
+        SELECT event_id, round(base + n * 2 * pi() / 0.05, 5) AS z_nm, n::BIGINT AS fringe,
+        round(1 / (SELECT sum(exp(-0.5 * (((z - base - (n + i) * 2 * pi() / 0.05) / err) ** 2 - ((z - base - n * 2 * pi() / 0.05) / err) ** 2))) FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS i)), 6) AS probability FROM n""",
+)
+def _(spark, sf):
+    rows = phases(spark, sf)
+    got = P.unwrapped(P.with_cavity_phase(rows, P.cavity_phase(rows, 0.05, 4320), 4320), 0.05, calibrate=False)
+    return got.select("event_id", F.round("z_nm", 5).alias("z_nm"), "fringe", r6("fringe_probability", "probability"))
+
+
+# Users with even numbers are traces of one colour, with odd ones of the other; a row's time is its minute.
+PAIRS = f"""{EV}, a AS (SELECT DISTINCT user_id AS a, frame AS t, value AS x FROM ev WHERE user_id % 2 = 0), b AS (SELECT DISTINCT user_id AS b, frame AS t, value AS x FROM ev WHERE user_id % 2 = 1),
+    m AS (SELECT b, b.t, b.x, a, arg_min(b.x - a.x, (abs(a.t - b.t), a.t, a.x)) AS dx FROM b JOIN a ON abs(a.t - b.t) <= 240 GROUP BY b, b.t, b.x, a)"""
+
+
+def two_colours(spark, sf):
+    e = events(spark, sf).select("user_id", (F.col("user_id") % 2).alias("channel"), F.col("frame").cast("double").alias("t"), F.col("value").alias("x_nm"), F.lit(0.0).alias("y_nm"))
+    return C.traces(e, "user_id")
+
+
+@query(
+    "colour_matches",
+    f"SELECT a, b, n AS matched, c AS close, round(s, 6) AS separation FROM ({PAIRS} SELECT a, b, count(*) AS n, sum((abs(dx) <= 40)::INT)::BIGINT AS c, median(abs(dx)) AS s FROM m GROUP BY 1, 2) WHERE n >= 4 AND c >= 0.6 * n",
+)
+def _(spark, sf):
+    got = C.pair_candidates(two_colours(spark, sf), 240.0, 40.0, 4, 0.6, -1e9)
+    return got.select("a", "b", "matched", "close", r6("separation", "separation"))
+
+
+@query("colour_pairs")
+def _(spark, sf):
+    rows = two_colours(spark, sf)
+    pairs = C.pair_traces(rows, C.pair_candidates(rows, 240.0, 40.0, 4, 0.6))
+    return C.pair_values(rows, pairs, 240.0, 40.0).select("pair_id", "n_traces", "n_0", "n_1", "n_matched", *[r6(c, c) for c in ("within", "separation_nm", "dx_nm")], "both")
