@@ -112,6 +112,7 @@ class Block:
         self.begins = np.flatnonzero(np.concatenate([[True], (np.diff(c1) != 0) | (np.diff(c2) != 0)])) if len(by) else np.zeros(0, np.int64)
         self.ends = np.concatenate([self.begins[1:], [len(by)]]) if len(by) else self.begins
         self.c1, self.c2 = c1[self.begins], c2[self.begins]
+        self.scored = 0  # products taken so far
 
     def best(self, q_id: np.ndarray, q: np.ndarray, reach: np.ndarray, index: MultiIndex, k: int):
         """(query, vector, score) of the best ``k`` rows for each query, of the cells that it took."""
@@ -120,17 +121,27 @@ class Block:
         for i in range(0, len(q), 64):
             part = slice(i, i + 64)
             took = s1[part][:, self.c1] + s2[part][:, self.c2] >= reach[part, None] - 1e-12
-            rough = np.full((len(took), len(self.ids)), -np.inf)
-            for j in np.flatnonzero(took.any(0)):
-                asks, rows = np.flatnonzero(took[:, j]), slice(self.begins[j], self.ends[j])
-                rough[asks, rows] = q[part][asks] @ self.v[rows].T
-            rough[self.ids[None] == q_id[part, None]] = -np.inf
-            n = min(k, rough.shape[1])
-            bound = np.partition(rough, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n]
-            x, y = np.nonzero((rough > -np.inf) & (rough >= bound[:, None] - 1e-9))
-            for j in range(0, len(x), 1 << 17):  # scored one by one, so that equal vectors score alike
-                xs, ys = x[j : j + (1 << 17)], y[j : j + (1 << 17)]
-                out[0].append(xs + i), out[1].append(ys), out[2].append((q[part][xs] * self.v[ys]).sum(1))
+            # Of each query only the rows of the cells that it took, end to end.
+            pieces: list[list[np.ndarray]] = [[] for _ in took]
+            for j in np.flatnonzero(took.any(0)).tolist():
+                asks = np.flatnonzero(took[:, j])
+                for a, s in zip(asks.tolist(), q[part][asks] @ self.v[self.begins[j] : self.ends[j]].T, strict=True):
+                    pieces[a].append(s)
+            size = self.ends - self.begins
+            for a, own in enumerate(pieces):
+                if not own:
+                    continue
+                cells = np.flatnonzero(took[a])
+                rough, n = np.concatenate(own), size[cells]
+                self.scored += len(rough)
+                rows = np.repeat(self.begins[cells] - np.cumsum(n) + n, n) + np.arange(len(rough))
+                rough[self.ids[rows] == q_id[i + a]] = -np.inf
+                m = min(k, len(rough))
+                bound = np.partition(rough, len(rough) - m)[len(rough) - m]
+                ys = rows[(rough > -np.inf) & (rough >= bound - 1e-9)]
+                for j in range(0, len(ys), 1 << 17):  # scored one by one, so that equal vectors score alike
+                    y = ys[j : j + (1 << 17)]
+                    out[0].append(np.full(len(y), i + a)), out[1].append(y), out[2].append((q[i + a] * self.v[y]).sum(1))
         if not out[0]:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         x, y, s = map(np.concatenate, out)

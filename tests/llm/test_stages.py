@@ -198,3 +198,23 @@ def test_very_long_documents(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[30_000:] + ["x"] + words[:10_000])), (3, "a " * 50_000)], "doc_id long, text string").withColumn("gone", F.lit(1))
     got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_digests(df).collect()}
     assert got == {1: (60_000, 0), 2: (40_001, 40_000), 3: (50_000, 50_000 - 1)}
+
+
+def test_only_taken_rows_are_scored():
+    """Products taken are the rows of the cells that the queries took, and no more; the results are the exact ones of those rows."""
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(3000, 8)), rng.normal(size=(150, 8))
+    index = multi_index.MultiIndex(rng.normal(size=(12, 4)), rng.normal(size=(12, 4)))
+    c1, c2 = index.cells(v)
+    np.add.at(index.counts, (c1, c2), 1)
+    s1, s2 = index.sums(q)
+    reach = np.array([index.reach(a, b, 400) for a, b in zip(s1, s2)])
+    block = multi_index.Block(np.arange(3000), v, c1, c2)
+    who, which, score = block.best(np.arange(150), q, reach, index, 5)
+    took = s1[:, c1] + s2[:, c2] >= reach[:, None] - 1e-12
+    assert block.scored == took.sum() < 150 * 3000 / 3 and (took.sum(1) >= 400).all()
+    exact = q @ v.T
+    exact[~took] = -np.inf
+    exact[np.arange(150), np.arange(150)] = -np.inf
+    for i in range(150):
+        assert sorted(which[who == i].tolist()) == sorted(np.argsort(-exact[i], kind="stable")[:5].tolist())
