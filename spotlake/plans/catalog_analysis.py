@@ -216,7 +216,7 @@ def _(spark, sf):
 
 @query("null_envelope")
 def _(spark, sf):
-    return X.envelope(points(spark, sf), (-300, -300, 300, 300), 40, 10, 5)
+    return X.envelope(points(spark, sf), (-300, -300, 300, 300), 40, 10, 99)
 
 
 @query("nearest_precision")

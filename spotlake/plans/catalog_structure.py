@@ -10,7 +10,9 @@ from ..operators import colours as C
 from ..operators import hierarchy as H
 from ..operators import overlap as O
 from ..operators import phase as P
+from ..operators import spectrum as S
 from ..operators import voronoi as V
+from ..operators import window_stats as W
 from .catalog import EV, PT, events, points, query, r6
 
 SITES = f"{EV}, s AS (SELECT event_id AS row_id, frame, value AS x_nm, user_id * 10.0 AS y_nm, CAST(floor((frame - (SELECT min(frame) FROM ev)) / 4320) AS BIGINT) AS win FROM ev WHERE isfinite(value))"
@@ -161,3 +163,39 @@ def _(spark, sf):
     rows = two_colours(spark, sf)
     pairs = C.pair_traces(rows, C.pair_candidates(rows, 240.0, 40.0, 4, 0.6))
     return C.pair_values(rows, pairs, 240.0, 40.0).select("pair_id", "n_traces", "n_0", "n_1", "n_matched", *[r6(c, c) for c in ("within", "separation_nm", "dx_nm")], "both")
+
+
+@query(
+    "window_lags",
+    f"""{PT}, pix AS (SELECT DISTINCT CAST(floor(x_nm / 50) AS BIGINT) AS px, CAST(floor(y_nm / 50) AS BIGINT) AS py FROM pt)
+        SELECT CAST(b.px - a.px AS INT) AS lx, CAST(b.py - a.py AS INT) AS ly, count(*) AS n FROM pix a JOIN pix b ON abs(b.px - a.px) <= 4 AND abs(b.py - a.py) <= 4 GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    p = points(spark, sf)
+    pixels = p.select(F.floor(F.col("x_nm") / 50).cast("long").alias("px"), F.floor(F.col("y_nm") / 50).cast("long").alias("py")).distinct()
+    return W.lag_counts(pixels, 4)
+
+
+@query("window_statistics")
+def _(spark, sf):
+    p = points(spark, sf)
+    pixels = p.select(F.floor(F.col("x_nm") / 50).cast("long").alias("px"), F.floor(F.col("y_nm") / 50).cast("long").alias("py")).distinct()
+    rings, test = W.pair_statistics(p, pixels, 50.0, 100.0, 10.0)
+    return spark.createDataFrame([{k: v for k, v in r.items()} | {"p": test["p"]} for r in rings])
+
+
+@query(
+    "track_pieces",
+    f"""{EV}, f AS (SELECT user_id, frame, min(event_id) AS event_id FROM ev GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY frame) - 1 AS i FROM f),
+        p AS (SELECT user_id, event_id, i, i // 10 AS piece FROM n UNION ALL SELECT user_id, event_id, i, i // 10 - 1 FROM n WHERE i % 10 = 0 AND i > 0)
+        SELECT user_id AS track, piece::BIGINT AS piece, count(*) - 1 AS n_jumps, arg_min(event_id, i) AS first_row, arg_max(event_id, i) AS last_row FROM p GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+def _(spark, sf):
+    got = S.pieces(events(spark, sf), "user_id", xy=("value",), row="event_id")
+    return got.select("track", "piece", "n_jumps", F.element_at("rows", 1)["row"].alias("first_row"), F.element_at("rows", -1)["row"].alias("last_row"))
+
+
+@query("diffusion_spectrum")
+def _(spark, sf):
+    d, share, _ = S.spectrum(events(spark, sf), 60.0, S.grid(1e-9, 1e-4, 60), rounds=60, track="user_id", xy=("value",), row="event_id")
+    return spark.createDataFrame([(float(a), round(float(b), 6)) for a, b in zip(d, share, strict=True)], "d double, share double")
