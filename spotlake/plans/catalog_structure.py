@@ -11,6 +11,7 @@ from ..operators import hierarchy as H
 from ..operators import overlap as O
 from ..operators import phase as P
 from ..operators import spectrum as S
+from ..operators import steps as T
 from ..operators import voronoi as V
 from ..operators import window_stats as W
 from .catalog import EV, PT, events, points, query, r6
@@ -199,3 +200,9 @@ def _(spark, sf):
 def _(spark, sf):
     d, share, _ = S.spectrum(events(spark, sf), 60.0, S.grid(1e-9, 1e-4, 60), rounds=60, track="user_id", xy=("value",), row="event_id")
     return spark.createDataFrame([(float(a), round(float(b), 6)) for a, b in zip(d, share, strict=True)], "d double, share double")
+
+
+@query("s_curve_steps")
+def _(spark, sf):
+    got = T.steps_of(events(spark, sf), "user_id", "t", "value")
+    return got.select("user_id", "plateau", "start", "n", *[r6(c, c) for c in ("dwell", "level", "step")])
