@@ -164,8 +164,8 @@ def near_in_time(rows: DataFrame, reach: float, dt: int, keys: tuple[str, ...],
     return rows.join(at, same, "left").select(*[rows[c] for c in rows.columns if c not in ("__cx", "__cy")], F.coalesce("component", alone).alias("component"))
 
 
-def link_blinks(df: DataFrame, dx: float = 50.0, dt: int = 1, precision: str | None = None, k: float = 2.5, lowest: float = 10.0, keys: tuple[str, ...] = (), xy: tuple[str, str] = ("x_nm", "y_nm"), frame: str = "frame", row: str = "row_id") -> DataFrame:
-    """group_id (from 0 in order of keys, frame, x, row) and n_in_group of every row.
+def link_heads(df: DataFrame, dx: float = 50.0, dt: int = 1, precision: str | None = None, k: float = 2.5, lowest: float = 10.0, keys: tuple[str, ...] = (), xy: tuple[str, str] = ("x_nm", "y_nm"), frame: str = "frame", row: str = "row_id") -> DataFrame:
+    """(row, __head) of every row: the first row of its group.
 
     Rows that can influence each other lie within 1.5 dx on both axes and dt + 1 frames, in chains: the walk is
     exact within ``near_in_time``'s components, which are worked on side by side.
@@ -189,12 +189,21 @@ def link_blinks(df: DataFrame, dx: float = 50.0, dt: int = 1, precision: str | N
 
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     linked = rows.withColumn("__bucket", F.pmod(F.xxhash64("component"), F.lit(buckets * 4)))
-    linked = cut(linked.groupBy("__bucket").applyInPandas(walk, f"{row} long, __head long"))
+    return cut(linked.groupBy("__bucket").applyInPandas(walk, f"{row} long, __head long"))
+
+
+def with_groups(df: DataFrame, linked: DataFrame, keys: tuple[str, ...] = (), x: str = "x_nm", frame: str = "frame", row: str = "row_id") -> DataFrame:
+    """``df`` with group_id and n_in_group, numbered from 0 in order of keys, frame, x and row of the groups' first rows."""
     heads = linked.groupBy("__head").agg(F.count(F.lit(1)).alias("n_in_group")).join(df.select(F.col(row).alias("__head"), *keys, F.col(frame).alias("__f"), F.col(x).alias("__x")), "__head")
     heads = numbered(heads, "group_id", *keys, "__f", "__x", "__head").select("__head", "group_id", "n_in_group")
     return df.join(linked.join(heads, "__head").select(row, "group_id", "n_in_group"), row)
 
 
+def link_blinks(df: DataFrame, dx: float = 50.0, dt: int = 1, precision: str | None = None, k: float = 2.5, lowest: float = 10.0, keys: tuple[str, ...] = (), xy: tuple[str, str] = ("x_nm", "y_nm"), frame: str = "frame", row: str = "row_id") -> DataFrame:
+    """group_id (from 0 in order of keys, frame, x, row) and n_in_group of every row, see ``link_heads``."""
+    return with_groups(df, link_heads(df, dx, dt, precision, k, lowest, keys, xy, frame, row), keys, xy[0], frame, row)
+
+
 # Tracks -----------------------------------------------------------------------------------------------------
 
 

@@ -22,9 +22,13 @@ def middle_rows(df: DataFrame, key: str, frame: str = "frame", least: int = 1) -
     return df.join(ends, key).where((F.col(frame) > F.col("__lo")) & (F.col(frame) < F.col("__hi"))).drop("__lo", "__hi", "__n").select(*df.columns)
 
 
-def event_cores(df: DataFrame, dx: float, dt: int, least: int, frame: str = "frame", **of) -> DataFrame:
-    """The middle rows of linked binding events of at least ``least`` rows, with their group_id."""
-    return middle_rows(link_blinks(df, dx, dt, frame=frame, **of), "group_id", frame, least)
+def event_cores(df: DataFrame, radius: float, dt: int, least: int, frame: str = "frame", row: str = "row_id", **of) -> DataFrame:
+    """The middle rows of linked binding events of at least ``least`` rows, with their group_id.
+
+    Rows are linked within a circle of ``radius``, whatever their precision.
+    """
+    linked = link_blinks(df.withColumn("__none", F.lit(0.0)), radius, dt, precision="__none", k=1.0, lowest=radius, frame=frame, row=row, **of)
+    return middle_rows(linked.drop("__none"), "group_id", frame, least)
 
 
 # Selections -------------------------------------------------------------------------------------------------
