@@ -117,12 +117,15 @@ def _(spark, sf):
 
 @query("live_rate", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, sf):
-    """Counts by hour of a stream: complete windows in batches equal those of the whole table."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    return live.windowed_rate(e, "ts", "1 hour", "1 hour", ("event_type",)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    """Counts by hour of a stream, after its last batch."""
+    out = scratch(lines(spark, sf))
+    e = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    rate = live.completed(live.windowed_rate(e, "ts", "1 hour", "1 hour", ("event_type",)), f"{out}/table", f"{out}/state")
+    return rate.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("live_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k")
 def _(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    return live.sessions(e, "ts", "30 minutes", "1 hour", ("user_id",)).select("user_id", "n")
+    out = scratch(lines(spark, sf))
+    e = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return live.completed(live.sessions(e, "ts", "30 minutes", "1 hour", ("user_id",)), f"{out}/table", f"{out}/state").select("user_id", "n")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import beads as B
 from ..operators import colours as C
+from ..operators import grouping as G
 from ..operators import hierarchy as H
+from ..operators import measure as M
 from ..operators import overlap as O
 from ..operators import phase as P
 from ..operators import spectrum as S
@@ -206,3 +208,27 @@ def _(spark, sf):
 def _(spark, sf):
     got = T.steps_of(events(spark, sf), "user_id", "t", "value")
     return got.select("user_id", "plateau", "start", "n", *[r6(c, c) for c in ("dwell", "level", "step")])
+
+
+# Each user is a trace; every seventh event isn't used.
+TRACES = f"""{EV}, u AS (SELECT *, dense_rank() OVER (ORDER BY user_id) AS g FROM ev WHERE event_id % 7 <> 0)"""
+
+
+def _traces(spark, sf):
+    e = events(spark, sf).select(F.col("event_id").alias("row_id"), F.col("user_id").alias("tid"), "frame", F.col("value").alias("x_nm"), (F.col("event_id") % 7).alias("use"))
+    return G.group_table(e, rules={"x_nm": "mean", "frame": "min"})
+
+
+@query("grouped_traces", f"{TRACES} SELECT g AS group_id, count(*) AS n_in_group, min(frame) AS frame, round(avg(value), 6) AS x_nm FROM u GROUP BY g")
+def _(spark, sf):
+    return _traces(spark, sf)[0].select("group_id", F.col("n_in_group").cast("long").alias("n_in_group"), "frame", r6("x_nm", "x_nm"))
+
+
+@query("trace_groups", f"{TRACES} SELECT ev.event_id AS row_id, coalesce(g, -1) AS group_id, coalesce(n, 0) AS n_in_group FROM ev LEFT JOIN u USING (event_id) LEFT JOIN (SELECT g, count(*) AS n FROM u GROUP BY g) USING (g)")
+def _(spark, sf):
+    return _traces(spark, sf)[1].select("row_id", "group_id", "n_in_group")
+
+
+@query("event_cores")
+def _(spark, sf):
+    return M.event_cores(sites(spark, sf), 5.0, 600, 3).select("row_id", "group_id")

@@ -63,6 +63,21 @@ def recompute(df: DataFrame, path: str, target: str, checkpoint: str, whole):
     return df.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def completed(df: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """The whole result of a stream's aggregate once its input is used up, kept at ``target`` and replaced with every batch."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        done.append(number)
+
+    done: list[int] = []
+    query = df.writeStream.foreachBatch(one).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not done:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{target}/batch={max(done)}")
+
+
 def snapshot(spark: SparkSession, path: str, upto: int) -> DataFrame:
     """The table as it was after batch ``upto``: later batches are in other files."""
     return spark.read.option("basePath", path).parquet(*[f"{path}/batch={i}" for i in range(upto + 1)])
