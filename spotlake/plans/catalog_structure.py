@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import beads as B
 from ..operators import colours as C
+from ..operators import fit as Q
 from ..operators import grouping as G
 from ..operators import hierarchy as H
 from ..operators import measure as M
@@ -17,6 +18,7 @@ from ..operators import steps as T
 from ..operators import voronoi as V
 from ..operators import window_stats as W
 from .catalog import EV, PT, events, points, query, r6
+from .catalog_measure import pixels
 
 SITES = f"{EV}, s AS (SELECT event_id AS row_id, frame, value AS x_nm, user_id * 10.0 AS y_nm, CAST(floor((frame - (SELECT min(frame) FROM ev)) / 4320) AS BIGINT) AS win FROM ev WHERE isfinite(value))"
 
@@ -232,3 +234,26 @@ def _(spark, sf):
 @query("event_cores")
 def _(spark, sf):
     return M.event_cores(sites(spark, sf), 5.0, 600, 3).select("row_id", "group_id")
+
+
+def _boxes(spark, sf):
+    p = points(spark, sf)
+    centres = p.select("row_id", F.floor(p["x_nm"] / 50).cast("long").alias("px"), F.floor(p["y_nm"] / 50).cast("long").alias("py"))
+    return Q.boxes(M.cut_boxes(pixels(spark, sf), centres, 3, (64, 64)))
+
+
+@query(
+    "spot_boxes",
+    f"""{PT}, pix AS (SELECT CAST(floor(x_nm / 50) AS BIGINT) AS px, CAST(floor(y_nm / 50) AS BIGINT) AS py, count(*) AS value FROM pt GROUP BY ALL),
+        c AS (SELECT row_id, CAST(floor(x_nm / 50) AS BIGINT) AS px, CAST(floor(y_nm / 50) AS BIGINT) AS py FROM pt)
+        SELECT row_id, 7 AS side, coalesce(sum(value), 0)::DOUBLE AS total, coalesce(sum(value * ((pix.py - c.py + 3) * 7 + pix.px - c.px + 4)), 0)::DOUBLE AS placed
+        FROM c LEFT JOIN pix ON abs(pix.px - c.px) <= 3 AND abs(pix.py - c.py) <= 3 WHERE c.px >= 3 AND c.py >= 3 AND c.px < 61 AND c.py < 61 GROUP BY row_id""",
+)
+def _(spark, sf):
+    placed = F.aggregate(F.zip_with("box", F.sequence(F.lit(1), F.lit(49)), lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+    return _boxes(spark, sf).select("row_id", "side", F.aggregate("box", F.lit(0.0), lambda a, v: a + v).alias("total"), placed.alias("placed"))
+
+
+@query("gaussian_fits")
+def _(spark, sf):
+    return Q.fit_boxes(_boxes(spark, sf), 1.0).select("row_id", *[F.round(c, 4).alias(c) for c in ("x", "y", "photons", "background", "sigma")])
