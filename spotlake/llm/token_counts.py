@@ -1,43 +1,49 @@
-"""Token counts without token ids: the tokenizer as a finite-state transducer over segments.
+"""Token counts without token ids, by finite-state transducers.
 
-The tokenizer (a split by pattern, then byte-pair merges within each piece) never lets a token reach from a
-character that isn't white space over to a following white space. Those places cut a text into segments (a
-run of white space and the word after it). The transducer reads one segment a transition; a transition's
-label is the number of tokens it emits. Transitions are compiled when first met, many at a time, and kept
-up to a limit.
+The tokenizer splits a text by a pattern and merges bytes within each piece. The split is a regular language; the merges are
+a deterministic transducer over bytes whose transitions are labelled with emitted tokens (``merge_automaton``). No words
+are kept: a piece is read byte by byte.
 
-Every text is read in chunks, whatever its length. A chunk's state map tells, for any open segment that the text before it
-left, what is emitted and which segment is left open: it is held as (head, count, tail), where the head
-completes the segment that came in. Maps compose associatively, so the chunks of one text combine by a
-parallel prefix scan, in a logarithmic number of rounds.
+No token reaches from a character that isn't white space over to a following white space. Those places cut a text into segments (a
+run of white space and the word after it). Every text is read in chunks, whatever its length. A chunk's state map tells, for any
+open segment that the text before it left, what is emitted and which segment is left open: it is held as (head, count, tail),
+where the head completes the segment that came in. Maps compose associatively: for a total they are reduced in pairs, and
+where the counts of all prefixes are wanted, by a parallel prefix scan, both in a logarithmic number of rounds.
+
+Segments with a special token's text, or with a character that has no class yet, go to the library.
 
 Defined results: a null text is as an empty one (0 bytes, 0 tokens, not over the limit); rows are
 independent, so ties, repeated rows and empty tables need no rule; further columns are dropped. No shuffle;
-memory is bounded by the transitions kept and one Arrow batch.
+memory is bounded by the automaton's states and one Arrow batch.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
-from itertools import compress
-from operator import not_
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
-from .bpe_core import LETTERS, LONG, NUMBERS, ODD, MergeTable
+from .bpe_core import LETTERS, NUMBERS, ODD
 from .common import tune
+from .merge_automaton import MergeAutomaton
 
-#: Characters of a chunk, and transitions that a worker keeps.
-CHUNK, TRANSITIONS = 1 << 12, 600_000
+#: Characters of a chunk, and texts whose pieces are found at once.
+CHUNK, TEXTS = 1 << 12, 2000
 #: Unicode's white space, as the tokenizers' patterns take it. Fixed values.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: The byte-level tokenizer's split pattern over plain Latin text (fixed values), and a separator.
-_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{WHITE}\x00{LETTERS}{NUMBERS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+|\x00"
+#: The byte-level tokenizer's split pattern (fixed values) over plain Latin text and over any, each with a mark between two texts.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{WHITE}\x00{LETTERS}{NUMBERS}]+|[{WHITE}]+(?![^{WHITE}\x00])|[{WHITE}]+|\x00")
+SPLIT_ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\x00\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}\x00])|[{WHITE}]+|\x00")
+#: Characters besides plain Latin ones and the usual white space, and those without a class.
+ODD_TEXT = re.compile("[^ \t\n\r" + ODD.pattern.removeprefix("[^"))
+UNKNOWN = regex.compile(r"[\p{Cn}\p{Cs}]")
 
 
 class StateMap(NamedTuple):
@@ -49,66 +55,56 @@ class StateMap(NamedTuple):
 
 
 class CountTransducer:
-    """Byte-level BPE of a tokenizers file, as token counts on transitions over segments."""
+    """Byte-level BPE of a tokenizers file, counting tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.table = Tokenizer.from_file(path), MergeTable(path)
-        self.special = [s.decode() for s in self.table.special]
-        self.edges: dict[str, int] = {}
-        self.pieces: dict[str, int] = {"\0": 0}
-        self.split = re.compile(_SPLIT)
-
-    def compile(self, segments: set[str]) -> None:
-        """Add the transitions of new segments."""
-        if len(self.edges) + len(segments) > TRANSITIONS:
-            self.edges = {}
-        if len(self.pieces) > TRANSITIONS:
-            self.pieces = {"\0": 0}
-        todo, plain = [*segments], []
-        for s in todo:
-            w = s.lstrip(" \t\n\r")
-            plain.append(bool(w) and not ODD.search(w) and len(w) < LONG and not any(x in w for x in self.special))
-        odd = [*compress(todo, map(not_, plain))]
-        self.edges.update(zip(odd, map(len, self.library.encode_batch(odd, add_special_tokens=False)), strict=True))
-        todo = [*compress(todo, plain)]
-        found = self.split.findall("\0".join(todo)) if todo else []
-        if new := [x for x in set(found) if x not in self.pieces]:
-            _, count = self.table.encode([p.encode() for p in new])
-            self.pieces.update(zip(new, count.tolist(), strict=True))
-        total, at = 0, iter(todo)
-        for p in [*found, "\0"] if todo else []:
-            if p == "\0":
-                self.edges[next(at)] = total
-                total = 0
-            else:
-                total += self.pieces[p]
+        self.library, self.automaton = Tokenizer.from_file(path), MergeAutomaton(path)
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
 
     def counts(self, segments: list[list[str]]) -> list[int]:
         """Tokens of each list of segments."""
-        new = {x for x in set().union(*segments) if x not in self.edges}
-        if len(new) > TRANSITIONS // 2:  # a batch of many new words: without the memo's limit in between
-            return [n for i in range(0, len(segments)) for n in self._alone(segments[i])]
-        if new:
-            if len(self.edges) + len(new) > TRANSITIONS:
-                self.edges, new = {}, set().union(*segments)
-            self.compile(new)
-        return [sum(map(self.edges.__getitem__, s)) for s in segments]
-
-    def _alone(self, segments: list[str]) -> list[int]:
-        total = 0
-        for i in range(0, len(segments), TRANSITIONS // 4):
-            part = segments[i : i + TRANSITIONS // 4]
-            if new := {x for x in part if x not in self.edges}:
-                if len(self.edges) + len(new) > TRANSITIONS:
-                    self.edges, new = {}, set(part)
-                self.compile(new)
-            total += sum(map(self.edges.__getitem__, part))
-        return [total]
+        out, plain, other, library = np.zeros(len(segments), np.int64), [], [], []
+        for i, own in enumerate(segments):
+            text = "".join(own)
+            if text and not ODD_TEXT.search(text) and not any(x in text for x in self.special):
+                plain.append((i, text))
+                continue
+            for s in own:
+                if any(x in s for x in self.special) or "\0" in s or UNKNOWN.search(s):
+                    library.append((i, s))
+                else:
+                    (other if ODD_TEXT.search(s) else plain).append((i, s))
+        for texts, split in ((plain, SPLIT), (other, SPLIT_ANY)):
+            for k in range(0, len(texts), TEXTS):
+                own = texts[k : k + TEXTS]
+                pieces = split.findall("\0".join(t for _, t in own))
+                out += np.bincount([i for i, _ in own], self._of_texts(pieces, len(own)), len(out)).astype(np.int64)
+        if library:
+            found = self.library.encode_batch([s for _, s in library], add_special_tokens=False)
+            for (i, _), e in zip(library, found, strict=True):
+                out[i] += len(e)
+        return out.tolist()
+
+    def _of_texts(self, pieces: list[str], texts: int) -> np.ndarray:
+        """Tokens of each text, of the pieces of all with a mark between two texts."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        joined = "".join(pieces)
+        data = joined.encode()
+        if len(data) > len(joined):  # lengths in bytes
+            c = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            ends = np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))[np.cumsum(size) - 1]
+            size = np.diff(ends, prepend=0)
+        raw = np.frombuffer(data, np.uint8)
+        mark = raw[np.cumsum(size) - size] == 0 if len(size) else np.zeros(0, bool)
+        owner = np.cumsum(mark)
+        n = self.automaton.counts(raw[raw != 0].tobytes(), size[~mark])
+        return np.bincount(owner[~mark], n, texts).astype(np.int64)
 
     def state_maps(self, chunks: list[str]) -> list[StateMap]:
-        """The map of each chunk; transitions that are new in any of them are compiled together."""
+        """The map of each chunk; what is closed in any of them is counted together."""
         found = [SEGMENT.findall(c) for c in chunks]
         inside = self.counts([s[1:-1] for s in found])
         return [StateMap(c, 0, None) if len(s) < 2 else StateMap(s[0], n, s[-1]) for c, s, n in zip(chunks, found, inside, strict=True)]
@@ -132,6 +128,12 @@ class CountTransducer:
             step *= 2
         return out
 
+    def reduce(self, maps: list[StateMap]) -> StateMap:
+        """The map of all chunks in a row, in pairs."""
+        while len(maps) > 1:
+            maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
     def emitted(self, maps: list[StateMap]) -> list[int]:
         """Tokens of whole texts that have these maps."""
         edges = self.counts([[x for x in (m.head, m.tail) if x] for m in maps])
@@ -141,7 +143,7 @@ class CountTransducer:
         """Tokens of each whole text, from the maps of its chunks."""
         chunks = [[t[k : k + CHUNK] for k in range(0, len(t), CHUNK)] or [""] for t in (t or "" for t in texts)]
         maps = iter(self.state_maps([c for own in chunks for c in own]))
-        return self.emitted([self.scan([next(maps) for _ in own])[-1] for own in chunks])
+        return self.emitted([self.reduce([next(maps) for _ in own]) for own in chunks])
 
 
 @lru_cache(maxsize=4)
