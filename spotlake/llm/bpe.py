@@ -2,9 +2,9 @@
 
 A text is cut where a rolling hash of its last bytes has a fixed pattern, so equal passages of different
 documents give equal chunks. A chunk's inside, from its first to its last white space, is encoded once and
-kept; where two chunks meet, the cut piece of text between the two nearest white spaces is encoded anew.
-The tokenizer splits at white space before it merges, so these pieces agree exactly with the ids that the
-library gives for the whole text.
+kept for every later document of the worker; nothing else is kept, no words either. Where two chunks meet, the cut piece of text between the two
+nearest white spaces is encoded anew; if a chunk has none, the piece reaches over it to the next. The tokenizer
+splits at white space before it merges, so these pieces agree exactly with the ids that the library gives for the whole text.
 
 Defined results: a null text is as an empty one (no ids); rows are independent, so ties, repeated rows and
 empty tables need no rule; further columns are dropped, whatever their names. Memory is bounded by the
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from .bpe_core import LETTERS, LONG, NUMBERS, ODD, ODD_LINES, MergeTable
 from .common import tune
 
-#: Entries that a worker keeps; a full memo starts again, which costs time and not exactness.
-WORDS, CHUNKS = 500_000, 20_000
+#: Words that a coder keeps between batches and chunks that an encoder keeps; a full memo starts again, which costs time and not exactness.
+WORDS, CHUNKS = 500_000, 60_000
 #: Mean bytes of a chunk (a power of two) and bytes that the rolling hash sees.
 MEAN, WINDOW = 1024, 8
 #: The pieces that the tokenizer's merges see, over a lower-case word. Fixed values of the tokenizer file.
@@ -103,6 +103,9 @@ class WordCoder:
                     kept.update(self.memo)
                 self.memo = kept
 
+    def forget(self) -> None:
+        self.memo, self.pieces = {}, {}
+
     def ids(self, words: list[bytes]) -> bytes:
         """Ids of words that ``know`` has seen in this batch."""
         return b"".join(map(self.memo.__getitem__, words))
@@ -153,14 +156,18 @@ class ChunkEncoder:
     """Encodes batches of texts; what one chunk has given serves each later document with that chunk."""
 
     def __init__(self, path: str):
-        self.words, self.chunks = word_coder(path), {}
+        self.words, self.chunks = WordCoder(path), {}
+        self.encoded = 0  # chunks so far, each once as long as it is kept
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         plans = [chunk_pieces((t or "").encode("utf-8", "replace")) for t in texts]
         new = {p for plan in plans for reuse, p in plan if not (reuse and p in self.chunks)}
+        self.encoded += len({p for plan in plans for reuse, p in plan if reuse and p in new})
+        # All that is new in the batch is merged together: each different word of it once, and then forgotten.
         parts = [p.split() for p in new]
         self.words.know(parts)
         fresh = {p: self.words.ids(w) for p, w in zip(new, parts, strict=True)}
+        self.words.forget()
         out = [np.frombuffer(b"".join(fresh[p] if p in fresh else self.chunks[p] for _, p in plan), "<u4") for plan in plans]
         if len(self.chunks) > CHUNKS:
             self.chunks = {}

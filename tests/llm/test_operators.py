@@ -81,6 +81,23 @@ def test_counts_are_the_librarys(docs, monkeypatch):
     assert len(got) == docs.count() and next(r for r in got if r["doc_id"] == 1)["n_bytes"] == 0
 
 
+def test_tokenizers_on_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, ids string")
+    assert bpe.encode_digests(none, WORD).count() == bpe.encode_documents(none, WORD).count() == packing.pack_tokens(none, WORD).count() == 0
+
+
+def test_each_chunk_is_encoded_once():
+    rng = random.Random(7)
+    passages = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(900)) for _ in range(4)]
+    texts = [rng.choice(passages) + f" {i} " + rng.choice(passages) for i in range(40)]
+    coder = bpe.ChunkEncoder(WORD)
+    for i in range(0, 40, 8):
+        coder.encode(texts[i : i + 8])
+    different = {p for t in texts for reuse, p in bpe.chunk_pieces(t.encode()) if reuse}
+    total = sum(reuse for t in texts for reuse, _ in bpe.chunk_pieces(t.encode()))
+    assert coder.encoded == len(different) == len(coder.chunks) < total / 4 and not coder.words.memo and not coder.words.pieces
+
+
 def test_state_maps_compose_associatively():
     machine = token_counts.count_transducer(BYTE)
     a, b, c = machine.state_maps(["one tw", "o thr", "ee  four "])
