@@ -13,11 +13,12 @@ from ..operators import hierarchy as H
 from ..operators import measure as M
 from ..operators import overlap as O
 from ..operators import phase as P
+from ..operators import quality as K
 from ..operators import spectrum as S
 from ..operators import steps as T
 from ..operators import voronoi as V
 from ..operators import window_stats as W
-from .catalog import EV, PT, events, points, query, r6
+from .catalog import EV, PT, events, lines, points, query, r6
 from .catalog_measure import pixels
 
 SITES = f"{EV}, s AS (SELECT event_id AS row_id, frame, value AS x_nm, user_id * 10.0 AS y_nm, CAST(floor((frame - (SELECT min(frame) FROM ev)) / 4320) AS BIGINT) AS win FROM ev WHERE isfinite(value))"
@@ -257,3 +258,35 @@ def _(spark, sf):
 @query("gaussian_fits")
 def _(spark, sf):
     return Q.fit_boxes(_boxes(spark, sf), 1.0).select("row_id", *[F.round(c, 4).alias(c) for c in ("x", "y", "photons", "background", "sigma")])
+
+
+@query(
+    "upper_valley",
+    """WITH v AS (SELECT l_extendedprice::DOUBLE AS x FROM lineitem WHERE l_extendedprice > 0), q AS (SELECT quantile_cont(x, 0.995) AS top FROM v),
+        h AS (SELECT i, (SELECT count(*) FROM v, q WHERE x <= top AND least(floor(x / (top / 120)), 119) = i) AS n FROM (SELECT unnest(range(120)) AS i)),
+        g AS (SELECT k, exp(-0.5 * (k / 2.0) ** 2) AS w FROM (SELECT unnest(range(-8, 9)) AS k)),
+        s AS (SELECT a.i, sum(g.w * h.n) / (SELECT sum(w) FROM g) AS s FROM h a, g JOIN h ON h.i = CASE WHEN a.i + k < 0 THEN -(a.i + k) - 1 WHEN a.i + k > 119 THEN 239 - (a.i + k) ELSE a.i + k END GROUP BY a.i),
+        j AS (SELECT i AS j, s AS sj FROM s ORDER BY s DESC, i LIMIT 1),
+        k AS (SELECT i AS k, s AS sk FROM s, j WHERE i > j AND i + 0.5 <= 2 * (j + 0.5) ORDER BY s, i LIMIT 1),
+        a AS (SELECT max(s) AS m, count(*) AS c FROM s, j, k WHERE i >= k AND i < least(120, 2 * j + 2)),
+        t AS (SELECT min(i) AS i FROM s, j WHERE i > j AND s <= 0.05 * sj)
+        SELECT round((j + 0.5) * top / 120, 4) AS peak, c > 2 AND m > 1.2 * sk + 1 AS valley,
+        round(CASE WHEN k IS NULL THEN top WHEN c > 2 AND m > 1.2 * sk + 1 THEN (k + 0.5) * top / 120 WHEN t.i IS NOT NULL THEN (t.i + 0.5) * top / 120 ELSE top END, 4) AS bound FROM j LEFT JOIN k ON true, a, t, q""",
+)
+def _(spark, sf):
+    v = K.upper_valley(lines(spark, sf), "l_extendedprice")
+    return spark.createDataFrame([(round(v.peak, 4), v.valley, round(v.bound, 4))], "peak double, valley boolean, bound double")
+
+
+@query(
+    "frame_rates",
+    f"""{EV}, e AS (SELECT min(frame) AS lo, max(frame) AS hi, count(*) AS n, median(frame) AS m, avg(frame) - min(frame) AS a FROM ev)
+        SELECT n, lo::DOUBLE AS first, hi::DOUBLE AS last, m AS median_frame, round((SELECT count(*) FROM ev WHERE frame < lo + (hi - lo) / 10.0) / ((hi - lo) / 10.0), 6) AS first_rate,
+        round((SELECT count(*) FROM ev WHERE frame > hi - (hi - lo) / 10.0) / ((hi - lo) / 10.0), 6) AS last_rate, a < (hi - lo) / 2.0 AS falls FROM e""",
+)
+def _(spark, sf):
+    e = events(spark, sf)
+    d = K.frame_decay(e)
+    mean = e.agg(F.avg("frame")).first()[0]
+    row = (d["n"], d["first"], d["last"], d["median_frame"], round(d["first_rate"], 6), round(d["last_rate"], 6), mean - d["first"] < (d["last"] - d["first"]) / 2)
+    return spark.createDataFrame([row], "n long, first double, last double, median_frame double, first_rate double, last_rate double, falls boolean")
