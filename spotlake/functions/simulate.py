@@ -15,9 +15,9 @@ def normal(seed: int, *of: Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, *of))) * F.cos(6.283185307179586 * uniform(seed + 7919, *of))
 
 
-def blinking(spark: SparkSession, molecules: int, frames: int, blinks: int = 5, on: float = 2.0, size_nm: float = 10_000.0, photons: float = 1000.0, seed: int = 0) -> DataFrame:
-    """Rows of molecules at random places with ``blinks`` times on, an exponential number of frames each."""
-    m = spark.range(molecules).select(F.col("id").alias("molecule"), (uniform(seed, F.col("id")) * size_nm).alias("x0"), (uniform(seed + 1, F.col("id")) * size_nm).alias("y0"))
+def blinking(spark: SparkSession, molecules: int | DataFrame, frames: int, blinks: int = 5, on: float = 2.0, size_nm: float = 10_000.0, photons: float = 1000.0, seed: int = 0) -> DataFrame:
+    """Rows of molecules at random places, or at those of a table (molecule, x0, y0), with ``blinks`` times on, an exponential number of frames each."""
+    m = molecules if isinstance(molecules, DataFrame) else spark.range(molecules).select(F.col("id").alias("molecule"), (uniform(seed, F.col("id")) * size_nm).alias("x0"), (uniform(seed + 1, F.col("id")) * size_nm).alias("y0"))
     b = m.withColumn("blink", F.explode(F.sequence(F.lit(0), F.lit(blinks - 1))))
     b = b.withColumn("first", F.floor(uniform(seed + 2, F.col("molecule"), F.col("blink")) * frames).cast("long")).withColumn("n", F.ceil(-F.log(uniform(seed + 3, F.col("molecule"), F.col("blink"))) * on).cast("int"))
     r = b.withColumn("frame", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + F.greatest(F.col("n"), F.lit(1)) - 1, F.lit(frames - 1)))))
@@ -40,11 +40,11 @@ def tracks(spark: SparkSession, n: int, length: int, d_um2_s: float, frame_s: fl
     return t.select((F.col("track_id_true") * length + F.col("frame")).alias("row_id"), *key, (first(1) + F.sum(normal(seed + 2, *key) * step).over(w)).alias("x_nm"), (first(3) + F.sum(normal(seed + 4, *key) * step).over(w)).alias("y_nm"))
 
 
-def binding(spark: SparkSession, sites: int, frames: int, bright: float, dark: float, events: int = 50, seed: int = 0) -> DataFrame:
-    """(site, event, first, last): alternating exponential dark and bright times within ``frames``."""
+def binding(spark: SparkSession, sites: int | DataFrame, frames: int, bright: float, dark: float, events: int = 50, seed: int = 0) -> DataFrame:
+    """(site, event, first, last): alternating exponential dark and bright times within ``frames``, of sites 0, 1, ... or of a table (site)."""
     from pyspark.sql import Window
 
-    e = spark.range(sites).select(F.col("id").alias("site"), F.explode(F.sequence(F.lit(0), F.lit(events - 1))).alias("event"))
+    e = (sites if isinstance(sites, DataFrame) else spark.range(sites).select(F.col("id").alias("site"))).select("site", F.explode(F.sequence(F.lit(0), F.lit(events - 1))).alias("event"))
     key = [F.col("site"), F.col("event")]
     e = e.withColumns({"__d": F.ceil(-F.log(uniform(seed, *key)) * dark), "__b": F.ceil(-F.log(uniform(seed + 1, *key)) * bright)})
     end = F.sum(F.col("__d") + F.col("__b")).over(Window.partitionBy("site").orderBy("event").rowsBetween(Window.unboundedPreceding, 0))

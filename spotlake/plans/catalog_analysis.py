@@ -76,8 +76,8 @@ def _(spark, sf):
 
 @query("redundant_drift")
 def _(spark, sf):
-    p = simulate.blinking(spark, 60, 400, 30, seed=3).withColumn("x_nm", F.col("x_nm") + F.col("frame") * 0.5)
-    d = D.redundant_drift(p, 5, 40, 0, 0, 256, 256, 600)
+    p = events(spark, sf).select("frame", F.col("value").alias("x_nm"), (F.col("user_id") % 50 * 10.0).alias("y_nm"))
+    d = D.redundant_drift(p, 5, 4, 0, 0, 128, 128, 40)
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(d)], "window int, dx double, dy double")
 
 
@@ -127,9 +127,21 @@ def _(spark, sf):
     return s.select("user_id", "n", F.round("duration", 3).alias("duration"), F.round("path", 4).alias("path"))
 
 
-@query("msd")
+def _tracks(spark, sf):
+    """Each user's events in order, a frame each, as a track."""
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("frame", "event_id"))
+    return events(spark, sf).withColumn("turn", turn).select(F.col("event_id").alias("row_id"), F.col("user_id").alias("track_id"), F.col("turn").cast("long").alias("frame"), F.col("value").alias("x_nm"), F.lit(0.0).alias("y_nm"))
+
+
+@query(
+    "msd",
+    f"""{EV}, t AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY frame, event_id) AS f FROM ev),
+        l AS (SELECT a.user_id, b.f - a.f AS lag, avg((a.value - b.value) ** 2) * 1e-6 AS m FROM t a JOIN t b ON a.user_id = b.user_id AND b.f - a.f BETWEEN 1 AND 4 GROUP BY 1, 2),
+        g AS (SELECT user_id, regr_slope(m, lag * 0.02) / 4 AS d, regr_slope(CASE WHEN m > 0 THEN ln(m) END, CASE WHEN m > 0 THEN ln(lag * 0.02) END) AS alpha, count(*) AS lags FROM l GROUP BY 1)
+        SELECT user_id AS track_id, round(coalesce(d, CAST('NaN' AS DOUBLE)), 6) AS d_um2_s, round(coalesce(alpha, CAST('NaN' AS DOUBLE)), 5) AS alpha, lags FROM g""",
+)
 def _(spark, sf):
-    return T.msd(simulate.tracks(spark, 200, 20, 0.5, 0.02).withColumnRenamed("track_id_true", "track_id"), 4, 0.02)
+    return T.msd(_tracks(spark, sf), 4, 0.02).select("track_id", r6("d_um2_s", "d_um2_s"), F.round("alpha", 5).alias("alpha"), "lags")
 
 
 @query(
@@ -157,8 +169,7 @@ def _(spark, sf):
 
 @query("jump_states")
 def _(spark, sf):
-    t = simulate.tracks(spark, 200, 20, 0.5, 0.02).union(simulate.tracks(spark, 200, 20, 0.02, 0.02, seed=9).withColumn("track_id_true", F.col("track_id_true") + 1000))
-    return spark.createDataFrame(T.jump_states(t.withColumnRenamed("track_id_true", "track_id"), 2, 0.02), "fraction double, d_um2_s double")
+    return spark.createDataFrame(T.jump_states(_tracks(spark, sf), 2, 0.02), "fraction double, d_um2_s double")
 
 
 @query("steps_table")
@@ -221,14 +232,13 @@ def _(spark, sf):
 
 @query("nearest_precision")
 def _(spark, sf):
-    b = simulate.blinking(spark, 300, 300, 4, on=4.0, seed=5)
+    b = events(spark, sf).select(F.col("event_id").alias("row_id"), F.floor(F.col("frame") / 60).cast("long").alias("frame"), F.col("value").alias("x_nm"), (F.col("user_id") * 10.0).alias("y_nm"))
     return spark.createDataFrame([(X.nearest_precision(b, 60.0),)], "sigma double")
 
 
 @query("ring_correlation")
 def _(spark, sf):
-    b = simulate.blinking(spark, 200, 200, 8, size_nm=3000, seed=2).withColumn("half", F.col("frame") % 2)
-    c = X.ring_correlation(b, "half", 20, 0, 0, 150)
+    c = X.ring_correlation(points(spark, sf).withColumn("half", F.col("row_id") % 2), "half", 20, -600, -600, 60)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(c)], "ring int, correlation double")
 
 
@@ -347,12 +357,14 @@ def _(spark, sf):
 
 @query("simulate_blinking")
 def _(spark, sf):
-    return simulate.blinking(spark, 100, 200)
+    """Molecules at the points' places."""
+    return simulate.blinking(spark, points(spark, sf).select(F.col("row_id").alias("molecule"), F.col("x_nm").alias("x0"), F.col("y_nm").alias("y0")), 200)
 
 
 @query("simulate_binding")
 def _(spark, sf):
-    return simulate.binding(spark, 50, 5000, 10, 60)
+    """A site for each customer."""
+    return simulate.binding(spark, spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("site")), 5000, 10, 60)
 
 
 @query("intervals_to_frames", "SELECT l_orderkey, l_linenumber, f AS frame, round(l_extendedprice * (least(l_quantity / 10 + 1.5, f + 1) - greatest(l_quantity / 10, f)) / 1.5, 4) AS photons_frame FROM (SELECT *, unnest(range(CAST(floor(l_quantity / 10) AS BIGINT), CAST(ceil(l_quantity / 10 + 1.5) AS BIGINT))) AS f FROM lineitem)")
@@ -363,8 +375,11 @@ def _(spark, sf):
 
 @query("find_peaks")
 def _(spark, sf):
-    image = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.pmod(F.xxhash64(i, F.col("n")), F.lit(1000)) / 1000.0 + F.when((i == 100) | (i == 200), 50.0).otherwise(0.0))
-    f = spark.range(5).select(F.col("id").alias("frame"), F.col("id").alias("n")).select("frame", image.alias("image"))
+    # An image of counts for each label, over the whole plane.
+    at = lambda c: F.least(F.greatest(F.floor(F.col(c) / 80) + 8, F.lit(0)), F.lit(15))
+    cells = points(spark, sf).groupBy(F.col("label").cast("long").alias("frame"), (at("y_nm") * 16 + at("x_nm")).cast("int").alias("i")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    f = cells.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
+    f = f.select("frame", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("image"))
     return P.peaks(f, 1.0, 1.0, 16, 16)
 
 
@@ -418,8 +433,9 @@ def _(spark, sf):
 
 @query("find_beads")
 def _(spark, sf):
-    b = spark.range(5 * 100).select(F.col("id").alias("row_id"), (F.col("id") % 100).alias("frame"), F.floor(F.col("id") / 100).alias("k")).select("row_id", "frame", (F.col("k") * 5000.0 + F.col("frame") * 0.3).alias("x_nm"), (F.col("k") * 100.0).alias("y_nm"), F.lit(5000.0).alias("photons"))
-    return M.find_beads(b, 100, 1000, 0.8, 50)
+    # A user is a place, and a day a frame.
+    b = events(spark, sf).select(F.col("event_id").alias("row_id"), F.floor(F.col("t") / 86400).cast("long").alias("frame"), (F.col("user_id") * 1000.0).alias("x_nm"), F.col("value").alias("y_nm"), (F.col("value") * 10).alias("photons"))
+    return M.find_beads(b, 30, 100, 0.5, 200)
 
 
 @query("mean_shift")
