@@ -196,8 +196,8 @@ def neighbours(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
         for side, (w, nb) in enumerate(((a, b), (b, a))):
             order = np.argsort(w % BLOCKS, kind="stable")
             packed, count, of = (w * size + nb)[order], n[order], (w % BLOCKS)[order]
-            begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
-            for i, j in zip(begins, [*begins[1:], len(of)], strict=True):
+            begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+            for i, j in zip(begins, np.append(begins, len(of))[1:], strict=True):
                 rows.append((int(of[i]), side, packed[i:j].astype("<i8").tobytes(), count[i:j].astype("<i8").tobytes()))
         cols = zip(*rows, strict=True) if rows else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "side", "keys", "counts"])
