@@ -79,3 +79,21 @@ def labelling_efficiency(table: DataFrame, corners_: int = 8, per: int = 4) -> f
         ll = sum(n * (math.log(math.comb(corners_, k)) + k * math.log(q) + (corners_ - k) * math.log(1 - q) - math.log(seen)) for k, n in h.items() if k)
         best = max(best, (ll, float(p)))
     return best[1]
+
+
+def export_table(values: DataFrame, path: str, regions: DataFrame | None = None, columns: list[str] | None = None, key: str = "region_id") -> list[str]:
+    """Writes a row a region as text and gives the columns: commas for a path that ends in .csv, else tabs; a folder of files, each with a header.
+
+    ``regions`` (key and more, as centres and comments): its columns go after the key. ``columns``: those to write, in this order; unknown ones are
+    left out, and it is an error if none is known. Numbers are written in full, NaN and null as empty cells, arrays with spaces between.
+    """
+    if regions is not None:
+        own = [c for c in regions.columns if c not in values.columns]
+        values = values.join(regions.select(key, *own), key, "left").select(key, *own, *[c for c in values.columns if c != key])
+    names = [c for c in columns or values.columns if c in values.columns]
+    if not names:
+        raise ValueError("none of the chosen columns is in the table; it has " + ", ".join(values.columns))
+    cell = {"array": lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " "), "double": lambda c: F.when(~F.isnan(c), F.col(c)), "float": lambda c: F.when(~F.isnan(c), F.col(c))}
+    out = values.select(*[cell.get(values.schema[c].dataType.typeName(), F.col)(c).alias(c) for c in names])
+    out.write.mode("overwrite").option("header", True).option("sep", "," if path.lower().endswith(".csv") else "\t").csv(path)
+    return names

@@ -227,3 +227,86 @@ def _tracks(df: DataFrame, s: TrackSettings) -> DataFrame:
     from ..operators.graph import link_tracks
 
     return link_tracks(df, s.max_jump, s.memory, s.least, s.method)
+
+
+@dataclass
+class EditSettings:
+    operation: str = "rename"
+    column: str = ""
+    new_name: str = ""
+    remove: list[str] = field(default_factory=list)
+
+
+@operator("Columns/Edit", EditSettings)
+def _edit(df: DataFrame, s: EditSettings) -> DataFrame:
+    """Renames a column or removes some, but for those that every table needs."""
+    from ..operators.tables import remove_columns, rename_column
+
+    if s.operation == "rename":
+        if not s.column or not s.new_name.strip():
+            raise ValueError("choose the column to rename and its new name")
+        return rename_column(df, s.column, s.new_name.strip())
+    if s.operation == "remove":
+        if not s.remove:
+            raise ValueError("choose the columns to remove")
+        return remove_columns(df, s.remove)
+    raise ValueError(f"no operation {s.operation!r}: rename or remove")
+
+
+@dataclass
+class TreeClusterSettings:
+    least: int = 10
+    k: int | None = None
+    first_radius: float = 100.0
+
+
+@operator("Clusters/Hierarchical density", TreeClusterSettings)
+def _tree_clusters(df: DataFrame, s: TreeClusterSettings) -> DataFrame:
+    from ..operators.hierarchy import hdbscan
+
+    return hdbscan(df, s.least, s.k, s.first_radius)
+
+
+@dataclass
+class VoronoiSettings:
+    factor: float = 2.0
+    least: int = 10
+
+
+@operator("Clusters/Voronoi", VoronoiSettings)
+def _voronoi_clusters(df: DataFrame, s: VoronoiSettings) -> DataFrame:
+    from ..operators.voronoi import voronoi_clusters
+
+    return voronoi_clusters(df, s.factor, s.least)
+
+
+@dataclass
+class OverlapSettings:
+    width: int = 500
+    most: float = 300.0
+    target: float = 10.0
+
+
+@operator("Drift/Overlap", OverlapSettings)
+def _overlap(df: DataFrame, s: OverlapSettings) -> DataFrame:
+    """The table without the drift that its pairs' overlap tells."""
+    from ..operators.drift import apply_drift
+    from ..operators.overlap import drift_curve, overlap_drift
+
+    return apply_drift(df, drift_curve(df, overlap_drift(df, s.width, s.most, s.target), s.width))
+
+
+@dataclass
+class StepSettings:
+    key: str = "track_id"
+    time: str = "t"
+    value: str = "x_nm"
+    threshold: float = 0.15
+    statistic: str = "mean"
+
+
+@operator("Traces/Steps", StepSettings)
+def _steps(df: DataFrame, s: StepSettings) -> DataFrame:
+    from ..operators.steps import steps_of
+
+    return steps_of(df, s.key, s.time, s.value, s.threshold, statistic=s.statistic)
