@@ -14,7 +14,8 @@ def cell_pairs(a: DataFrame, b: DataFrame, radius: float, xy: tuple[str, str] =
 
     Cells are ``radius`` wide; the first table is put to its nine cells, the second to its own, so each pair
     meets once. ``keys``: columns that have to agree. ``same``: both are one table, a row doesn't meet itself.
-    Without ``z_half`` a z makes the distance three-dimensional.
+    Without ``z_half`` a z makes the distance three-dimensional. Sides are merged, never broadcast: Spark's estimate of
+    a small file doesn't count the nine copies.
     """
     x, y = xy
     cell = lambda c: F.floor(N.double(c) / radius).cast("long")
@@ -26,7 +27,7 @@ def cell_pairs(a: DataFrame, b: DataFrame, radius: float, xy: tuple[str, str] =
     right = b.where(ok).select(*[F.col(c).alias(f"b_{c}") for c in b.columns], cell(x).alias("__x"), cell(y).alias("__y"))
     for k in keys:
         left, right = left.withColumn(f"__{k}", F.col(f"a_{k}")), right.withColumn(f"__{k}", F.col(f"b_{k}"))
-    pairs = left.join(right, ["__x", "__y", *[f"__{k}" for k in keys]])
+    pairs = left.join(right.hint("merge"), ["__x", "__y", *[f"__{k}" for k in keys]])
     dx, dy = F.col(f"a_{x}") - F.col(f"b_{x}"), F.col(f"a_{y}") - F.col(f"b_{y}")
     d2 = dx * dx + dy * dy
     if z and z_half is None:
@@ -99,14 +100,18 @@ def nearest_neighbours(a: DataFrame, b: DataFrame, k: int, first_radius: float,
 
 
 def lag_pairs(df: DataFrame, max_jump: float, memory: int = 0, frame: str = "frame", keys: tuple[str, ...] = (), row: str = "row_id", xy: tuple[str, str] = ("x_nm", "y_nm"), z: str | None = None) -> DataFrame:
-    """(a, b, lag, d): rows up to memory + 1 frames apart and within ``max_jump``: candidates of tracking."""
-    lag = F.explode(F.sequence(F.lit(1), F.lit(memory + 1)))
-    early = df.withColumn("lag", lag).withColumn("__frame", F.col(frame) + F.col("lag"))
-    late = df.withColumn("__frame", F.col(frame))
-    cols = list(dict.fromkeys([row, *xy, *([z] if z else []), *keys, "__frame"]))
-    early, late = early.select(*cols, "lag").withColumn(row, F.struct(row, "lag")), late.select(*cols)
+    """(a, b, lag, d): rows up to memory + 1 frames apart and within ``max_jump``: candidates of tracking.
+
+    Frames are in blocks of memory + 1: the early row is put to its own block and the next, the late one to its own.
+    """
+    span = memory + 1
+    block = F.floor(F.col(frame) / span).cast("long")
+    cols = [F.col(c) for c in dict.fromkeys([row, *xy, *([z] if z else []), *keys])] + [F.col(frame).alias("__f")]
+    early, late = df.select(*cols, F.explode(F.array(block, block + 1)).alias("__frame")), df.select(*cols, block.alias("__frame"))
     pairs = cell_pairs(early, late, max_jump, xy=xy, z=z, keys=(*keys, "__frame"), row=row)
-    return pairs.select(F.col(f"a_{row}")[row].alias("a"), F.col(f"b_{row}").alias("b"), F.col(f"a_{row}")["lag"].alias("lag"), "d")
+    lag = F.col("b___f") - F.col("a___f")
+    pairs = pairs.where((lag >= 1) & (lag <= span) & (lag == F.floor(lag)))
+    return pairs.select(F.col(f"a_{row}").alias("a"), F.col(f"b_{row}").alias("b"), lag.cast("int").alias("lag"), "d")
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, time: str, value: list[str], keys: tuple[str, ...] = (), max_dt: float | None = None, row: str = "row_id") -> DataFrame:
@@ -140,7 +145,7 @@ def overlapping(a: DataFrame, b: DataFrame, width: float, keys: tuple[str, ...]
     """
     bucket = lambda c: F.floor(N.double(c) / width).cast("long")
     put = lambda d, p: d.select(*[F.col(c).alias(f"{p}{c}") for c in d.columns], *[F.col(k).alias(f"__{k}") for k in keys], F.explode(F.sequence(bucket(start), bucket(end))).alias("__b"))
-    pairs = put(a, "a_").join(put(b, "b_"), ["__b", *[f"__{k}" for k in keys]])
+    pairs = put(a, "a_").join(put(b, "b_").hint("merge"), ["__b", *[f"__{k}" for k in keys]])
     late, early = F.greatest(f"a_{start}", f"b_{start}"), F.least(f"a_{end}", f"b_{end}")
     pairs = pairs.withColumn("overlap", (early - late).cast("double")).where(F.col("overlap") >= least).where(F.col("__b") == F.floor(late.cast("double") / width).cast("long"))
     return pairs.drop("__b", *[f"__{k}" for k in keys])
