@@ -18,8 +18,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of exact and near copies."""
-    return simhash.keep_first_similar(docs)
+    """One document (the smallest doc_id) of each group of exact and near copies that SimHash finds and an exact check confirms."""
+    return simhash.keep_first_simhash(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

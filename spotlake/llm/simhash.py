@@ -166,6 +166,8 @@ def hex_of(fp: Column) -> Column:
 #: hashes of a band, texts of a part when a large bucket is verified part by part, and of all least hashes those that
 #: have to agree (in one byte) before texts are compared: at the share a pair falls short with a probability below 1e-8.
 WORDS, SHARE, BANDS, ROWS, TEXTS, AGREE = 5, (4, 5), 16, 4, 200, 32
+#: Differing bits up to which the pipeline's SimHash makes texts candidates; each is checked exactly then.
+REACH = 4
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
 
@@ -225,16 +227,19 @@ def _text_key(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of texts those that are alike: first by their sketches, then exactly."""
+def _verified(pairs: DataFrame, sketches: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of texts those that are alike: first by their sketches (if there are), then exactly."""
 
     def agree(batches):
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(len(t), -1) for i in (2, 3))
             yield t.select(["a", "b"]).filter(pa.array((x == y).sum(1) > AGREE, pa.bool_()))
 
-    both = pairs.join(sketches.toDF("a", "sa").hint("merge"), "a").join(sketches.toDF("b", "sb").hint("merge"), "b")
-    pairs = cut(both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long"))
+    if sketches is None:
+        pairs = cut(pairs)
+    else:
+        both = pairs.join(sketches.toDF("a", "sa").hint("merge"), "a").join(sketches.toDF("b", "sb").hint("merge"), "b")
+        pairs = cut(both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long"))
     named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = cut(texts.join(named.hint("merge"), "h", "left_semi").dropDuplicates(["h"]))
     both = pairs.join(texts.toDF("a", "ta").hint("merge"), "a").join(texts.toDF("b", "tb").hint("merge"), "b")
@@ -278,7 +283,26 @@ def similar_links(docs: DataFrame) -> DataFrame:
 
     signatures = cut(texts.mapInArrow(run, "h long, at array<long>, sketch binary").dropDuplicates(["h"]))
     sketches = signatures.select("h", "sketch")
-    put = signatures.select("h", F.explode("at").alias("bucket"))
+    return _bucket_links(signatures.select("h", F.explode("at").alias("bucket")), sketches, texts)
+
+
+def simhash_links(docs: DataFrame, radius: int = REACH) -> DataFrame:
+    """(a, b): links of texts (by their keys) that SimHash joins and the exact check confirms.
+
+    A bucket is a class of fingerprints that are chained by at most ``radius`` differing bits. Its texts are compared on
+    their sets of five-word shingles, as in ``similar_links``: so unlike texts of a class aren't linked.
+    """
+    tune(docs.sparkSession)
+    texts = docs.select(_text_key("text").alias("h"), "text")
+    own = fingerprints(texts.withColumnRenamed("h", "doc_id")).withColumnRenamed("doc_id", "h")
+    own = cut(own.dropDuplicates(["h"]))
+    near = components(links(own.select("fp").distinct(), radius)).toDF("fp", "c")
+    put = own.join(near.hint("merge"), "fp", "left").select("h", F.coalesce("c", "fp").alias("bucket"))
+    return _bucket_links(put, None, texts)
+
+
+def _bucket_links(put: DataFrame, sketches: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """Links within buckets (h, bucket), enough to join all texts of a bucket that are alike."""
     firsts = put.groupBy("bucket").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     put = cut(put.join(firsts.hint("merge"), "bucket"))
     stars = _verified(put.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct(), sketches, texts)
@@ -315,7 +339,12 @@ def similar_components(docs: DataFrame) -> DataFrame:
     return components(similar_links(docs)).withColumnRenamed("node", "h")
 
 
-def keep_first_similar(docs: DataFrame) -> DataFrame:
+def keep_first_simhash(docs: DataFrame) -> DataFrame:
+    """As ``keep_first_similar``, with groups of texts that SimHash links and the exact check confirms."""
+    return keep_first_similar(docs, simhash_links)
+
+
+def keep_first_similar(docs: DataFrame, by=similar_links) -> DataFrame:
     """One row of ``docs`` (all columns) of each group of near copies: that of the smallest doc_id.
 
     Rows are told apart by doc_id and text: of a repeated id, the text of the smaller key stays, and of repeated
@@ -326,7 +355,7 @@ def keep_first_similar(docs: DataFrame) -> DataFrame:
     whole = docs.select(F.col("doc_id").alias("id"), _text_key("text").alias("h"), F.struct(*docs.columns).alias("row"))
     rows = whole.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
     points = rows.groupBy("h", F.isnull("id").alias("none")).agg(F.min(F.struct("id", "n")).alias("x"))
-    classes = points.join(similar_components(docs.select("text")).hint("merge"), "h", "left")
+    classes = points.join(components(by(docs.select("text"))).toDF("h", "component").hint("merge"), "h", "left")
     heads = classes.groupBy(F.coalesce("component", "h").alias("c"), "none").agg(F.min(F.struct("x.id", "h", "x.n")).alias("x"))
     stays = cut(heads.select(F.col("x.id").alias("i"), F.col("x.h").alias("t"), F.col("x.n").alias("n")))
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t"))

@@ -139,3 +139,21 @@ def test_one_row_of_each_group_stays(spark):
     named = sorted((r["doc_id"], r["text"], r["source"]) for r in kept if r["doc_id"] is not None)
     assert named == [(1, a, "x"), (2, b, "x"), (3, c, "x")]
     assert sorted((r["text"] or "")[:3] for r in kept if r["doc_id"] is None) == ["", "a00"]
+
+
+def test_the_pipeline_goes_by_fingerprints_and_an_exact_check(spark, monkeypatch):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(400)]
+    near = words[:200] + ["other"] + words[201:]
+    rows = [(3, " ".join(words)), (1, " ".join(near)), (2, " ".join(reversed(words))), (4, " ".join(words)), (5, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = lambda: {r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, df, "").collect()}
+    assert bin(sh.fingerprint(rows[0][1]) ^ sh.fingerprint(rows[1][1])).count("1") <= sh.REACH
+    assert ids() == {1, 2, 5}
+    # All in one class of fingerprints: the check alone tells them apart.
+    monkeypatch.setattr(sh, "links", lambda points, radius=2: points.agg(sh.F.min("fp").alias("a")).crossJoin(points.withColumnRenamed("fp", "b")))
+    assert ids() == {1, 2, 5}
+    # Without links of fingerprints only equal texts are left to find.
+    monkeypatch.setattr(sh, "links", lambda points, radius=2: points.select(points["fp"].alias("a"), points["fp"].alias("b")).limit(0))
+    assert ids() == {1, 2, 3, 5}
