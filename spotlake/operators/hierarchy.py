@@ -50,18 +50,18 @@ def least_edges(points: DataFrame, r: float) -> DataFrame:
     box = near.groupBy("gx", "gy", "fx", "fy", "comp").agg(F.min("core").alias("core"), *[f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("0", F.min), ("1", F.max))])
     named = lambda d, p: d.select(*[F.col(c).alias(f"{p}{c}") for c in d.columns])
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    left = named(box, "a_").withColumn("i", F.explode(steps)).withColumn("gx", F.col("a_gx") + F.col("i")).withColumn("i", F.explode(steps)).withColumn("gy", F.col("a_gy") + F.col("i")).drop("i")
-    right = named(box, "b_").withColumns({"gx": F.col("b_gx"), "gy": F.col("b_gy")})
+    around = lambda d: named(d, "a_").withColumn("i", F.explode(steps)).withColumn("gx", F.col("a_gx") + F.col("i")).withColumn("i", F.explode(steps)).withColumn("gy", F.col("a_gy") + F.col("i")).drop("i")
+    right = named(box, "b_").withColumns({"gx": F.col("b_gx"), "gy": F.col("b_gy")}).hint("merge")
     gap = lambda c: F.greatest(F.lit(0.0), F.col(f"a_{c}0") - F.col(f"b_{c}1"), F.col(f"b_{c}0") - F.col(f"a_{c}1"))
     span = lambda c: F.greatest(F.col(f"a_{c}1") - F.col(f"b_{c}0"), F.col(f"b_{c}1") - F.col(f"a_{c}0"))
     reach = lambda f: F.greatest(F.sqrt(f("x") * f("x") + f("y") * f("y")), "a_core", "b_core")
-    met = left.join(right, ["gx", "gy"]).where(F.col("a_comp") != F.col("b_comp")).select(*[f"{p}{c}" for p in ("a_", "b_") for c in ("fx", "fy", "comp")], reach(gap).alias("low"), reach(span).alias("high")).where(F.col("low") <= r)
-    met = cut(met)
-    bound = met.groupBy("a_comp").agg(F.min("high").alias("bound"))
+    met = lambda d: around(d).join(right, ["gx", "gy"]).where((F.col("a_comp") != F.col("b_comp")) & (reach(gap) <= r))
+    # Pairs of boxes are met twice rather than written: only bounds by component, and the few pairs that are opened, go on.
+    bound = cut(met(box).groupBy("a_comp").agg(F.min(reach(span)).alias("bound")).withColumnRenamed("a_comp", "comp"))
     # A little above the bound, for its root is rounded.
-    opened = met.join(bound, "a_comp").where(F.col("low") <= F.col("bound") * (1 + 1e-12))
+    opened = met(box.join(bound.hint("merge"), "comp")).where(reach(gap) <= F.col("a_bound") * (1 + 1e-12)).select(*[f"{p}{c}" for p in ("a_", "b_") for c in ("fx", "fy", "comp")])
     rows = near.select("row", "x", "y", "core", "fx", "fy", "comp")
-    both = opened.join(named(rows, "a_"), ["a_fx", "a_fy", "a_comp"]).join(named(rows, "b_"), ["b_fx", "b_fy", "b_comp"])
+    both = opened.join(named(rows, "a_").hint("merge"), ["a_fx", "a_fy", "a_comp"]).join(named(rows, "b_").hint("merge"), ["b_fx", "b_fy", "b_comp"])
     dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
     edge = F.struct(F.greatest(F.sqrt(dx * dx + dy * dy), "a_core", "b_core").alias("w"), F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b"))
     best = both.select(F.col("a_comp").alias("comp"), edge.alias("e")).where(F.col("e.w") <= r).groupBy("comp").agg(F.min("e").alias("e"))
