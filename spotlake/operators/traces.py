@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nansafe as N
+from .storage import cut
 from .windows import along, lag_sums
 
 
@@ -225,44 +227,75 @@ def regular_steps(df: DataFrame, key: str, time: str, row: str = "row_id") -> Da
     return rows.join(scale, key).withColumn("step_index", F.coalesce(F.bround(F.try_divide(N.double(time) - F.col("__0"), F.col("__s"))), F.lit(0.0)).cast("long")).drop("__d", "__s", "__0")
 
 
+#: Values of traces that are walked side by side, of one length or less.
+_WALKED = 500_000
+
+
+def _hidden_sums(traces: list[np.ndarray], mean: np.ndarray, dev: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Weights, first and second moments of the states and their expected transitions, summed over traces.
+
+    Forward and backward go along all traces at once: they are sorted by falling length, so those that last are the first ones.
+    """
+    size = np.array([len(x) for x in traces])
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    alive = np.searchsorted(-size, -np.arange(size[0]), "left")  # traces that are longer than t
+    there = np.arange(size[0])[:, None] < size
+    x = np.zeros(there.shape)
+    x.T[there.T] = np.concatenate([traces[i] for i in order])
+    e = np.exp(-0.5 * ((x[..., None] - mean) / dev) ** 2) / dev + 1e-300
+    f, b = np.zeros_like(e), np.ones_like(e)
+    f[0] = e[0] / e[0].sum(1, keepdims=True)
+    for t in range(1, len(x)):
+        n = alive[t]
+        f[t, :n] = (f[t - 1, :n] @ move) * e[t, :n]
+        f[t, :n] /= f[t, :n].sum(1, keepdims=True)
+    for t in range(len(x) - 2, -1, -1):
+        n = alive[t + 1]
+        b[t, :n] = (e[t + 1, :n] * b[t + 1, :n]) @ move.T
+        b[t, :n] /= b[t, :n].sum(1, keepdims=True)
+    g = f * b
+    g[there] /= g[there].sum(1, keepdims=True)
+    g[~there] = 0.0
+    on = there[1:]
+    xi = f[:-1][on][:, :, None] * move * (e[1:] * b[1:])[on][:, None, :]
+    xi = (xi / np.maximum(xi.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+    moments = [(g * v[..., None]).sum((0, 1)) for v in (np.ones_like(x), x, x * x)]
+    return (*moments, xi)
+
+
 def hidden_states(df: DataFrame, key: str, time: str, value: str, states: int = 2, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, deviations and transition matrix of a Gaussian hidden Markov model over all traces.
 
-    Each round runs forward and backward within the traces, in parallel; only sums come to the driver.
+    Traces are gathered once. Each round runs forward and backward along many traces side by side, in parallel; only sums
+    come to the driver. Rows of one time go by value.
     """
     q = df.agg(F.percentile(N.present(value), [float((i + 0.5) / states) for i in range(states)]).alias("q"), F.stddev_pop(N.present(value)).alias("s")).first()
     mean, dev = np.array(q["q"], float), np.full(states, (q["s"] or 1.0) / states + 1e-9)
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where(N.finite(value)).select(key, F.struct(F.isnull(time).alias("none"), F.col(time).alias("t"), N.double(value).alias("x")).alias("r"))
+    traces = cut(rows.repartition(buckets, key).groupBy(key).agg(F.sort_array(F.collect_list("r")).alias("r")).select(F.col("r.x").alias("x")))
     for _ in range(rounds):
-
-        def sums(pdf: pd.DataFrame, mean, dev, move) -> pd.DataFrame:
-            x = pdf.sort_values(time, kind="stable")[value].to_numpy(float)
-            x = x[np.isfinite(x)]
-            if not len(x):
-                return pd.DataFrame([], columns=["kind", "i", "j", "v"])
-            e = np.exp(-0.5 * ((x[:, None] - mean) / dev) ** 2) / dev + 1e-300
-            f, b = np.empty_like(e), np.ones_like(e)
-            f[0] = e[0] / e[0].sum()
-            for t in range(1, len(x)):
-                f[t] = (f[t - 1] @ move) * e[t]
-                f[t] /= f[t].sum()
-            for t in range(len(x) - 2, -1, -1):
-                b[t] = move @ (e[t + 1] * b[t + 1])
-                b[t] /= b[t].sum()
-            g = f * b
-            g /= g.sum(1, keepdims=True)
-            xi = f[:-1, :, None] * move * (e[1:] * b[1:])[:, None, :]
-            xi = (xi / np.maximum(xi.sum((1, 2), keepdims=True), 1e-300)).sum(0)
-            rows = [(0, i, 0, g[:, i].sum()) for i in range(states)] + [(1, i, 0, (g[:, i] * x).sum()) for i in range(states)] + [(2, i, 0, (g[:, i] * x * x).sum()) for i in range(states)]
-            return pd.DataFrame(rows + [(3, i, j, xi[i, j]) for i in range(states) for j in range(states)], columns=["kind", "i", "j", "v"])
-
         model = (mean, dev, move)
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            return sums(pdf, *model)
-
-        got = df.select(key, time, value).groupBy(key).applyInPandas(run, "kind int, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+        def run(batches, model=model):
+            total = None
+            for batch in batches:
+                ends = batch.column(0).offsets.to_numpy()
+                flat = batch.column(0).values.to_numpy()
+                some = sorted((flat[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)), key=len)
+                while some:
+                    n = max(1, min(len(some), _WALKED // len(some[-1])))
+                    some, part = some[:-n], some[-n:]
+                    got = _hidden_sums(part, *model)
+                    total = got if total is None else tuple(p + q for p, q in zip(total, got, strict=True))
+            if total is not None:
+                out = [(k, i, 0, float(total[k][i])) for k in range(3) for i in range(states)] + [(3, i, j, float(total[3][i, j])) for i in range(states) for j in range(states)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["kind", "i", "j", "v"])
+
+        got = traces.mapInArrow(run, "kind int, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).toPandas()
         take = lambda k: got[got["kind"] == k].sort_values(["i", "j"])["v"].to_numpy()
         n, s, s2 = take(0), take(1), take(2)
         mean = s / np.maximum(n, 1e-12)
