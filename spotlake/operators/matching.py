@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,25 +12,78 @@ from pyspark.sql import functions as F
 from ..functions import nansafe as N
 from .graph import connected_components, cut, link_tracks
 from .storage import numbered
-from .joins import cell_pairs, nearest_in_time, overlapping
+from .joins import cell_pairs, nearest_in_time
+
+
+#: Partners of an interval that are looked up at once.
+PARTNERS = 64
+
+
+def greedy_overlaps(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float) -> list[tuple[int, int]]:
+    """Intervals (ids, starts, ends) of two kinds one to one, the largest overlap of at least ``least`` first (ties: smaller ids).
+
+    Each interval of a waits in a heap with the best partner that was free when it was looked up. What is popped with a free
+    partner is the best of all, since partners only go; else its next one is taken, of those looked up or anew. Memory is linear.
+    """
+    (ia, sa, ea), (ib, sb, eb) = ([v[np.argsort(k[0], kind="stable")] for v in k] for k in (a, b))
+    free, heap, lists, out = np.ones(len(ib), bool), [], {}, []
+
+    def wait(i: int) -> None:
+        """Put i to the heap with its next free partner, if there is one."""
+        while True:
+            todo = lists.get(i)
+            if not todo:
+                at = np.flatnonzero(free)
+                over = np.minimum(ea[i], eb[at]) - np.maximum(sa[i], sb[at])
+                ok = over >= least
+                at, over = at[ok], over[ok]
+                if len(at) > PARTNERS:  # those of the least overlap taken come whole, and the smallest ids of them stay
+                    ok = over >= np.partition(over, len(over) - PARTNERS)[len(over) - PARTNERS]
+                    at, over = at[ok], over[ok]
+                if not len(at):
+                    return
+                best = np.lexsort((at, -over))[:PARTNERS][::-1]
+                todo = lists[i] = list(zip(over[best].tolist(), at[best].tolist(), strict=True))
+            while todo:
+                v, j = todo.pop()
+                if free[j]:
+                    heapq.heappush(heap, (-v, i, j))
+                    return
+
+    for i in range(len(ia)):
+        wait(i)
+    while heap:
+        _, i, j = heapq.heappop(heap)
+        if free[j]:
+            free[j] = False
+            out.append((int(ia[i]), int(ib[j])))
+            lists.pop(i, None)
+        else:
+            wait(i)
+    return out
 
 
 def pair_intervals(a: DataFrame, b: DataFrame, width: float, least: float = 0.0, keys: tuple[str, ...] = (), ident: str = "id") -> DataFrame:
     """(a, b, pair_id): intervals of two kinds one to one, the largest overlap first (ties: smaller ids); those
-    that stay alone have a pair of their own. Pairs are numbered from 0 by start."""
-    pairs = cut(overlapping(a, b, width, keys, least).select(F.col(f"a_{ident}").alias("a"), F.col(f"b_{ident}").alias("b"), "overlap"))
-    ends = pairs.select((F.col("a") * 2).alias("x"), (F.col("b") * 2 + 1).alias("y"))
-    parts = connected_components(ends.select(F.col("x").alias("node")).union(ends.select("y")).distinct(), ends.withColumnsRenamed({"x": "a", "y": "b"}), "node")
-    e = pairs.join(parts.where("node % 2 = 0").select(F.expr("node div 2").alias("a"), "component"), "a")
+    that stay alone have a pair of their own. Pairs are numbered from 0 by start.
+
+    Buckets of ``width`` that intervals reach over are chained; the intervals of a chain meet in one task, which holds them but
+    never their pairs. Chains end where no interval passes from a bucket to the next.
+    """
+    bucket = lambda c: F.floor(N.double(c) / width).cast("long")
+    side = lambda d, k: d.select(F.lit(k).alias("kind"), F.col(ident).alias("id"), N.double("start").alias("start"), N.double("end").alias("end"), *keys, bucket("start").alias("lo"), bucket("end").alias("hi"))
+    spans = side(a, 0).union(side(b, 1)).where(N.finite("start") & N.finite("end") & (F.col("start") <= F.col("end")))
+    spans = cut(spans.dropna(subset=list(keys)) if keys else spans)
+    touched = spans.select(*keys, "hi", F.explode(F.sequence("lo", "hi")).alias("k")).groupBy(*keys, "k").agg(F.max(F.col("k") < F.col("hi")).alias("on"))
+    touched = cut(touched.select(F.xxhash64(*keys, "k").alias("node"), F.xxhash64(*keys, F.col("k") + 1).alias("next"), "on"))
+    chains = connected_components(touched, touched.where("on").select(F.col("node").alias("a"), F.col("next").alias("b")), "node")
+    of = spans.withColumn("node", F.xxhash64(*keys, "lo")).join(chains, "node")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, out = set(), set(), []
-        for r in pdf.sort_values(["overlap", "a", "b"], ascending=[False, True, True]).itertuples():
-            if r.a not in used_a and r.b not in used_b:
-                used_a.add(r.a), used_b.add(r.b), out.append((r.a, r.b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        both = (tuple(pdf.loc[pdf["kind"] == k, c].to_numpy() for c in ("id", "start", "end")) for k in (0, 1))
+        return pd.DataFrame(greedy_overlaps(*both, max(least, 0.0)), columns=["a", "b"], dtype="int64")
 
-    taken = cut(e.groupBy("component").applyInPandas(greedy, "a long, b long"))
+    taken = cut(of.select("component", *keys, "kind", "id", "start", "end").groupBy("component", *keys).applyInPandas(greedy, "a long, b long"))
     one = a.select(F.col(ident).alias("a"), F.col("start").alias("sa")).join(taken, "a", "left")
     two = b.select(F.col(ident).alias("b"), F.col("start").alias("sb"))
     both = one.join(two, "b", "full_outer").select("a", "b", F.least("sa", "sb").alias("s"))
