@@ -97,11 +97,33 @@ def pair_offsets(a: DataFrame, b: DataFrame, max_dt: float, key: str = "pair_id"
     return m.groupBy(key).agg(*[F.median(N.double(c) - N.double(f"near_{c}")).alias(f"d{c[0]}") for c in xy], F.count(F.lit(1)).alias("n"))
 
 
+#: Links that are left to be judged by components; a round that settles less than a tenth of them is the last one.
+LEFT = 200_000
+
+
+def _beaten(e: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(rows that go, links still open) of links (a, b, sa, sb): a row better than all that are linked with it stays, and those go."""
+    best = lambda x, s: F.struct(-F.col(s), F.col(x))
+    both = e.select("a", "b", "sa", "sb").union(e.select(F.col("b"), F.col("a"), F.col("sb"), F.col("sa")))
+    now, gone, before = cut(both.where("a <> b").distinct()), None, None
+    n = now.count()
+    while n > 2 * LEFT and (before is None or n < 0.9 * before):
+        worse = now.where(best("b", "sb") < best("a", "sa")).select("a").distinct()
+        out = cut(now.join(worse.hint("merge"), "a", "left_anti").select(F.col("b").alias("a")).distinct())
+        gone = out if gone is None else gone.union(out)
+        now = now.join(out.hint("merge"), "a", "left_anti").join(out.withColumnRenamed("a", "b").hint("merge"), "b", "left_anti")
+        now = cut(now.select("a", "b", "sa", "sb"))
+        before, n = n, now.count()
+    return gone, now.where("a < b")
+
+
 def keep_best(df: DataFrame, pairs: DataFrame, score: str, row: str = "row_id") -> DataFrame:
     """Of rows that the pairs (a, b) say are too close, the best score stays, taken in that order."""
-    parts = connected_components(df.select(row), pairs.select("a", "b"), row)
     s = df.select(row, N.double(score).alias("__s"))
-    e = pairs.where("a < b").join(parts.select(F.col(row).alias("a"), "component"), "a").join(s.select(F.col(row).alias("a"), F.col("__s").alias("sa")), "a").join(s.select(F.col(row).alias("b"), F.col("__s").alias("sb")), "b")
+    e = pairs.where("a < b").join(s.select(F.col(row).alias("a"), F.col("__s").alias("sa")), "a").join(s.select(F.col(row).alias("b"), F.col("__s").alias("sb")), "b")
+    gone, e = _beaten(e)
+    parts = connected_components(df.select(row), e.select("a", "b"), row)
+    e = e.join(parts.select(F.col(row).alias("a"), "component"), "a")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         best = {**dict(zip(pdf["a"], pdf["sa"], strict=True)), **dict(zip(pdf["b"], pdf["sb"], strict=True))}
@@ -114,7 +136,8 @@ def keep_best(df: DataFrame, pairs: DataFrame, score: str, row: str = "row_id")
                 kept.add(r)
         return pd.DataFrame({row: sorted(best.keys() - kept)}, dtype="int64")
 
-    return df.join(e.groupBy("component").applyInPandas(greedy, f"{row} long"), row, "left_anti")
+    last = e.groupBy("component").applyInPandas(greedy, f"{row} long")
+    return df.join(last if gone is None else last.union(gone), row, "left_anti")
 
 
 def remove_double_regions(regions: DataFrame, distance: float, file: str = "filenumber", count: str = "n") -> DataFrame:
