@@ -73,22 +73,43 @@ def pair_histogram(a: DataFrame, b: DataFrame, r_max: float, dr: float, same: bo
     return pairs.groupBy(F.floor(F.col("d") / dr).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows of the other table that a row meets in its own cell on average, at most, where a search begins.
+MET = 8.0
+
+
+def first_reach(a: DataFrame, b: DataFrame, radius: float, keys: tuple[str, ...] = (), xy: tuple[str, str] = ("x_nm", "y_nm")) -> float:
+    """``radius``, or less where tables are dense: what cells of that size make a row of ``a`` meet is bounded by ``MET``, as far as places differ."""
+    side = lambda d, n: d.select(*keys, *[N.double(c).alias(k) for c, k in zip(xy, ("__x", "__y"))], F.lit(n).alias("__n"))
+    both, before = side(a, 1).unionByName(side(b, 0)).where(N.finite("__x") & N.finite("__y")), None
+    while True:
+        cells = both.groupBy(*keys, *[F.floor(F.col(c) / radius).alias(c) for c in ("__x", "__y")]).agg(F.sum("__n").cast("double").alias("p"), F.sum(1 - F.col("__n")).alias("q"))
+        got = cells.agg(F.sum(F.col("p") * F.col("q")).alias("pairs"), F.sum("p").alias("n")).first()
+        mean = (got["pairs"] or 0.0) / (got["n"] or 1.0)
+        if mean <= MET or before is not None and mean > 0.9 * before:
+            return radius
+        radius, before = radius * max((MET / mean) ** 0.5 * 0.9, 1 / 16), mean
+
+
 def nearest_neighbours(a: DataFrame, b: DataFrame, k: int, first_radius: float, same: bool = False, row: str = "row_id", **of) -> DataFrame:
     """(row, rank, d): the k nearest of each row with a finite place, infinity where ``b`` has fewer (of its keys).
 
-    The radius doubles until every row has as many as there are.
+    The radius doubles until every row has as many as there are. It begins at ``first_radius``, or at less where that would meet many rows, so
+    pairs grow with the rows and not with their square. Of rows at one place no more than k and the row itself can count.
     """
-    xy, keys = of.get("xy", ("x_nm", "y_nm")), list(of.get("keys", ()))
+    xy, keys, z = of.get("xy", ("x_nm", "y_nm")), list(of.get("keys", ())), of.get("z")
     placed = lambda d: d.where(N.finite(xy[0]) & N.finite(xy[1]))
-    a, b, done, radius = placed(a), cut(placed(b)), None, first_radius
-    there = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("__there"))
+    a, b, done = placed(a), placed(b), None
+    there = cut(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("__there")))
+    place = Window.partitionBy(*keys, *[N.double(c) + 0.0 for c in (*xy, *([z] if z else []))]).orderBy(row)
+    b = cut(b.withColumn("__turn", F.row_number().over(place)).where(F.col("__turn") <= k + int(same)).drop("__turn"))
     need = F.least(F.lit(k), F.coalesce("__there", F.lit(0)) - int(same)).alias("__need")
     left = a.join(there, keys, "left") if keys else a.crossJoin(there)  # one row
     left = cut(left.select(*a.columns, need).where("__need > 0"))
+    radius = first_reach(left, b, first_radius, tuple(keys), xy)
     while not left.isEmpty():
         pairs = cell_pairs(left, b, radius, same=same, row=row, **of).select(F.col(f"a_{row}").alias(row), "d", F.col(f"b_{row}").alias("__o"))
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(row).orderBy("d", "__o"))).where(F.col("rank") <= k)
-        ranked = ranked.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(row))).join(left.select(row, "__need"), row)
+        ranked = ranked.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(row))).join(left.select(row, "__need").hint("merge"), row)
         ranked = cut(ranked.where(F.col("__n") >= F.col("__need")).select(row, "rank", "d"))
         done = ranked if done is None else done.union(ranked)
         left = cut(left.join(ranked.select(row).distinct(), row, "left_anti"))
@@ -99,6 +120,26 @@ def nearest_neighbours(a: DataFrame, b: DataFrame, k: int, first_radius: float,
     return ranks.join(done, [row, "rank"], "left").select(row, "rank", F.coalesce("d", F.lit(float("inf"))).alias("d"))
 
 
+def nearest_within(a: DataFrame, b: DataFrame, radius: float, xy: tuple[str, str] = ("x_nm", "y_nm"), row: str = "row_id") -> DataFrame:
+    """(a, b, d): the nearest row of ``b`` within ``radius`` of each row of ``a`` that has one (ties: smaller row).
+
+    As in ``nearest_neighbours`` the reach begins small and doubles for the rows that found none.
+    """
+    places = lambda d: d.select(row, *[(N.double(c) + 0.0).alias(c) for c in xy]).where(N.finite(xy[0]) & N.finite(xy[1]))
+    left, b, done = cut(places(a)), cut(places(b).groupBy(*xy).agg(F.min(row).alias(row))), None
+    reach = min(first_reach(left, b, radius, (), xy), radius)
+    while True:
+        pairs = cell_pairs(left, b, reach, xy=xy, row=row)
+        found = cut(pairs.groupBy(F.col(f"a_{row}").alias("a")).agg(F.min(F.struct("d", F.col(f"b_{row}").alias("b"))).alias("m")).select("a", "m.b", "m.d"))
+        done = found if done is None else done.union(found)
+        if reach >= radius:
+            return done
+        left = cut(left.join(found.select(F.col("a").alias(row)), row, "left_anti"))
+        if left.isEmpty():
+            return done
+        reach = min(2 * reach, radius)
+
+
 def lag_pairs(df: DataFrame, max_jump: float, memory: int = 0, frame: str = "frame", keys: tuple[str, ...] = (), row: str = "row_id", xy: tuple[str, str] = ("x_nm", "y_nm"), z: str | None = None) -> DataFrame:
     """(a, b, lag, d): rows up to memory + 1 frames apart and within ``max_jump``: candidates of tracking.
 
