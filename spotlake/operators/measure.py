@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import nansafe as N
 from .graph import link_blinks
-from .joins import cell_pairs
+from .joins import cell_pairs, nearest_within
+from .phase import quantile
 from .storage import cut, numbered
 
 
@@ -130,18 +131,19 @@ def accept_proposals(regions: DataFrame, proposals: DataFrame, apart: float, ide
 
 def mutual_nearest(a: DataFrame, b: DataFrame, tolerance: float, xy: tuple[str, str] = ("x_nm", "y_nm"), row: str = "row_id") -> DataFrame:
     """(a, b, d): rows of two measurements that are each other's nearest within ``tolerance`` (ties: smaller row)."""
-    pairs = cell_pairs(a, b, tolerance, xy=xy, row=row).select(F.col(f"a_{row}").alias("a"), F.col(f"b_{row}").alias("b"), "d")
-    to_b = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
-    to_a = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    return to_b.join(to_a, ["a", "b"])
+    to_b = cut(nearest_within(a, b, tolerance, xy, row))
+    asked = b.join(to_b.select(F.col("b").alias(row)).distinct().hint("merge"), row, "left_semi")
+    to_a = nearest_within(asked, a, tolerance, xy, row).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return to_b.join(to_a.hint("merge"), ["a", "b"])
 
 
 def channel_offset(a: DataFrame, b: DataFrame, tolerance: float, xy: tuple[str, str] = ("x_nm", "y_nm"), row: str = "row_id") -> DataFrame:
-    """(dx, dy, n): median offset from a to b of mutually nearest rows."""
+    """(dx, dy, n): median offset from a to b of mutually nearest rows; no task holds all offsets."""
     x, y = xy
     m = mutual_nearest(a, b, tolerance, xy, row)
     m = m.join(a.select(F.col(row).alias("a"), N.double(x).alias("xa"), N.double(y).alias("ya")), "a").join(b.select(F.col(row).alias("b"), N.double(x).alias("xb"), N.double(y).alias("yb")), "b")
-    return m.agg(F.median(F.col("xb") - F.col("xa")).alias("dx"), F.median(F.col("yb") - F.col("ya")).alias("dy"), F.count(F.lit(1)).alias("n"))
+    m = cut(m.select((F.col("xb") - F.col("xa")).alias("dx"), (F.col("yb") - F.col("ya")).alias("dy")))
+    return a.sparkSession.createDataFrame([(quantile(m, F.col("dx")), quantile(m, F.col("dy")), m.count())], "dx double, dy double, n long")
 
 
 def offset_histogram(a: DataFrame, b: DataFrame, reach: float, width: float, xy: tuple[str, str] = ("x_nm", "y_nm"), row: str = "row_id") -> DataFrame:
