@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nansafe as N
+from .blocks import blocks, near_means
 from .graph import connected_components, cut, link_tracks
 from .storage import numbered
 from .joins import cell_pairs, nearest_in_time
@@ -167,11 +168,10 @@ def find_beads(df: DataFrame, frames: int, bright: float, share: float, max_jump
 
 
 def mean_shift(df: DataFrame, seeds: DataFrame, radius: float, steps: int = 10, tolerance: float = 0.1) -> DataFrame:
-    """(row, x_nm, y_nm, n): seeds moved to the mean of the rows within ``radius``, again and again."""
-    now = seeds.select("row_id", "x_nm", "y_nm")
+    """(row, x_nm, y_nm, n): seeds moved to the mean of the rows within ``radius``, again and again; blocks meet, no pair is a row."""
+    now, around = seeds.select("row_id", "x_nm", "y_nm"), blocks(df, radius)
     for _ in range(steps):
-        p = cell_pairs(now, df, radius)
-        new = p.groupBy(F.col("a_row_id").alias("row_id")).agg(F.avg("b_x_nm").alias("x_nm"), F.avg("b_y_nm").alias("y_nm"), F.count(F.lit(1)).alias("n"))
+        new = near_means(now, around, radius)
         new = cut(new.join(now.select("row_id", F.col("x_nm").alias("x0"), F.col("y_nm").alias("y0")), "row_id"))
         moved = new.agg(F.max(F.hypot(F.col("x_nm") - F.col("x0"), F.col("y_nm") - F.col("y0"))).alias("m")).first()["m"]
         now = new.drop("x0", "y0")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nansafe as N
 from . import aggregate as A
+from .blocks import histogram
 from .graph import assign, connected_components, cut
 from .joins import cell_pairs, pair_histogram
 
@@ -44,7 +45,7 @@ def random_like(df: DataFrame, box: tuple[float, float, float, float], simulatio
 def envelope(df: DataFrame, box: tuple[float, float, float, float], r_max: float, dr: float, simulations: int, seed: int = 0) -> DataFrame:
     """(bin, low, high): least and largest pair counts by distance over random tables."""
     r = random_like(df, box, simulations, seed)
-    h = cell_pairs(r, r, r_max, keys=("sim",), same=True, strict=True).groupBy(F.col("a_sim").alias("sim"), F.floor(F.col("d") / dr).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    h = histogram(r, r, r_max, dr, True, ("sim",))
     return h.groupBy("bin").agg(F.when(F.count(F.lit(1)) < simulations, 0).otherwise(F.min("n")).alias("low"), F.max("n").alias("high"))
 
 

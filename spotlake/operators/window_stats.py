@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nansafe as N
-from .joins import cell_pairs, pair_histogram
+from .blocks import histogram
 from .storage import cut, numbered
 
 #: Directions over which the covariance is averaged.
@@ -107,16 +107,15 @@ def pair_statistics(df: DataFrame, pixels: DataFrame, size: float, r_max: float,
         return [], deviation_test(np.zeros(0), np.zeros((0, 0)), np.zeros(0, bool))
     expected = expected_counts(lag_array(pixels, math.ceil(r_max / size) + 1), size, n * (n - 1.0), r_max, dr)
     counts = np.zeros(bins)
-    for r in pair_histogram(rows, rows, bins * dr, dr, same=True).collect():
+    for r in histogram(rows, rows, bins * dr, dr, True).collect():
         counts[min(r["bin"], bins - 1)] += r["n"]
     own, r = curves(counts, expected, dr), (np.arange(bins) + 0.5) * dr
     out = [{"r": float(r[i]), "n": float(counts[i]), "expected": float(expected[i])} | {k: float(v[i]) for k, v in own.items()} for i in range(bins)]
     if simulations < 1:
         return out, deviation_test(own["L_r"], np.zeros((0, bins)), r >= r_min)
     moved = cut(uniform(pixels, size, n, simulations, seed))
-    pairs = cell_pairs(moved, moved, bins * dr, keys=("sim",), same=True, strict=True)
     found = np.zeros((simulations, bins))
-    for x in pairs.groupBy(F.col("a_sim").alias("sim"), F.floor(F.col("d") / dr).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():  # simulations by rings
+    for x in histogram(moved, moved, bins * dr, dr, True, ("sim",)).collect():  # simulations by rings
         found[x["sim"], min(x["bin"], bins - 1)] += x["n"]
     sims = [curves(s, expected, dr) for s in found]
     for k in own:
