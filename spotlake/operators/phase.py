@@ -26,8 +26,11 @@ class Names:
     frame: str = "frame"
 
 
-def quantile(df: DataFrame, value: Column, q: float = 0.5, held: int = 100_000, bins: int = 1000) -> float | None:
-    """Exact quantile of the finite values (linear between neighbours), by counts in ever narrower bins; at most ``held`` different values meet in a task."""
+def quantile(df: DataFrame, value: Column, q: float = 0.5, held: int = 100_000, bins: int = 1000, place: int | None = None) -> float | None:
+    """Exact quantile of the finite values (linear between neighbours), by counts in ever narrower bins; at most ``held`` different values meet in a task.
+
+    ``place``: the value at this place from 0 on instead.
+    """
     v = df.select(value.cast("double").alias("v")).where(N.finite("v"))
     ends = v.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if not ends["n"]:
@@ -53,11 +56,37 @@ def quantile(df: DataFrame, value: Column, q: float = 0.5, held: int = 100_000,
             if lo == hi:
                 return lo
 
-    at = q * (ends["n"] - 1)
+    at = q * (ends["n"] - 1) if place is None else place
     low = nth(math.floor(at))
     return low if at == math.floor(at) else low + (nth(math.floor(at) + 1) - low) * (at - math.floor(at))
 
 
+def percentile(df: DataFrame, value: Column, q: float = 0.5, held: int = 100_000, bins: int = 1000) -> float | None:
+    """Spark's ``percentile`` of all values that are not null, infinite ones and NaN (as the largest) too, as ``quantile`` finds it."""
+    v = df.select(value.cast("double").alias("v")).where("v IS NOT NULL")
+    inf = float("inf")
+    n = v.agg(*[F.count_if(c).alias(k) for k, c in (("low", F.col("v") == -inf), ("all", F.lit(True)), ("top", F.col("v") == inf), ("nan", F.isnan("v")))]).first()
+    if not n["all"]:
+        return None
+    inside = n["all"] - n["low"] - n["top"] - n["nan"]
+    at = q * (n["all"] - 1)
+
+    def nth(k: int) -> float:
+        if k < n["low"]:
+            return -inf
+        k -= n["low"]
+        if k >= inside:
+            return inf if k - inside < n["top"] else float("nan")
+        return quantile(v, F.col("v"), held=held, bins=bins, place=k)
+
+    lo, hi = math.floor(at), math.ceil(at)
+    low = nth(lo)
+    if lo == hi:
+        return low
+    high = nth(hi)
+    return low if low == high else (hi - at) * low + (at - lo) * high
+
+
 def _weighted(df: DataFrame, k: float, names: Names) -> DataFrame:
     """Rows with a phase, a z, a frame and finite errors, with w (one over the variance of phase - k z) and their angle."""
     var = N.double(names.phase_err) * N.double(names.phase_err) + k * k * N.double(names.z_err) * N.double(names.z_err)
