@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import nansafe as N
 from . import aggregate as A
 from .blocks import histogram
-from .graph import assign, connected_components, cut
+from .graph import assign_sparse, connected_components, cut
 from .joins import cell_pairs, pair_histogram
 
 XY = ("x_nm", "y_nm")
@@ -101,7 +101,7 @@ def resolution(curve: np.ndarray, size: float, threshold: float = 1 / 7) -> floa
 def matched(found: DataFrame, truth: DataFrame, radius: float, method: str = "optimal", frame: str = "frame", row: str = "row_id") -> DataFrame:
     """(found, truth, d) one to one within a frame: of least total distance, or greedily the nearest first.
 
-    Pairs in reach fall apart in components, each of which is matched by itself.
+    Pairs in reach fall apart in components, each of which is matched by itself, in memory that grows with its pairs.
     """
     pairs = cut(cell_pairs(found, truth, radius, keys=(frame,), row=row).select(F.col(f"a_{row}").alias("found"), F.col(f"b_{row}").alias("truth"), "d"))
     ends = pairs.select((F.col("found") * 2).alias("a"), (F.col("truth") * 2 + 1).alias("b"))
@@ -118,11 +118,10 @@ def matched(found: DataFrame, truth: DataFrame, radius: float, method: str = "op
         i, ii = np.unique(pdf["found"], return_inverse=True)
         j, jj = np.unique(pdf["truth"], return_inverse=True)
         far = radius * (min(len(i), len(j)) + 1) + 1.0
-        c = np.full((len(i), len(j)), far)
-        c[ii, jj] = pdf["d"]
-        p, q = assign(c)
-        ok = c[p, q] < far
-        return pd.DataFrame({"found": i[p[ok]], "truth": j[q[ok]], "d": c[p[ok], q[ok]]})
+        sides = (jj, ii) if len(i) > len(j) else (ii, jj)
+        d = pdf["d"].to_numpy()
+        ok = assign_sparse(*sides, d, far)
+        return pd.DataFrame({"found": i[ii[ok]], "truth": j[jj[ok]], "d": d[ok]})
 
     return e.groupBy("component").applyInPandas(run, "found long, truth long, d double")
 
