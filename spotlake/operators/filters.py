@@ -51,17 +51,17 @@ class Filters:
 
 def quantile_range(df: DataFrame, column: str, lower: float = 0.001, upper: float = 0.999) -> DataFrame:
     """(lo, hi) of a column's finite values, by counts in ever narrower bins: no task holds all values."""
-    from .phase import quantile
+    from .phase import quantiles
 
-    row = tuple(quantile(df, N.double(column), q) for q in (lower, upper))
+    row = quantiles(df, N.double(column), (lower, upper))
     return df.sparkSession.createDataFrame([row], "lo double, hi double")
 
 
 def display_range(df: DataFrame, column: str, times: float = 3.0) -> DataFrame:
     """1 to 99 % quantiles, within the fences ``times`` the quartile distance outside the quartiles."""
-    from .phase import quantile
+    from .phase import quantiles
 
-    row = tuple(quantile(df, N.double(column), q) for q in (0.01, 0.25, 0.75, 0.99))
+    row = quantiles(df, N.double(column), (0.01, 0.25, 0.75, 0.99))
     q = df.sparkSession.createDataFrame([row], "q0 double, q1 double, q2 double, q3 double")
     span = times * (F.col("q2") - F.col("q1"))
     return q.select(F.greatest(F.col("q0"), F.col("q1") - span).alias("lo"), F.least(F.col("q3"), F.col("q2") + span).alias("hi"))

@@ -61,6 +61,39 @@ def quantile(df: DataFrame, value: Column, q: float = 0.5, held: int = 100_000,
     return low if at == math.floor(at) else low + (nth(math.floor(at) + 1) - low) * (at - math.floor(at))
 
 
+def quantiles(df: DataFrame, value: Column, qs: tuple[float, ...], held: int = 10_000, bins: int = 1000) -> tuple[float | None, ...]:
+    """``quantile`` at several places together: every scan counts in bins around all of them; up to ``held`` different values a place come to the driver."""
+    v = df.select(value.cast("double").alias("v")).where(N.finite("v"))
+    ends = v.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not ends["n"]:
+        return (None,) * len(qs)
+    at = [q * (ends["n"] - 1) for q in qs]
+    wanted = sorted({math.floor(a) for a in at} | {math.ceil(a) for a in at})
+    # Spans (lo, hi, rows before, rows within) that hold places not yet known; spans don't overlap.
+    found, spans = {}, {(ends["lo"], ends["hi"], 0, ends["n"]): wanted}
+    while spans:
+        keys = sorted(spans)
+        pick = F.lit(None).cast("struct<s:int,b:double>")
+        for i, (lo, hi, _, n) in enumerate(keys):
+            width = hi / bins - lo / bins  # the difference of the ends may be infinite
+            whole = n <= held or not width > 0 or lo + width == lo  # by its values
+            b = F.col("v") if whole else F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)).cast("double")
+            pick = F.when((F.col("v") >= lo) & (F.col("v") <= hi), F.struct(F.lit(i).alias("s"), b.alias("b"))).otherwise(pick)
+        cells = v.select(pick.alias("p"), "v").where("p IS NOT NULL").groupBy("p.s", "p.b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        new: dict = {}
+        for i, key in enumerate(keys):
+            before, todo = key[2], list(spans[key])
+            for r in sorted((r for r in cells if r["s"] == i), key=lambda r: r["b"]):
+                inside = [k for k in todo if before <= k < before + r["c"]]
+                if r["lo"] == r["hi"]:
+                    found.update(dict.fromkeys(inside, r["lo"]))
+                elif inside:
+                    new[(r["lo"], r["hi"], before, r["c"])] = inside
+                before += r["c"]
+        spans = new
+    return tuple(found[math.floor(a)] if a == math.floor(a) else found[math.floor(a)] + (found[math.ceil(a)] - found[math.floor(a)]) * (a - math.floor(a)) for a in at)
+
+
 def percentile(df: DataFrame, value: Column, q: float = 0.5, held: int = 100_000, bins: int = 1000) -> float | None:
     """Spark's ``percentile`` of all values that are not null, infinite ones and NaN (as the largest) too, as ``quantile`` finds it."""
     v = df.select(value.cast("double").alias("v")).where("v IS NOT NULL")
