@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -148,10 +149,41 @@ def remove_double_regions(regions: DataFrame, distance: float, file: str = "file
     return keep_best(r, cut(pairs), count).withColumnsRenamed({"x_nm": "cx", "y_nm": "cy", "row_id": "region_id"})
 
 
+#: Pairs of rows that may be near each other, at most, that are written.
+MET = 4_000_000
+
+
+def _crowded(now: DataFrame, reach: float) -> tuple[DataFrame | None, DataFrame]:
+    """(rows that go, rows still open) of circles: while there may be more pairs than ``MET``, the best of each small cell are judged.
+
+    One that no better row overlaps stays, and what it overlaps goes. Rows that stay overlap no other, so a row meets no more of them, nor
+    of the cells' best, than there is room for; pairs are only read. What is left over has few pairs.
+    """
+    gone, key = None, lambda p: F.struct(-F.col(f"{p}__s"), F.col(f"{p}row_id"))
+    while True:
+        cells = now.groupBy(*[F.floor(F.col(c) / reach) for c in ("x_nm", "y_nm")]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        got = cells.agg(F.sum(9 * F.col("n") * F.col("n"))).first()[0]
+        if got is None or got <= MET:
+            return gone, now
+        side = now.agg(F.avg("radius")).first()[0]
+        side = side if side and math.isfinite(side) and side > 0 else reach / 4
+        best = now.groupBy(*[F.floor(F.col(c) / side) for c in ("x_nm", "y_nm")]).agg(F.min_by(F.struct(*now.columns), key("")).alias("m")).select("m.*")
+        met = lambda a: cell_pairs(a, now, reach).where((F.col("d") < F.col("a_radius") + F.col("b_radius")) & (F.col("a_row_id") != F.col("b_row_id")))
+        best = cut(best)
+        beaten = met(best).where(key("b_") < key("a_")).select(F.col("a_row_id").alias("row_id")).distinct()
+        kept = cut(best.join(beaten.hint("merge"), "row_id", "left_anti"))
+        out = cut(met(kept).select(F.col("b_row_id").alias("row_id")).distinct())
+        gone = out if gone is None else gone.union(out)
+        now = cut(now.join(out.union(kept.select("row_id")).hint("merge"), "row_id", "left_anti").select(now.columns))
+
+
 def overlapping_circles(df: DataFrame, largest: float, score: str = "score") -> DataFrame:
     """Circles (x_nm, y_nm, radius) that overlap no better one."""
-    pairs = cell_pairs(df, df, 2 * largest, same=True).join(df.select(F.col("row_id").alias("a_row_id"), F.col("radius").alias("__r")), "a_row_id").where(F.col("d") < F.col("__r") + F.col("b_radius"))
-    return keep_best(df, cut(pairs.select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"))), score)
+    placed = df.select("row_id", *[N.double(c).alias(c) for c in ("x_nm", "y_nm", "radius")], N.double(score).alias("__s"))
+    gone, left = _crowded(cut(placed.where(N.finite("x_nm") & N.finite("y_nm"))), 2 * largest)
+    pairs = cell_pairs(left, left.select("row_id", "x_nm", "y_nm", "radius"), 2 * largest, same=True).join(left.select(F.col("row_id").alias("a_row_id"), F.col("radius").alias("__r")), "a_row_id").where(F.col("d") < F.col("__r") + F.col("b_radius"))
+    out = keep_best(df, cut(pairs.select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"))), score)
+    return out if gone is None else out.join(gone, "row_id", "left_anti")
 
 
 def close_groups(df: DataFrame, distance: float, keys: tuple[str, ...] = ("frame",), row: str = "row_id") -> DataFrame:
