@@ -99,15 +99,15 @@ def grids(radius: int) -> list[int]:
     return [sum(c) for c in combinations(block, 3)]
 
 
-def links(points: DataFrame, radius: int = 2, bits: bool = False) -> DataFrame:
+def links(points: DataFrame, radius: int = 2, bits: bool | None = None) -> DataFrame:
     """(a, b): links of distinct fingerprints ``fp``, enough to join every two within ``radius`` bits.
 
-    ``bits``: cells are of the blocks' bits themselves. Two in reach differ in ``radius`` blocks at most, so they share
+    ``bits`` (unless said, beyond 2 bits): cells are of the blocks' bits themselves. Two in reach differ in ``radius`` blocks at most, so they share
     a cell of these too, while a cell of 3 in 7 blocks tells 27 bits apart instead of about 20: fewer meet by chance.
     """
     if radius % 2:
         raise ValueError("the radius is even")
-    e = F.col("fp") if bits else popcounts(F.col("fp"))
+    e = F.col("fp") if (radius > 2 if bits is None else bits) else popcounts(F.col("fp"))
     cells = F.array(*[F.struct(F.lit(i).alias("grid"), e.bitwiseAND(F.lit(signed(m))).alias("cell")) for i, m in enumerate(grids(radius))])
     put = points.select("fp", F.explode(cells).alias("at")).select("fp", "at.grid", "at.cell")
     sizes = put.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -300,7 +300,7 @@ def simhash_links(docs: DataFrame, radius: int = REACH) -> DataFrame:
     texts = docs.select(_text_key("text").alias("h"), "text")
     own = fingerprints(texts.withColumnRenamed("h", "doc_id")).withColumnRenamed("doc_id", "h")
     own = cut(own.dropDuplicates(["h"]))
-    near = components(links(own.select("fp").distinct(), radius, bits=True)).toDF("fp", "c")
+    near = components(links(own.select("fp").distinct(), radius)).toDF("fp", "c")
     put = own.join(near.hint("merge"), "fp", "left").select("h", F.coalesce("c", "fp").alias("bucket"))
     return _bucket_links(put, None, texts)
 
